@@ -18,7 +18,9 @@ extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +40,12 @@ PRETOKENS = (
 
 
 class PieceIds(dict):
-    """Pretoken -> its ids as little-endian unsigned 32-bit bytes; filled as pretokens are met."""
+    """Pretoken -> its ids as little-endian unsigned 32-bit bytes; filled as pretokens are met.
 
-    LIMIT = 400_000
+    Once LIMIT pretokens are held, further ones are encoded without being kept, which bounds memory.
+    """
+
+    LIMIT = 300_000
 
     def __init__(self, tokenizer_path: str):
         super().__init__()
@@ -48,22 +53,61 @@ class PieceIds(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.encode = None
-        if tokenizer_path.endswith(".json"):
-            self.encode = _rank_encoder(tokenizer_path)
+        self.encode = _rank_encoder(tokenizer_path)
 
     def __missing__(self, piece: str) -> bytes:
-        if self.encode is not None:
-            ids = self.encode(piece)
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[piece] = packed
+        packed = self.whole(piece)
+        if len(self) < self.LIMIT:
+            self[piece] = packed
+        return packed
+
+    def whole(self, text: str) -> bytes:
+        ids = self.encode(text) if self.encode else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class ChunkIds(dict):
+    """Text between two white-space characters -> ids of ``lead`` + that text."""
+
+    LIMIT = 300_000
+
+    def __init__(self, pieces: PieceIds, split: Callable[[str], list[str]], lead: str):
+        super().__init__()
+        self.pieces, self.split, self.lead = pieces, split, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = b"".join(map(self.pieces.__getitem__, self.split(self.lead + chunk)))
+        if len(self) < self.LIMIT:
+            self[chunk] = packed
         return packed
 
 
+class TextIds:
+    """Whole texts to ids. Where no two white-space characters meet, a pretoken never spans the place
+    before a single space or either side of a single line feed, so such texts are split there and the
+    parts looked up; all other texts go through the pretoken pattern."""
+
+    def __init__(self, tokenizer_path: str):
+        import regex
+
+        self.split = regex.compile(PRETOKENS).findall
+        self.pieces = PieceIds(tokenizer_path)
+        self.odd_space = re.compile(r"\s(?=\s|\Z)").search
+        self.first = ChunkIds(self.pieces, self.split, "")
+        self.spaced = ChunkIds(self.pieces, self.split, " ")
+
+    def __call__(self, text: str) -> bytes:
+        if self.pieces.encode is None:  # a vocabulary of another kind: no pretokens are known
+            return self.pieces.whole(text)
+        if self.odd_space(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.first[first] + b"".join(map(self.spaced.__getitem__, rest)))
+        return self.pieces["\n"].join(lines)
+
+
 def _rank_encoder(tokenizer_path: str):
     """Encoder of single pretokens over the vocabulary of a byte-level tokenizers file, else None.
 
@@ -151,11 +195,9 @@ def pack(
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
         from pyspark import TaskContext
 
-        split = regex.compile(PRETOKENS).findall
-        known = PieceIds(tokenizer_path)
+        encode = TextIds(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
         rows: list[tuple] = []
@@ -183,7 +225,7 @@ def pack(
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = b"".join(map(known.__getitem__, split(text))) + end
+                ids = encode(text) + end
                 n = len(ids) >> 2
                 full = n - n % size
                 for start in range(0, full, size):
