@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, langid, mixing, packing, quality
 from .common import table
 
 
@@ -28,3 +28,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = quality.labelled_sample(table(spark, sf_dir, "labels"), _remainder(4) != 2)
+    model = quality.fit(docs.join(sample, F.col("doc_id") == F.col("label_id")))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = langid.fit(docs.where(_remainder(3) != 1))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return langid.predict(marked, trees).select("doc_id", "held_out", "lang_pred", "score")
