@@ -131,10 +131,11 @@ class CodeLengths:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint32(2654435761)) >> np.uint32(32 - self.BITS)
 
-    def totals(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text under each language."""
+    def totals(self, texts: list[bytes], heads: list[bytes] | None = None) -> np.ndarray:
+        """Code length in bits of each text under each language; heads are the three bytes before each."""
         t = self.t
-        b = np.frombuffer(b"".join(START + x for x in texts), np.uint8).astype(np.uint32)
+        heads = heads or [START] * len(texts)
+        b = np.frombuffer(b"".join(h + x for h, x in zip(heads, texts, strict=True)), np.uint8).astype(np.uint32)
         ends = np.cumsum([len(START) + len(x) for x in texts])
         _, _, three, four = t._grams(b)
         at = self.slots[self._slot(four)]
@@ -195,12 +196,21 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(at)]
             letter = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             bits = np.zeros((len(texts), len(trees.languages)))
-            lo = size = 0
-            for hi in range(1, len(texts) + 1):  # about a megabyte at a time
-                size += len(texts[hi - 1])
-                if size > 1 << 20 or hi == len(texts):
-                    bits[lo:hi] = lengths.totals(texts[lo:hi])
-                    lo, size = hi, 0
+            parts: list[bytes] = []
+            heads: list[bytes] = []
+            of: list[int] = []
+            size = 0
+            for k, x in enumerate(texts):  # about a megabyte at a time; longer texts go in parts
+                for at0 in range(0, len(x), 1 << 20):
+                    parts.append(x[at0 : at0 + (1 << 20)])
+                    heads.append(x[at0 - 3 : at0] if at0 else START)
+                    of.append(k)
+                    size += len(parts[-1])
+                    if size >= 1 << 20:
+                        np.add.at(bits, of, lengths.totals(parts, heads))
+                        parts, heads, of, size = [], [], [], 0
+            if parts:
+                np.add.at(bits, of, lengths.totals(parts, heads))
             best = bits.argmin(1)
             n = np.sqrt(np.array([max(1, len(x)) for x in texts]))[:, None]
             score = 1 / np.exp2(np.clip((bits.min(1, keepdims=True) - bits) / n, -60, 0)).sum(1)

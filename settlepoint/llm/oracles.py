@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+import re
+
+from . import chat, mixing
 
 OP5_EXACT_DEDUP = """
 WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents)
@@ -60,7 +62,50 @@ FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN best b
 """
 
 
+OP8_VANTAGE_POINT_NEIGHBOURS = """
+WITH u AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, round(score, 12) AS score FROM r WHERE rank <= 5
+"""
+
+
+def _chat() -> str:
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    control = "|".join(re.escape(m).replace("/", "/") for m in chat.CONTROL)
+    found = f"regexp_extract_all(text, {quoted(control)})"
+    conflict = f"(contains(text, chr(92)) OR len({found}) > 0)"
+    escapes = f"CASE WHEN {conflict} THEN len(text) - len(replace(text, chr(92), '')) + len({found}) ELSE 0 END"
+    marks = " ".join(f"WHEN {quoted(r)} THEN {len(a) + len(b)}" for r, (a, b) in chat.MARKS.items())
+    own = "</s>[INST] ok [/INST]"
+    return f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {quoted(own)} UNION ALL SELECT -7, 1, 'assistant', {quoted(own)}
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(len(text) + {escapes} + CASE role {marks} ELSE {len(chat.ROLE + chat.BODY + chat.END)} + len(role) END) AS BIGINT) AS formatted_chars
+FROM rows_ GROUP BY conv_id
+"""
+
+
 ORACLES = {
+    "op8_vantage_point_neighbours": OP8_VANTAGE_POINT_NEIGHBOURS,
+    "op10_chat_grammar_round_trip": _chat(),
     "op5_exact_dedup": OP5_EXACT_DEDUP,
     "op7_source_mixing": _mixing(),
 }

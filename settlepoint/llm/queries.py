@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality
+from . import chat, exact_dedup, langid, mixing, packing, quality, vptree
 from .common import table
 
 
@@ -49,3 +49,15 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
     marked = docs.select("doc_id", "text", held_out.alias("held_out"))
     return langid.predict(marked, trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vptree.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, relax=1.0)
+    return found.withColumn("score", F.round("score", 12))
+
+
+def op10_chat_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    added = spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(rows.unionByName(added)))
