@@ -79,6 +79,28 @@ SELECT query_id, rank, vec_id, round(score, 12) AS score FROM r WHERE rank <= 5
 """
 
 
+def _warc() -> str:
+    bits = "(('0x' || substr(h, {}, 1))::INT)"
+    digits = []
+    for k in range(32):  # five bits of the digest a character, out of hexadecimal digits
+        lo, hi = 5 * k, 5 * k + 4
+        a, b = lo // 4, hi // 4
+        value = bits.format(a + 1)
+        if a == b:
+            value = f"({value} >> {3 - hi % 4}) & 31"
+        else:
+            value = f"((({value} << 4) | {bits.format(b + 1)}) >> {3 - hi % 4}) & 31"
+        digits.append(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({value}) AS BIGINT) + 1, 1)")
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keep FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {" || ".join(digits)} AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM k
+"""
+
+
 def _chat() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -104,6 +126,7 @@ FROM rows_ GROUP BY conv_id
 
 
 ORACLES = {
+    "op3_warc_capture_index": _warc(),
     "op8_vantage_point_neighbours": OP8_VANTAGE_POINT_NEIGHBOURS,
     "op10_chat_grammar_round_trip": _chat(),
     "op5_exact_dedup": OP5_EXACT_DEDUP,

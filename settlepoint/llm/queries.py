@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, quality, vptree
+from . import chat, exact_dedup, langid, mixing, packing, quality, vptree, warc
 from .common import table
 
 
@@ -61,3 +61,13 @@ def op10_chat_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_turns(rows.unionByName(added)))
+
+
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.pages_as_payloads(table(spark, sf_dir, "pages"))
+    folder = warc.new_folder(spark)
+    archives = warc.write_archives(pages, folder, dedup_bytes=0)
+    requests = pages.select("page_id", warc.reversed_host_key(F.col("url")).alias("key"))
+    return warc.read_captures(requests, folder, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
