@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, quality, vptree, warc
+from . import chat, exact_dedup, langid, mixing, ngram_join, packing, quality, vptree, warc
 from .common import table
 
 
@@ -71,3 +71,7 @@ def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(requests, folder, archives).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
