@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, ngram_join, packing, quality, vptree, warc
+from . import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, vptree, warc
 from .common import table
 
 
@@ -75,3 +75,7 @@ def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
+def op6_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_join(table(spark, sf_dir, "documents"), k=1, min_chars=20)
