@@ -79,24 +79,26 @@ def mixture(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return per.select(F.col("target_source").alias("source"), "source_size", "target", "rate", best["seed"].alias("seed"))
 
 
-def with_copies(docs: DataFrame, mixture_table: DataFrame) -> DataFrame:
-    """docs with source_size, target and copies (bigint), joined on the source."""
-    mix = mixture_table.withColumnRenamed("source", "mix_source")
-    joined = docs.join(mix, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    extra = F.when(draw(F.col("doc_id"), F.col("seed")) < _threshold(F.col("rate")), 1).otherwise(0)
-    return joined.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("mix_source", "rate", "seed")
+def with_copies(docs: DataFrame, mixture_table: DataFrame, name: str = "copies") -> DataFrame:
+    """docs with the number of copies (bigint) of each row, joined on the source."""
+    mix = mixture_table.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
+    joined = docs.join(mix, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    extra = F.when(draw(F.col("doc_id"), F.col("_mix_seed")) < _threshold(F.col("_mix_rate")), 1).otherwise(0)
+    copied = joined.withColumn(name, (F.floor("_mix_rate") + extra).cast("long"))
+    return copied.drop("_mix_source", "_mix_rate", "_mix_seed")
 
 
 def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every document."""
     sized = written(docs.select("doc_id", "source", size_column().alias("size")), "sizes")
-    return with_copies(sized, written(mixture(sized, weights, most), "mixture"))
+    table = written(mixture(sized, weights, most), "mixture")
+    sources = table.select(F.col("source").alias("_source"), "source_size", "target")
+    return with_copies(sized, table).join(sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mixed rows themselves, with the columns of docs."""
     sized = written(docs.select("doc_id", "source", size_column().alias("size")), "sizes")
-    table = written(mixture(sized, weights, most), "mixture").select("source", "rate", "seed")
-    copied = with_copies(docs, table)
-    repeats = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    copied = with_copies(docs, written(mixture(sized, weights, most), "mixture"), "_copies")
+    repeats = F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return copied.withColumn("_copy", repeats).select(*docs.columns)
