@@ -54,15 +54,17 @@ def reversed_host_key(url: Column) -> Column:
 
 
 def keepers(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, payload) with key, keep_id and copies of each payload of dedup_bytes or more.
+    """pages (page_id, url, payload) with key, and keep_id of each repeated payload of dedup_bytes or more.
 
-    The groups are counted by digest with map-side combining and joined back on the digest, which
-    splits a payload that very many pages share over several tasks.
+    The groups are counted by digest with map-side combining and written, so that the join back on the
+    digest knows their size: few groups are broadcast and the payloads stay where they are; for many
+    groups it is a shuffled join, which splits a payload that very many pages share over several tasks.
     """
     hashed = pages.withColumn("_sha", F.sha1("payload")).withColumn("key", reversed_host_key(F.col("url")))
     large = hashed.where(F.length("payload") >= dedup_bytes)
     groups = large.groupBy("_sha").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
-    return hashed.join(groups, "_sha", "left").drop("_sha", "copies")
+    groups = written(groups.drop("copies"), "groups")
+    return hashed.join(groups, "_sha", "left").drop("_sha")
 
 
 def _header(lines: list[tuple[str, str]]) -> bytes:
@@ -242,7 +244,8 @@ def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> Data
     files = [tuple(r) for r in rows]
     if not files:
         return spark.createDataFrame([], CAPTURE_SCHEMA)
-    dealt = requests.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    parts = max(len(files), spark.sparkContext.defaultParallelism)
+    dealt = requests.select("key", "page_id").repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
 
