@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import convergence
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (convergence,):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
