@@ -38,6 +38,7 @@ from .components import components
 
 BANDS, ROWS = 25, 5
 N_HASHES = BANDS * ROWS
+BUCKETS = 1 << 20
 _WORDS = re.compile(r"\w+")
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 31, N_HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)[:, None]
@@ -291,7 +292,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance:
     members = labels.join(sizes, "label").join(classes.select("class_id", "copies"), "class_id")
     members = members.select("class_id", "copies", "label", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"))
     members = written(members, "members")
-    texts = members.join(docs, F.col("class_id") == F.col("doc_id")).select("class_id", "copies", "label", "block", "text")
+    # Texts that no member's bucket asks for stay where they are; the buckets are BUCKETS rows at most.
+    buckets = F.broadcast(members.select(F.pmod(F.xxhash64("class_id"), F.lit(BUCKETS)).alias("_bucket")).distinct())
+    asked = docs.join(buckets, F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)) == F.col("_bucket"), "left_semi")
+    texts = members.join(asked, F.col("class_id") == F.col("doc_id")).select("class_id", "copies", "label", "block", "text")
     shipped = _payloads(texts, n).join(_units(members, meets), ["label", "block"])
     found = written(_compared(shipped, threshold, tolerance), "links")
 
