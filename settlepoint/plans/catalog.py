@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import convergence
+from . import convergence, identity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (convergence,):
+for module in (convergence, identity):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
