@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import convergence, identity
+from . import convergence, identity, utilities
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (convergence, identity):
+for module in (convergence, identity, utilities):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
