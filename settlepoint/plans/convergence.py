@@ -321,3 +321,17 @@ def defect_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = arms.defect_projected(metrics(spark, sf_dir))
     share = lambda c: F.avg(F.when(F.col(c) == sets.REGIMES[0], 1.0).otherwise(0.0))
     return rounded(m.groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("regime") != F.col("projected")).alias("reclassified"), share("regime").alias("cc"), share("projected").alias("cc_projected")))
+
+
+@query(
+    f"""WITH {runs_sql()}, g AS (SELECT run_id, element, round, lead(round) OVER (PARTITION BY run_id, element ORDER BY round) AS back FROM cells)
+    SELECT run_id, element, min(round) AS left_after, min(back) AS returned_at, count(*) AS n_returns FROM g WHERE back > round + 1 GROUP BY ALL"""
+)
+def leave_and_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that leave a run and come back, with the first absence and return."""
+    from pyspark.sql import Window
+
+    long = runs(spark, sf_dir).select("run_id", F.posexplode("rounds").alias("round", "elements")).select("run_id", "round", F.explode("elements").alias("element"))
+    back = F.lead("round").over(Window.partitionBy("run_id", "element").orderBy("round"))
+    g = long.withColumn("back", back).where("back > round + 1").groupBy("run_id", "element")
+    return g.agg(F.min("round").alias("left_after"), F.min("back").alias("returned_at"), F.count("*").alias("n_returns"))

@@ -266,3 +266,51 @@ def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = r.select(pairs.alias("p")).select("p.*").groupBy("pair")
     x, y = F.col("x"), F.col("y")
     return rounded(g.agg(F.count("*").alias("n"), F.count_if(x != y).alias("flips"), F.avg((x == y).cast("double")).alias("agreement"), stats.cohen_kappa(x, y).alias("kappa")))
+
+
+# nearest, leave-and-return, re-judging ---------------------------------------------------------------
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, turn_b AS nearest, round(sim, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b) AS k FROM q) WHERE k = 1")
+def nearest_defect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar user turn of each assistant turn, the first of equals."""
+    pairs = claim_pairs_of(spark, sf_dir)
+    best = F.max(F.struct(F.col("sim").alias("score"), (-F.col("turn_b")).alias("minus"))).alias("b")
+    out = pairs.groupBy("conv_id", F.col("turn_a").alias("finding")).agg(best)
+    return rounded(out.select("conv_id", "finding", (-F.col("b.minus")).alias("nearest"), F.col("b.score").alias("score")), 9)
+
+
+@query(f"WITH {_DECIDED_SQL}, u AS (SELECT *, sim >= 0.3 AS again FROM verdicts) SELECT method, count(*) AS n, round(avg(CASE WHEN same = again THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(*) FILTER (WHERE same <> again) AS flips FROM u GROUP BY method")
+def rejudged_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the staged decision against those of a second judge (a similarity threshold)."""
+    d = matching.decide(claim_pairs_of(spark, sf_dir)).withColumn("again", F.col("sim") >= 0.3)
+    same = F.col("same") == F.col("again")
+    return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("agreement"), F.count_if(~same).alias("flips")))
+
+
+@query()
+def prejudged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band left by the deterministic stages, judged once per key into an empty cache."""
+    from ..operators import judging
+
+    decided = matching.decide(claim_pairs_of(spark, sf_dir))
+    band = decided.where("method = 'judge'").select("pair_key", "text_a", "location_a", "text_b", "location_b")
+    return judging.prejudge(band, spark.createDataFrame([], "pair_key string, same boolean"), judging.rule_judge, votes=3)
+
+
+@query()
+def review_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ledger rounds over benchmark items by a reviewer that reports the artifact's second line."""
+    from ..operators import loop
+
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("id"), F.col("text").alias("artifact"))
+
+    def reviewer(prompt: str) -> str:
+        import json
+
+        claim = " ".join(prompt.split("|", 1)[-1].split()[:12])
+        body = json.dumps([{"claim": claim, "unit": "text", "start": 1, "end": 1, "severity": "major"}])
+        return f"RETIRE\n1: no longer holds here\nNEW\n{body}" if "Ledger" in prompt else body
+
+    out = loop.run_loop(items, reviewer, loop.LoopConfig("ledger", rounds=3, memory=True, ledger=True))
+    return out.select("id", "round", F.size("findings").alias("n_findings"), F.get("findings", F.lit(0))["claim"].alias("first_claim"))
