@@ -54,15 +54,23 @@ def _ratio(a: list[str], b: list[str]) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def word_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _series_ratio(split: bool, a: Column, b: Column) -> Column:
+    """The UDF is made where it is used: making it needs a running session."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = zip(x.fillna(""), y.fillna(""), strict=True)
+        return pd.Series([_ratio(i.split(), j.split()) if split else _ratio(i, j) for i, j in pairs], dtype="float64")
+
+    return F.pandas_udf(ratio, T.DoubleType(), F.PandasUDFType.SCALAR)(a, b)
+
+
+def word_ratio(a: Column, b: Column) -> Column:
     """Order-sensitive matching-block ratio of two normalised texts, word by word (argument order counts)."""
-    return pd.Series([_ratio(x.split(), y.split()) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+    return _series_ratio(True, a, b)
 
 
-@F.pandas_udf(T.DoubleType())
-def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+def char_ratio(a: Column, b: Column) -> Column:
+    return _series_ratio(False, a, b)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
