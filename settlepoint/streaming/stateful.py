@@ -31,12 +31,16 @@ def sessions(events: DataFrame, keys: list[str], gap: str, late: str = "1 hour",
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def rate_limited(events: DataFrame, key: str, seconds: str, capacity: float, refill: float, burst: float | None = None, idle_ms: int = 3_600_000) -> DataFrame:
-    """Token-bucket decisions with one bucket per key as state; idle buckets are forgotten."""
+def rate_limited(events: DataFrame, key: str, seconds: str, capacity: float, refill: float, burst: float | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Token-bucket decisions with one bucket per key as state.
+
+    With idle_ms idle buckets are forgotten after that long (a stream that runs on; an available-now run
+    would wait for its timeouts).
+    """
     kind = dict(events.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if idle_ms is not None and state.hasTimedOut:
             state.remove()
             return
         bucket = Bucket(capacity, refill, burst)
@@ -45,7 +49,8 @@ def rate_limited(events: DataFrame, key: str, seconds: str, capacity: float, ref
         rows = pd.concat(list(batches)).sort_values(seconds)
         out = [(k[0], t, *bucket.allow(t)) for t in rows[seconds]]
         state.update((bucket.level, bucket.at))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, "ts", "allowed", "remaining", "retry_after"])
 
     return events.groupBy(key).applyInPandasWithState(
@@ -53,7 +58,7 @@ def rate_limited(events: DataFrame, key: str, seconds: str, capacity: float, ref
         f"{key} {kind}, ts double, allowed boolean, remaining double, retry_after double",
         "level double, at double",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
