@@ -37,12 +37,15 @@ class ContextTrees:
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
         n_lang = len(self.languages)
-        streams = [np.frombuffer(b"".join(START + t for t in samples[x]), np.uint8).astype(np.uint32) for x in self.languages]
-        grams = [self._grams(s) for s in streams]
+        grams = []
+        for x in self.languages:  # a text at a time: no string spans two texts
+            each = [self._grams(np.frombuffer(START + t, np.uint8).astype(np.uint32)) for t in samples[x]]
+            grams.append(tuple(np.concatenate(g) for g in zip(*each, strict=True)))
         self.cost0 = np.empty((256, n_lang), np.float32)
         self.cost1 = np.empty((1 << 16, n_lang), np.float32)
         self.escape2 = np.zeros((1 << 16, n_lang), np.float32)
-        self.keys3 = np.unique(np.concatenate([g[2] for g in grams])) if n_lang else np.zeros(0, np.uint32)
+        # Three-byte strings serve as strings and as contexts (the start marks are a context only).
+        self.keys3 = np.unique(np.concatenate([x for g in grams for x in (g[2], g[3] >> np.uint32(8))])) if n_lang else np.zeros(0, np.uint32)
         self.keys4 = np.unique(np.concatenate([g[3] for g in grams])) if n_lang else np.zeros(0, np.uint32)
         self.cost2 = np.empty((len(self.keys3), n_lang), np.float32)
         self.escape3 = np.zeros((len(self.keys3) + 1, n_lang), np.float32)
