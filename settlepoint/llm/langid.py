@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 START = b"\n\n\n"
+#: Bytes that are looked up at a time; a worker's tables of code lengths hold some 60 bytes for each.
+PART = 1 << 18
 
 
 class ContextTrees:
@@ -163,7 +165,7 @@ class CodeLengths:
         if len(full):
             bounds = np.stack([starts[full], ends[full] - len(START)], 1).reshape(-1)
             padded = np.concatenate([cost, np.zeros((1, cost.shape[1]), np.float32)])
-            out[full] = np.add.reduceat(padded.astype(np.float64), bounds, axis=0)[::2]
+            out[full] = np.add.reduceat(padded, bounds, axis=0, dtype=np.float64)[::2]
         return out
 
 
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
     docs = docs.drop("lang_pred", "score")
     if trees is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession, 256)
     lettered = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text)
 
@@ -203,13 +205,13 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
             heads: list[bytes] = []
             of: list[int] = []
             size = 0
-            for k, x in enumerate(texts):  # about a megabyte at a time; longer texts go in parts
-                for at0 in range(0, len(x), 1 << 20):
-                    parts.append(x[at0 : at0 + (1 << 20)])
+            for k, x in enumerate(texts):  # a quarter of a megabyte at a time; longer texts go in parts
+                for at0 in range(0, len(x), PART):
+                    parts.append(x[at0 : at0 + PART])
                     heads.append(x[at0 - 3 : at0] if at0 else START)
                     of.append(k)
                     size += len(parts[-1])
-                    if size >= 1 << 20:
+                    if size >= PART:
                         np.add.at(bits, of, lengths.totals(parts, heads))
                         parts, heads, of, size = [], [], [], 0
             if parts:
