@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def local_session(app: str = "settlepoint", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings a cluster would also use (AQE, UTC, Kryo-free defaults)."""
@@ -21,6 +25,18 @@ def local_session(app: str = "settlepoint", cpus: int | str = "*", **conf: str)
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from its checkout, whatever folder the driver was started in.
+
+    It changes nothing where the package is installed on the executors; the path is only added.
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
