@@ -7,9 +7,10 @@ clustering) run per run or round in grouped pandas functions over edges decided
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,25 +100,35 @@ def maximum_matching(preferences: dict[int, list[int]], order: list[int]) -> dic
     return owner
 
 
-def _assigned(edges: pd.DataFrame) -> dict[int, int]:
-    """finding -> defect of one group's edges (columns finding, defect, score)."""
-    ordered = edges.sort_values(["score", "defect"], ascending=False)
-    preferences = {int(k): [int(x) for x in g] for k, g in ordered.groupby("finding", sort=False)["defect"]}
-    best = edges.groupby("finding")["score"].max()
+def _assigned(edges: list[dict]) -> dict[int, int]:
+    """finding -> defect of one group's edges (finding, defect, score), which descend by score and defect."""
+    preferences: dict[int, list[int]] = {}
+    best: dict[int, float] = {}
+    for e in edges:
+        preferences.setdefault(e["finding"], []).append(e["defect"])
+        best.setdefault(e["finding"], float("-inf") if e["score"] is None else e["score"])
     order = sorted(preferences, key=lambda i: (-best[i], i))
     return {left: right for right, left in maximum_matching(preferences, order).items()}
 
 
 def assign(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, finding, defect of a one-to-one maximum matching per key (a round of a run: a small group)."""
+    """keys, finding, defect of a one-to-one maximum matching per key (a round of a run: a small group).
+
+    A group is one row of its sorted edges, so that Python takes many groups in an Arrow batch. Edges
+    without a finding or a defect match nothing.
+    """
     kinds = dict(edges.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", finding int, defect int"
+    edge = F.struct(F.col("score").cast("double").alias("score"), F.col("defect").cast("int").alias("defect"), F.col("finding").cast("int").alias("finding"))
+    grouped = edges.where("finding is not null and defect is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(edge), asc=False).alias("_edges"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(_assigned(rows).items())
-        return pd.DataFrame([[*key, f, d] for f, d in found], columns=[*keys, "finding", "defect"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(r, f, d) for r, group in enumerate(b.column(len(keys)).to_pylist()) for f, d in sorted(_assigned(group).items())]
+            row, finding, defect = (pa.array([x[k] for x in found], pa.int32()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(len(keys))), finding, defect], [*keys, "finding", "defect"])
 
-    return edges.select(*keys, "finding", "defect", "score").groupBy(*keys).applyInPandas(run, schema)
+    return grouped.mapInArrow(run, schema)
 
 
 def dispositions(findings: DataFrame, edges: DataFrame, keys: list[str], bijective: bool = True) -> DataFrame:
