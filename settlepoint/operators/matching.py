@@ -20,9 +20,16 @@ from ..functions import location, text
 TAU_HIGH, TAU_LOW, TAU_MID, RULE_TAU, LEDGER_TAU = 0.60, 0.25, 0.42, 0.34, 0.72
 
 
-def with_similarity(pairs: DataFrame, full: bool = False, a: str = "text_a", b: str = "text_b") -> DataFrame:
-    """Adds sim and symmetric (and jac): set views only, or with the word ratio where full."""
-    x = pairs.withColumn("_a", text.content_tokens(F.col(a))).withColumn("_b", text.content_tokens(F.col(b)))
+def with_similarity(pairs: DataFrame, full: bool = False, a: str = "text_a", b: str = "text_b", tokens: tuple[str, str] | None = None) -> DataFrame:
+    """Adds sim and symmetric (and jac): set views only, or with the word ratio where full.
+
+    tokens names columns of content tokens, worked out for each text before it is paired; they are dropped.
+    Without them a pair's texts are split here, again for each use of a similarity in a condition.
+    """
+    if tokens:
+        x = pairs.withColumnsRenamed(dict(zip(tokens, ("_a", "_b"), strict=True)))
+    else:
+        x = pairs.withColumn("_a", text.content_tokens(F.col(a))).withColumn("_b", text.content_tokens(F.col(b)))
     x = x.withColumn("jac", text.jaccard(F.col("_a"), F.col("_b"))).withColumn("_over", 0.85 * text.overlap(F.col("_a"), F.col("_b")))
     if full:
         x = x.withColumn("_ratio", text.word_ratio(text.normalize(F.col(a)), text.normalize(F.col(b))))

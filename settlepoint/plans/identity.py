@@ -58,13 +58,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_pairs_of(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
     """Assistant turns x user turns of a conversation (an equi-join on the conversation)."""
-    t = turns(spark, sf_dir)
-    side = lambda role, s: t.where(F.col("role") == role).select("conv_id", *[F.col(c).alias(f"{c}_{s}") for c in ("turn", "text", "location")])
+    t = turns(spark, sf_dir).withColumn("tokens", text.content_tokens(F.col("text")))
+    side = lambda role, s: t.where(F.col("role") == role).select("conv_id", *[F.col(c).alias(f"{c}_{s}") for c in ("turn", "text", "location", "tokens")])
     pairs = side("assistant", "a").join(side("user", "b"), "conv_id")
     pairs = pairs.withColumn("loc", location.compatibility(F.col("location_a"), F.col("location_b")))
     keys = [text.fingerprint(F.col(f"text_{s}"), F.col(f"location_{s}.unit")) for s in "ab"]
     pairs = pairs.withColumn("pair_key", text.pair_key(*keys)).withColumn("label", F.col("turn_a") == F.col("turn_b") + 1)
-    return matching.with_similarity(pairs, full)
+    return matching.with_similarity(pairs, full, tokens=("tokens_a", "tokens_b"))
 
 
 _PAIRS_SQL = f"""t AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text, 'u' || ((turn // 4) % 2) AS unit, {_content('text')} AS tok FROM conversations),
