@@ -208,3 +208,11 @@ def test_loop(spark):
     for bad in ({"rounds": 9}, {"panel_size": 0}, {"ledger": True}):
         with pytest.raises(ValueError):
             loop.LoopConfig("x", **bad)
+
+
+def test_assign_takes_groups_and_ignores_incomplete_edges(spark):
+    rows = [("a", 1, 1, 0.9), ("a", 1, 2, 0.8), ("a", 2, 1, 0.7), ("b", 1, None, 0.9), ("b", None, 3, 0.9), ("b", 4, 3, None), ("b", 4, 3, None), (None, 5, 6, 0.5)]
+    edges = spark.createDataFrame(rows, "run string, finding int, defect int, score double")
+    got = {tuple(r) for r in matching.assign(edges, ["run"]).collect()}
+    assert got == {("a", 1, 2), ("a", 2, 1), ("b", 4, 3), (None, 5, 6)}
+    assert matching.assign(edges.where("false"), ["run"]).collect() == []
