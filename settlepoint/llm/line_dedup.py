@@ -6,12 +6,14 @@ few characters. Every distinct line is therefore indexed under the hashes of its
 substrings of its own that such a segment could be: the start positions that the length difference and
 the edits left of and right of the segment allow. An equi-join of the two gives the candidates. For k = 1
 the edit must lie in the other segment; the hashes of its quarters travel along, and the join's condition
-keeps only pairs of which all but one quarter agree (a necessary condition, so nothing is lost).
+keeps only pairs of which all but one quarter agree (a necessary condition, so nothing is lost). For other
+k the counts of twelve characters, modulo 4 and in Gray code, share one integer with the key: an edit
+changes at most two bits, so the join's condition keeps only pairs that differ in at most 2k.
 
 Candidates are verified by a banded bit-parallel automaton: for each number of edits e from 0 to k, one
 integer holds a bit for each of the 2k + 1 diagonals that e edits can reach; a character of the second
 line updates the k + 1 integers with shifts and a mask of the diagonals where the first line has the same
-character. A cheap necessary condition on character counts goes first.
+character. Spark's own bounded edit distance goes first, so that only near pairs reach the automaton.
 
 Only hashes are shuffled for candidate search; the texts fetched for verification are those that pass a
 bitmap of at most 2^20 hash buckets (a proven bound, hence broadcast) and then a join.
@@ -30,8 +32,9 @@ from .common import written
 from .components import components
 
 BUCKETS = 1 << 20
-#: Characters whose counts the necessary condition compares (fixed values).
-COUNTED = "etaoinshrdlucm.,"
+#: Characters whose counts the necessary condition compares, two bits each below a key (fixed values).
+COUNTED = "etaoinshrdlu"
+COUNT_BITS = 2 * len(COUNTED)
 
 
 def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
@@ -112,13 +115,12 @@ def probe_keys(line: Column, length: Column, k: int, places: dict | None = None)
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
     """Whether the edit distance of two strings is at most k (banded bit-parallel automaton)."""
-    x, y = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
     one = F.lit(1).cast("long")
     width = 2 * k + 1
     full = F.lit((1 << width) - 1).cast("long")
 
-    def step(state: Column, j: Column) -> Column:
+    def step(x: Column, y: Column, state: Column, j: Column) -> Column:
         """Consumes character j (from 1) of b; bit d + k of state.e stands for a's first j + d characters."""
         c = F.get(y, j - 1)
         same = F.lit(0).cast("long")
@@ -136,21 +138,49 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
         return F.struct(*[s.alias(f"e{e}") for e, s in enumerate(out)])
 
     first = F.struct(*[F.lit(((1 << (e + 1)) - 1) << k & ((1 << width) - 1)).cast("long").alias(f"e{e}") for e in range(k + 1)])
-    last = F.aggregate(F.sequence(F.lit(1), m), first, step)
+    # A lambda's variable is worked out once; split() inside the step would run again for every character.
+    split = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    last = F.get(F.transform(split, lambda s: F.aggregate(F.sequence(F.lit(1), m), first, lambda state, j: step(s["x"], s["y"], state, j))), F.lit(0))
     end = F.call_function("shiftleft", one, (n - m + k).cast("int"))
     near = F.abs(n - m) <= k
     return F.when(~near, F.lit(False)).when(m == 0, F.lit(True)).otherwise(last[f"e{k}"].bitwiseAND(end) != 0)
 
 
+def count_bits(line: Column) -> Column:
+    """The counts of COUNTED modulo 4, in Gray code: counts that differ by one differ in one bit."""
+    out = F.lit(0).cast("long")
+    for t, c in enumerate(COUNTED):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(3))
+        gray = F.call_function("shiftright", F.lit(0b10110100), n * 2).bitwiseAND(F.lit(3))  # 0, 1, 3, 2
+        out = out.bitwiseOR(F.shiftleft(gray.cast("long"), 2 * t))
+    return out
+
+
 def _counts_allow(a: Column, b: Column, k: int) -> Column:
     """Necessary: an edit changes the counts of at most two characters by one each."""
-    off = F.lit(0)
-    for c in COUNTED:
-        def count(s: Column, c: str = c) -> Column:
-            return F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * k
+
+
+def _met_by_quarters(measured: DataFrame, g: dict) -> DataFrame:
+    """ha, hb of lines that share a segment and, for one edit, all but one quarter of the other."""
+    line, n = F.col("line"), F.col("n")
+    indexed = measured.select(F.col("h").alias("ha"), F.explode(index_keys(line, n, 1, g)).alias("r")).select("ha", "r.*").distinct()
+    probing = measured.select(F.col("h").alias("hb"), F.explode(probe_keys(line, n, 1, g)).alias("r")).select("hb", "r.*").distinct()
+    return indexed.join(probing, "key").where(F.col("ha") != F.col("hb")).where(_one_edit_fits(F.col("x"), F.col("u"), F.col("s")))
+
+
+def _met_by_counts(measured: DataFrame, k: int, g: dict) -> DataFrame:
+    """ha, hb of lines that share a segment and whose counts allow k edits."""
+    line, n = F.col("line"), F.col("n")
+    measured = measured.withColumn("bits", count_bits(line))
+
+    def tagged(name: str, keys: Column, tag: str) -> DataFrame:
+        rows = measured.select(F.col("h").alias(name), "bits", F.explode(keys).alias("r"))
+        return rows.select(name, F.shiftleft("r.key", COUNT_BITS).bitwiseOR(F.col("bits")).alias(tag)).distinct()
 
-        off = off + F.abs(count(a) - count(b))
-    return off <= 2 * k
+    indexed, probing = tagged("ha", index_keys(line, n, k, g), "x"), tagged("hb", probe_keys(line, n, k, g), "y")
+    met = indexed.join(probing, F.shiftrightunsigned("x", COUNT_BITS) == F.shiftrightunsigned("y", COUNT_BITS))
+    return met.where(F.col("ha") != F.col("hb")).where(_counts_allow(F.col("x"), F.col("y"), k))
 
 
 def line_join(docs: DataFrame, k: int = 1, min_chars: int = 20) -> DataFrame:
@@ -173,11 +203,7 @@ def line_join(docs: DataFrame, k: int = 1, min_chars: int = 20) -> DataFrame:
     spots = geometry(F.col("n"), k)
     measured = measured.select("h", "line", "n", *[c.alias(f"g{j}_{i}_{t}") for (j, i), at in spots.items() for t, c in enumerate(at)])
     g = {(j, i): [F.col(f"g{j}_{i}_{t}") for t in range(5)] for j, i in spots}
-    indexed = measured.select(F.col("h").alias("ha"), F.explode(index_keys(F.col("line"), F.col("n"), k, g)).alias("r")).select("ha", "r.*").distinct()
-    probing = measured.select(F.col("h").alias("hb"), F.explode(probe_keys(F.col("line"), F.col("n"), k, g)).alias("r")).select("hb", "r.*").distinct()
-    met = indexed.join(probing, "key").where(F.col("ha") != F.col("hb"))
-    if k == 1:
-        met = met.where(_one_edit_fits(F.col("x"), F.col("u"), F.col("s")))
+    met = _met_by_quarters(measured, g) if k == 1 else _met_by_counts(measured, k, g)
     candidates = written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
 
     named = candidates.select(F.col("ha").alias("h")).union(candidates.select("hb")).distinct()
@@ -187,7 +213,7 @@ def line_join(docs: DataFrame, k: int = 1, min_chars: int = 20) -> DataFrame:
     texts = written(texts.join(named, F.col("h1") == F.col("h"), "left_semi").distinct(), "texts")
 
     pairs = candidates.join(texts.toDF("ha", "ha2", "a"), "ha").join(texts.toDF("hb", "hb2", "b"), "hb")
-    pairs = pairs.where(_counts_allow(F.col("a"), F.col("b"), k)).where(within_edits(F.col("a"), F.col("b"), k))
+    pairs = pairs.where(F.levenshtein("a", "b", k) >= 0).where(within_edits(F.col("a"), F.col("b"), k))
     pairs = written(pairs.select("ha", "ha2", "hb", "hb2"), "linked")
 
     one, other = distinct.toDF("ha", "ha2", "a", "a_copies"), distinct.toDF("hb", "hb2", "b", "b_copies")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from settlepoint.llm import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, vptree, warc
+from settlepoint.llm import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, queries, vptree, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -334,6 +334,25 @@ def test_line_join_equals_brute_force(spark, docs):
     assert line_dedup.line_join(docs([])).count() == 0
 
 
+def test_registered_line_join_equals_brute_force(spark, docs, tmp_path):
+    """Long lines at one, two and three edits from each other, in two digits, with shifts and shared parts."""
+    rng, rows = random.Random(16), []
+    base = [prose(rng, n) for n in (4, 20, 45)] + ["é" * 9 + " on page 17 of the second volume, " + prose(rng, 12)]
+    for i in range(40):
+        x = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(x))
+            x[at : at + 1] = rng.choice([[], ["7"], [x[at], "3"]])
+        rows.append((i, "".join(x) + "\nshort one" + str(i % 3)))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r.n_links for r in queries.op6_segment_line_dedup(spark, str(tmp_path)).collect()}
+    places = {(i, j): x for i, t in rows for j, x in enumerate(t.split("\n"))}
+    near = lambda x, y: x == y or min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2
+    links = {p: sum(near(x, y) for q, y in places.items() if q != p) for p, x in places.items()}
+    exact = {p: sum(x == y for q, y in places.items() if q != p) for p, x in places.items()}
+    assert got == links and sum(links.values()) > sum(exact.values())
+
+
 def test_line_join_is_native(spark, docs):
     plan = line_dedup.line_join(docs([(1, "a line of some length, yes")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
