@@ -24,6 +24,22 @@ def query(oracle: str | None = None):
     return register
 
 
+def query_and_by_sets(oracle: str):
+    """Registers f with the whole similarity, and as <name>_by_sets without the word ratio, which SQL lacks."""
+
+    def register(f):
+        def by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir, full=False)
+
+        by_sets.__name__ = by_sets.__qualname__ = f"{f.__name__}_by_sets"
+        by_sets.__doc__ = f.__doc__
+        QUERIES[f.__name__] = f
+        query(oracle)(by_sets)
+        return f
+
+    return register
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -56,7 +72,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text", place.alias("location"))
 
 
-def claim_pairs_of(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
+def claim_pairs_of(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """Assistant turns x user turns of a conversation (an equi-join on the conversation)."""
     t = turns(spark, sf_dir).withColumn("tokens", text.content_tokens(F.col("text")))
     side = lambda role, s: t.where(F.col("role") == role).select("conv_id", *[F.col(c).alias(f"{c}_{s}") for c in ("turn", "text", "location", "tokens")])
@@ -77,14 +93,14 @@ _DECIDED_SQL = _PAIRS_SQL + """, decided AS (SELECT *, CASE WHEN loc = 'disjoint
 verdicts AS (SELECT *, CASE method WHEN 'anchor-disjoint' THEN false WHEN 'lexical-high' THEN true ELSE jac >= 0.34 END AS same FROM decided)"""
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a, turn_b, loc, round(jac, 9) AS jac, round(sim, 9) AS sim FROM q")
-def claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(claim_pairs_of(spark, sf_dir).select("conv_id", "turn_a", "turn_b", "loc", "jac", "sim"), 9)
+@query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a, turn_b, loc, round(jac, 9) AS jac, round(sim, 9) AS sim FROM q")
+def claim_pairs(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    return rounded(claim_pairs_of(spark, sf_dir, full).select("conv_id", "turn_a", "turn_b", "loc", "jac", "sim"), 9)
 
 
-@query(f"WITH {_DECIDED_SQL} SELECT conv_id, turn_a, turn_b, method, same FROM verdicts")
-def staged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.decide(claim_pairs_of(spark, sf_dir)).select("conv_id", "turn_a", "turn_b", "method", "same")
+@query_and_by_sets(f"WITH {_DECIDED_SQL} SELECT conv_id, turn_a, turn_b, method, same FROM verdicts")
+def staged_decisions(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    return matching.decide(claim_pairs_of(spark, sf_dir, full)).select("conv_id", "turn_a", "turn_b", "method", "same")
 
 
 @query()
@@ -99,7 +115,7 @@ def cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir, full=True)
+    pairs = claim_pairs_of(spark, sf_dir)
     return rounded(matching.decide(pairs).select("conv_id", "turn_a", "turn_b", "sim", "symmetric", "method", "same"))
 
 
@@ -119,28 +135,28 @@ def confusion(df: DataFrame, keys: list[str], said, truth) -> DataFrame:
     return out.select("*", pr["precision"].alias("precision_"), pr["recall"].alias("recall_"), pr["f1"].alias("f1"), pr["accuracy"].alias("accuracy"))
 
 
-@query(f"WITH {_PAIRS_SQL}, c AS (SELECT tau, {_CONFUSION.format('(sim >= tau)', 'label')} FROM q CROSS JOIN (VALUES {_GRID_SQL}) g(tau_) CROSS JOIN LATERAL (SELECT CAST(tau_ AS DOUBLE) AS tau) GROUP BY tau), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT tau, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
-def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir).select("sim", "label", F.explode(F.array(*map(F.lit, _GRID))).alias("tau"))
+@query_and_by_sets(f"WITH {_PAIRS_SQL}, c AS (SELECT tau, {_CONFUSION.format('(sim >= tau)', 'label')} FROM q CROSS JOIN (VALUES {_GRID_SQL}) g(tau_) CROSS JOIN LATERAL (SELECT CAST(tau_ AS DOUBLE) AS tau) GROUP BY tau), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT tau, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
+def threshold_sensitivity(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    pairs = claim_pairs_of(spark, sf_dir, full).select("sim", "label", F.explode(F.array(*map(F.lit, _GRID))).alias("tau"))
     return rounded(confusion(pairs, ["tau"], F.col("sim") >= F.col("tau"), F.col("label")))
 
 
-@query(f"WITH {_DECIDED_SQL}, c AS (SELECT method, {_CONFUSION.format('same', 'label')} FROM verdicts GROUP BY method), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT method, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
-def matcher_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(confusion(matching.decide(claim_pairs_of(spark, sf_dir)), ["method"], F.col("same"), F.col("label")))
+@query_and_by_sets(f"WITH {_DECIDED_SQL}, c AS (SELECT method, {_CONFUSION.format('same', 'label')} FROM verdicts GROUP BY method), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT method, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
+def matcher_report(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    return rounded(confusion(matching.decide(claim_pairs_of(spark, sf_dir, full)), ["method"], F.col("same"), F.col("label")))
 
 
 _BAND = 0.05
 
 
-def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir).where(F.col("sim") >= _BAND)
+def edges_of(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    pairs = claim_pairs_of(spark, sf_dir, full).where(F.col("sim") >= _BAND)
     return pairs.select("conv_id", F.col("turn_a").alias("finding"), F.col("turn_b").alias("defect"), F.col("sim").alias("score"))
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, round(sim, 9) AS score, turn_b AS defect FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b DESC) AS k FROM q WHERE sim >= {_BAND}) WHERE k = 1")
-def many_to_one_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matching.best_edges(edges_of(spark, sf_dir), ["conv_id"]), 9)
+@query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, round(sim, 9) AS score, turn_b AS defect FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b DESC) AS k FROM q WHERE sim >= {_BAND}) WHERE k = 1")
+def many_to_one_matches(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    return rounded(matching.best_edges(edges_of(spark, sf_dir, full), ["conv_id"]), 9)
 
 
 @query()
@@ -271,19 +287,19 @@ def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # nearest, leave-and-return, re-judging ---------------------------------------------------------------
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, turn_b AS nearest, round(sim, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b) AS k FROM q) WHERE k = 1")
-def nearest_defect(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, turn_b AS nearest, round(sim, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b) AS k FROM q) WHERE k = 1")
+def nearest_defect(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """The most similar user turn of each assistant turn, the first of equals."""
-    pairs = claim_pairs_of(spark, sf_dir)
+    pairs = claim_pairs_of(spark, sf_dir, full)
     best = F.max(F.struct(F.col("sim").alias("score"), (-F.col("turn_b")).alias("minus"))).alias("b")
     out = pairs.groupBy("conv_id", F.col("turn_a").alias("finding")).agg(best)
     return rounded(out.select("conv_id", "finding", (-F.col("b.minus")).alias("nearest"), F.col("b.score").alias("score")), 9)
 
 
-@query(f"WITH {_DECIDED_SQL}, u AS (SELECT *, sim >= 0.3 AS again FROM verdicts) SELECT method, count(*) AS n, round(avg(CASE WHEN same = again THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(*) FILTER (WHERE same <> again) AS flips FROM u GROUP BY method")
-def rejudged_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_by_sets(f"WITH {_DECIDED_SQL}, u AS (SELECT *, sim >= 0.3 AS again FROM verdicts) SELECT method, count(*) AS n, round(avg(CASE WHEN same = again THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(*) FILTER (WHERE same <> again) AS flips FROM u GROUP BY method")
+def rejudged_agreement(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """Verdicts of the staged decision against those of a second judge (a similarity threshold)."""
-    d = matching.decide(claim_pairs_of(spark, sf_dir)).withColumn("again", F.col("sim") >= 0.3)
+    d = matching.decide(claim_pairs_of(spark, sf_dir, full)).withColumn("again", F.col("sim") >= 0.3)
     same = F.col("same") == F.col("again")
     return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("agreement"), F.count_if(~same).alias("flips")))
 

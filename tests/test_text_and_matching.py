@@ -216,3 +216,32 @@ def test_assign_takes_groups_and_ignores_incomplete_edges(spark):
     got = {tuple(r) for r in matching.assign(edges, ["run"]).collect()}
     assert got == {("a", 1, 2), ("a", 2, 1), ("b", 4, 3), (None, 5, 6)}
     assert matching.assign(edges.where("false"), ["run"]).collect() == []
+
+
+def test_claim_queries_use_the_word_ratio(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from settlepoint.plans import identity
+
+    said = ["the loop and the index run over it", "it and the loop run over an array", "the index of it is over the loop and it", "a cache leaks", "the loop and the index run over an it", "it leaks and the cache is over it"]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def similarity(a, b):
+        x, y = ({w for w in t.split() if w not in text.STOP_WORDS} for t in (a, b))
+        both = len(x & y)
+        sets = max(both / len(x | y), 0.85 * both / min(len(x), len(y))) if x and y else 0.0
+        return max(sets, SequenceMatcher(None, a.split(), b.split()).ratio()), sets
+
+    plain = {(i, j): similarity(said[i], said[j]) for i in (1, 3, 5) for j in (0, 2, 4)}
+    assert any(whole > sets for whole, sets in plain.values())
+    run = lambda name: identity.QUERIES[name](spark, str(tmp_path)).collect()
+    whole, sets = ({(r.turn_a, r.turn_b): r.sim for r in run(name)} for name in ("claim_pairs", "claim_pairs_by_sets"))
+    assert whole == {k: round(v[0], 9) for k, v in plain.items()}
+    assert sets == {k: round(v[1], 9) for k, v in plain.items()}
+    nearest = {r.finding: r.nearest for r in run("nearest_defect")}
+    assert nearest == {i: max((0, 2, 4), key=lambda j: (plain[i, j][0], -j)) for i in (1, 3, 5)}
+    edges = {(i, j) for (i, j), v in plain.items() if v[0] >= 0.05}
+    best = {r.finding: r.defect for r in run("many_to_one_matches")}
+    assert best == {i: max((d for f, d in edges if f == i), key=lambda j: (plain[i, j][0], j)) for i, _ in edges}
+    assert {(r.finding, r.defect) for r in identity.edges_of(spark, str(tmp_path)).collect()} == edges
