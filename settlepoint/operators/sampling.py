@@ -69,16 +69,26 @@ def gold_hard_negatives(defects: DataFrame) -> DataFrame:
     return pairs.select(F.concat("a", F.lit("~neg~"), "b").alias("pair_id"), "a_text", "b_text", F.lit(False).alias("label"), F.lit("same-artifact").alias("source"))
 
 
-def gold_easy_negatives(defects: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n distinct random pairs of defects of different items.
+def gold_easy_negatives(defects: DataFrame, n: int, seed: int, tries: int | None = None) -> DataFrame:
+    """n distinct random pairs of defects of different items, or as many as the tries (2n if not given) find.
 
-    Twice as many draws of two defect numbers meet the numbered defects in equi-joins: no cross join.
+    The draws of two defect numbers meet the numbered defects in equi-joins: no cross join.
     """
     numbered = defects.withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long") - 1).select("k", "id", "item", F.get("variants", F.lit(0)).alias("t"))
     total = numbered.agg(F.count("*").alias("total"))
-    draws = defects.sparkSession.range(2 * n).toDF("s").crossJoin(F.broadcast(total)).where("total > 1")  # total is one row
+    draws = defects.sparkSession.range(2 * n if tries is None else tries).toDF("s").crossJoin(F.broadcast(total)).where("total > 1")  # total is one row
     draws = draws.select("s", (draw(F.lit(seed), F.col("s")) % F.col("total")).alias("k"), (draw(F.lit(seed + 1), F.col("s")) % F.col("total")).alias("l"))
     a, b = numbered.toDF("k", "a", "ia", "a_text"), numbered.toDF("l", "b", "ib", "b_text")
     pairs = draws.join(a, "k").join(b, "l").where("ia <> ib and a < b")
     pairs = pairs.groupBy("a", "b", "a_text", "b_text").agg(F.min("s").alias("s")).orderBy("s").limit(n)
     return pairs.select(F.concat("a", F.lit("~xneg~"), "b").alias("pair_id"), "a_text", "b_text", F.lit(False).alias("label"), F.lit("cross-artifact").alias("source"))
+
+
+def gold(defects: DataFrame, seed: int) -> DataFrame:
+    """Positives, hard negatives and as many easy negatives as balance the classes.
+
+    Tries are bounded as in the reference (50,000) or, for more pairs, at 16 for each.
+    """
+    positives, hard = gold_positives(defects), gold_hard_negatives(defects)
+    n = max(0, positives.count() - hard.count())
+    return positives.unionByName(hard).unionByName(gold_easy_negatives(defects, n, seed, max(50_000, 16 * n)))

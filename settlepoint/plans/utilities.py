@@ -88,18 +88,37 @@ easy AS (SELECT a.id || '~xneg~' || b.id AS pair_id, a.t AS a_text, b.t AS b_tex
 
 
 def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.gold(gold_defects(spark, sf_dir), 5)
+
+
+def gold_of_sixty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With at most _EASY_N easy negatives of twice as many draws, which the oracles express."""
     g = gold_defects(spark, sf_dir)
     return sampling.gold_positives(g).unionByName(sampling.gold_hard_negatives(g)).unionByName(sampling.gold_easy_negatives(g, _EASY_N, 5))
 
 
-@query(f"WITH {_GOLD_SQL}, {_POSITIVE_SQL}, {_HARD_SQL}, {_EASY_SQL} SELECT * FROM pos_ UNION ALL SELECT * FROM hard UNION ALL SELECT * FROM easy")
+def tallies(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+@query()
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_of(spark, sf_dir)
 
 
-@query(f"WITH {_GOLD_SQL}, {_POSITIVE_SQL}, {_HARD_SQL}, {_EASY_SQL} SELECT source, label, count(*) AS n FROM (SELECT source, label FROM pos_ UNION ALL SELECT source, label FROM hard UNION ALL SELECT source, label FROM easy) GROUP BY ALL")
+@query()
 def gold_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold_of(spark, sf_dir).groupBy("source", "label").agg(F.count("*").alias("n"))
+    return tallies(gold_of(spark, sf_dir))
+
+
+@query(f"WITH {_GOLD_SQL}, {_POSITIVE_SQL}, {_HARD_SQL}, {_EASY_SQL} SELECT * FROM pos_ UNION ALL SELECT * FROM hard UNION ALL SELECT * FROM easy")
+def gold_pairs_sixty_easy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold_of_sixty(spark, sf_dir)
+
+
+@query(f"WITH {_GOLD_SQL}, {_POSITIVE_SQL}, {_HARD_SQL}, {_EASY_SQL} SELECT source, label, count(*) AS n FROM (SELECT source, label FROM pos_ UNION ALL SELECT source, label FROM hard UNION ALL SELECT source, label FROM easy) GROUP BY ALL")
+def gold_tallies_sixty_easy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tallies(gold_of_sixty(spark, sf_dir))
 
 
 # contamination ---------------------------------------------------------------------------------------

@@ -211,3 +211,22 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         stateful.judge_stream(spark.readStream.schema(pairs.schema).parquet(str(tmp_path / "p")), str(tmp_path / "cache"), judged, str(tmp_path / "ck")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "cache")), "pair_key") == [("k1", True), ("k2", False)]
+
+
+def test_gold_classes_are_balanced(spark, tmp_path):
+    from settlepoint.plans import utilities
+
+    rows = [(i, ". ".join(f"w{i} v{j}" for j in range(6 + i % 3))) for i in range(41)]
+    spark.createDataFrame(rows, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = utilities.gold_pairs(spark, str(tmp_path)).collect()
+    count = lambda source: sum(r.source == source for r in got)
+    assert count("positive") == sum(len(t.split(". ")) * (len(t.split(". ")) - 1) // 2 for _, t in rows)
+    assert count("same-artifact") == 60
+    easy = [tuple(int(x[1:]) for x in r.pair_id.split("~xneg~")) for r in got if r.source == "cross-artifact"]
+    possible = 41 * 40 // 2 - 60
+    assert 120 < len(easy) == len(set(easy)) == min(possible, count("positive") - 60)
+    assert all(a // 4 != b // 4 for a, b in easy)
+    assert {r.source: r.n for r in utilities.gold_tallies(spark, str(tmp_path)).collect()} == {s: count(s) for s in ("positive", "same-artifact", "cross-artifact")}
+    single = spark.createDataFrame([(i, "one") for i in range(8)], "item_id bigint, text string")
+    single.write.parquet(f"{tmp_path}/few/benchmark.parquet")
+    assert {r.source for r in utilities.gold_pairs(spark, f"{tmp_path}/few").collect()} == {"same-artifact"}
