@@ -200,7 +200,7 @@ def _summary_sql(margins: tuple[float, ...]) -> str:
       round(least(1e0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN diff >= 0 THEN 1e0 ELSE 0e0 END))), 6) AS p{tests} FROM boots"""
 
 
-SAMPLES = 500
+SAMPLES = 20_000
 
 
 @query(f"WITH {metrics_sql()}, {_SCORED_SQL}, {_boot_sql('ra', 'na', 'rb', 'nb', SAMPLES)} {_summary_sql((0.15, 0.10))}")

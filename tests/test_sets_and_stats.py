@@ -123,3 +123,11 @@ def test_bootstrap(spark):
     s = resampling.summary(boots, (0.5,)).first()
     assert s.samples == 200 and s.ci95_low < 0.75 < s.ci95_high and s.p == 0.0
     assert boots.orderBy("b").collect() == resampling.bootstrap_difference(per.repartition(3), 200).orderBy("b").collect()
+
+
+def test_registered_bootstraps_draw_as_many_samples_as_the_reference(spark):
+    from settlepoint.plans import convergence
+
+    for name in ("cluster_bootstrap", "majority_bootstrap"):
+        row, = convergence.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert row.samples == 20_000
