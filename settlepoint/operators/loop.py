@@ -2,19 +2,21 @@
 
 Each round is one DataFrame step over all items: prompts from the artifact and the previous round's
 findings, a reviewer (mapInPandas), an extractor (replies parsed with built-in functions), and for
-ledger arms the fold of retirements and new findings. State between rounds is a table.
+ledger arms the fold of retirements and new findings (compared in a Python worker). State between rounds is a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions import text
+from . import matching
 from .judging import with_retries
 
 
@@ -77,16 +79,36 @@ def asked(prompts: DataFrame, client: Callable[[str], str], panel: int = 1, atte
     return prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, replies array<string>")
 
 
-def _merged_ledger(prior: Column, block: Column, new: Column, config: LoopConfig) -> Column:
-    """Survivors of the retirements and then new claims that no survivor states in the same words."""
-    words = 2 if config.grounded_retire else 0
-    retired = text.parse_retirements(block, F.size(prior), words)
-    kept = F.filter(prior, lambda f, i: ~F.array_contains(retired, i))
-    return F.aggregate(
-        new,
-        kept,
-        lambda out, f: F.when(F.exists(out, lambda g: text.jaccard(text.content_tokens(g["claim"]), text.content_tokens(f["claim"])) >= 0.72), out).otherwise(F.array_append(out, f)),
-    )
+def _merged_ledger(replies: DataFrame, round_index: int, config: LoopConfig) -> DataFrame:
+    """Replies with found: survivors of the retirements and then new claims that no survivor states.
+
+    A claim is stated by a finding that is not disjoint from it in place and LEDGER_TAU similar, as in
+    matching.ledger_rounds. Claims are compared one by one in order, in a Python worker.
+    """
+    sections = text.split_sections(F.get("replies", F.lit(0)))
+    retired = text.parse_retirements(sections["retire"], F.size("prior"), 2 if config.grounded_retire else 0)
+    survivors = F.filter("prior", lambda f, i: ~F.array_contains(retired, i))
+    side = lambda c: F.transform(c, matching.comparable)
+    both = replies.withColumn("_kept", survivors).withColumn("_new", text.parse_findings(sections["new"], F.lit(round_index)))
+    both = both.withColumn("_take", _added(side("_kept"), side("_new")))
+    taken = F.filter("_new", lambda _, i: F.get("_take", i))
+    return both.withColumn("found", F.concat("_kept", taken)).drop("_kept", "_new", "_take")
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _added(kept: pd.Series, new: pd.Series) -> pd.Series:
+    """For each new claim whether neither a survivor nor an earlier added claim states it."""
+
+    def flags(ledger: Iterable, claims: Iterable) -> list[bool]:
+        ledger, out = list(ledger), []
+        for c in claims:
+            out.append(not any(matching.restates(c, g) for g in ledger))
+            if out[-1]:
+                ledger.append(c)
+        return out
+
+    none = lambda x: [] if x is None else x
+    return pd.Series([flags(none(k), none(n)) for k, n in zip(kept, new, strict=True)], dtype=object)
 
 
 def _renumbered(findings: Column, round_index: int) -> Column:
@@ -112,8 +134,7 @@ def run_loop(items: DataFrame, client: Callable[[str], str], config: LoopConfig,
         prompts = state.withColumn("prompt", review_prompt(F.col("artifact"), F.col("prior"), config))
         replies = state.join(asked(prompts, client, config.panel_size), "id")
         if config.ledger and r > 0:
-            sections = text.split_sections(F.get("replies", F.lit(0)))
-            found = _merged_ledger(F.col("prior"), sections["retire"], text.parse_findings(sections["new"], F.lit(r)), config)
+            replies, found = _merged_ledger(replies, r, config), F.col("found")
         else:  # a panel's findings are a bag union in reviewer order
             found = F.flatten(F.transform("replies", lambda x: text.parse_findings(x, F.lit(r))))
         rows = cut(replies.select("id", "artifact", F.lit(r).alias("round"), _renumbered(found, r).alias("findings"), F.col("replies").alias("transcript")))

@@ -219,6 +219,30 @@ def canonical_runs(judged: DataFrame, n_rounds: DataFrame | None = None) -> Data
     return rows.groupBy("run_id").applyInPandas(run, f"run_id {kind}, rounds array<array<string>>")
 
 
+def comparable(c: Column) -> Column:
+    """What restates compares of a struct with claim and location."""
+    place = c["location"]
+    return F.struct(c["claim"].alias("claim"), text.content_tokens(c["claim"]).alias("tokens"), text.normalize(c["claim"]).alias("norm"), place["unit"].alias("unit"), place["start"].alias("start"), place["end"].alias("end"))
+
+
+def _null(x: object) -> bool:
+    return x is None or x != x
+
+
+def restates(a: dict, b: dict, tau: float = LEDGER_TAU) -> bool:
+    """Whether two comparable claims are not disjoint in place and at least tau similar."""
+    from difflib import SequenceMatcher
+
+    x, y = set(a["tokens"]), set(b["tokens"])
+    if not _null(a["unit"]) and not _null(b["unit"]):
+        bounds = (a["start"], a["end"], b["start"], b["end"])
+        if a["unit"] != b["unit"] or (not any(map(_null, bounds)) and not (bounds[0] <= bounds[3] and bounds[2] <= bounds[1])):
+            return False
+    both = len(x & y)
+    sets = max(both / len(x | y), 0.85 * both / min(len(x), len(y))) if x and y else 0.0
+    return sets >= tau or SequenceMatcher(None, a["norm"].split(), b["norm"].split()).ratio() >= tau
+
+
 def ledger_rounds(rounds: DataFrame, tau: float = LEDGER_TAU) -> DataFrame:
     """run_id, round, ledger (claims kept), retired and added counts, by folding a run's rounds in order.
 
@@ -226,21 +250,7 @@ def ledger_rounds(rounds: DataFrame, tau: float = LEDGER_TAU) -> DataFrame:
     claim is added unless a kept one is not disjoint from it and at least tau similar.
     """
     kind = dict(rounds.dtypes)["run_id"]
-    claims = F.transform(
-        "claims", lambda c: F.struct(c["claim"].alias("claim"), text.content_tokens(c["claim"]).alias("tokens"), text.normalize(c["claim"]).alias("norm"), c["location"]["unit"].alias("unit"), c["location"]["start"].alias("start"), c["location"]["end"].alias("end"))
-    )
-
-    def similar(a: dict, b: dict) -> bool:
-        from difflib import SequenceMatcher
-
-        x, y = set(a["tokens"]), set(b["tokens"])
-        if a["unit"] is not None and b["unit"] is not None:
-            bounds = (a["start"], a["end"], b["start"], b["end"])
-            if a["unit"] != b["unit"] or (None not in bounds and not (bounds[0] <= bounds[3] and bounds[2] <= bounds[1])):
-                return False
-        both = len(x & y)
-        sets = max(both / len(x | y), 0.85 * both / min(len(x), len(y))) if x and y else 0.0
-        return sets >= tau or SequenceMatcher(None, a["norm"].split(), b["norm"].split()).ratio() >= tau
+    claims = F.transform("claims", comparable)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ledger: list[dict] = []
@@ -250,7 +260,7 @@ def ledger_rounds(rounds: DataFrame, tau: float = LEDGER_TAU) -> DataFrame:
             kept = [c for i, c in enumerate(ledger) if i not in gone]
             retired, before = len(ledger) - len(kept), len(kept)
             for c in row.claims if row.claims is not None else []:
-                if not any(similar(c, g) for g in kept):
+                if not any(restates(c, g, tau) for g in kept):
                     kept.append(c)
             ledger = kept
             out.append([key[0], int(row.round), [c["claim"] for c in ledger], retired, len(ledger) - before])

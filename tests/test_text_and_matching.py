@@ -245,3 +245,28 @@ def test_claim_queries_use_the_word_ratio(spark, tmp_path):
     best = {r.finding: r.defect for r in run("many_to_one_matches")}
     assert best == {i: max((d for f, d in edges if f == i), key=lambda j: (plain[i, j][0], j)) for i, _ in edges}
     assert {(r.finding, r.defect) for r in identity.edges_of(spark, str(tmp_path)).collect()} == edges
+
+
+def test_loop_ledger_compares_places_and_the_whole_similarity(spark):
+    items = spark.createDataFrame([("a", "line one\nline two")], "id string, artifact string")
+    at = lambda claim, unit=None, start=None, end=None: {"claim": claim, "unit": unit, "start": start, "end": end}
+    first = [at("unused import", "a.py", 1, 1), at("buffer read after release inside parser", "c.py", 3, 4)]
+    new = [
+        at("unused import", "b.py", 1, 1),  # another unit
+        at("unused import", "a.py", 9, 9),  # other lines
+        at("unused import", "a.py", 1, 2),  # the same place: stated
+        at("buffer release parser", "c.py", 4, 5),  # contained wording: 0.85 similar by overlap
+        at("unused import"),  # not located: compatible with any place
+        at("socket left open"),
+        at("socket left open", "d.py", 1, 1),  # stated by an earlier new claim
+    ]
+
+    def client(prompt):
+        return f"RETIRE\nNEW\n{json.dumps(new)}" if "Ledger" in prompt else json.dumps(first)
+
+    got = loop.run_loop(items, client, loop.LoopConfig("l", rounds=2, memory=True, ledger=True)).where("round = 1").first().findings
+    shown = [(f.claim, f.location and (f.location.unit, f.location.start)) for f in got]
+    assert shown == [
+        ("unused import", ("a.py", 1)), ("buffer read after release inside parser", ("c.py", 3)), ("unused import", ("b.py", 1)), ("unused import", ("a.py", 9)), ("socket left open", None),
+    ]
+    assert [f.id for f in got] == [f"r1-f{i}" for i in range(5)]
