@@ -68,14 +68,23 @@ class Cron:
     def matches(self, ts: Column) -> Column:
         return F.minute(ts).isin(*self.minutes) & F.hour(ts).isin(*self.hours) & self.day_matches(ts)
 
-    def next_after(self, ts: Column, horizon_days: int = 366) -> Column:
-        """The first matching minute after ts, null beyond the horizon (days, one array per row)."""
+    def next_after(self, ts: Column, horizon_days: int = 366 * 8) -> Column:
+        """The first matching minute after ts, null beyond the horizon (days, one array per row).
+
+        Eight years hold a 29 February, also around a century's end; years after the first are searched only
+        where the first has no match.
+        """
         slots = F.array(*[F.lit(h * 60 + m) for h in self.hours for m in self.minutes])
         now = F.hour(ts) * 60 + F.minute(ts)
         today = F.try_element_at(F.filter(slots, lambda s: s > now), F.lit(1))
         day = F.to_date(ts)
-        days = F.filter(F.sequence(F.lit(1), F.lit(horizon_days)), lambda d: self.day_matches(F.date_add(day, d)))
-        later = F.date_add(day, F.try_element_at(days, F.lit(1)))
+
+        def first_day(low: int, high: int) -> Column:
+            days = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda d: self.day_matches(F.date_add(day, d)))
+            return F.try_element_at(days, F.lit(1))
+
+        near = first_day(1, min(horizon_days, 366))
+        later = F.date_add(day, F.coalesce(near, first_day(367, horizon_days)) if horizon_days > 366 else near)
 
         def at(d: Column, slot: Column) -> Column:
             return F.timestamp_add("MINUTE", slot, d.cast("timestamp_ntz"))

@@ -29,6 +29,12 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, value: str, width: in
     return out.withColumn("variance", F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("_v")).drop("_v")
 
 
+def rolling_percentiles(df: DataFrame, keys: list[str], ts: str, value: str, width: int, shares: dict[str, float]) -> DataFrame:
+    """df with a column for each named share (0.5: the median), interpolated, of the window that ends at each row."""
+    w = Window.partitionBy(*keys).orderBy(ts).rangeBetween(-width + 1, 0)
+    return df.select("*", *[F.percentile(F.col(value), F.lit(p)).over(w).alias(name) for name, p in shares.items()])
+
+
 def snapshot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, min, max, p50 and p95 (linear interpolation) per key."""
     v = F.col(value)

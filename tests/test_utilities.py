@@ -230,3 +230,28 @@ def test_gold_classes_are_balanced(spark, tmp_path):
     single = spark.createDataFrame([(i, "one") for i in range(8)], "item_id bigint, text string")
     single.write.parquet(f"{tmp_path}/few/benchmark.parquet")
     assert {r.source for r in utilities.gold_pairs(spark, f"{tmp_path}/few").collect()} == {"same-artifact"}
+
+
+def test_cron_finds_the_next_29_february(spark):
+    import datetime as dt
+
+    spec = schedule.Cron.parse("30 6 29 2 *")
+    for after, want in (((2024, 3, 1), 2028), ((2096, 3, 1), 2104), ((2027, 6, 1), 2028)):
+        t = F.lit(dt.datetime(*after)).cast("timestamp_ntz")
+        got, = spark.range(1).select(spec.next_after(t)).first()
+        assert got == dt.datetime(want, 2, 29, 6, 30)
+    t = F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz")
+    assert spark.range(1).select(spec.next_after(t, 366)).first()[0] is None
+    assert spark.range(1).select(schedule.Cron.parse("0 0 30 2 *").next_after(t)).first()[0] is None
+
+
+def test_rolling_percentiles(spark):
+    import numpy as np
+
+    rows = [(k, t, float((t * 7 + len(k)) % 11)) for k in ("a", "bb") for t in (0, 1, 4, 5, 6, 20, 21)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = rolling.rolling_percentiles(df, ["k"], "t", "v", 5, {"median": 0.5, "p90": 0.9}).collect()
+    for r in got:
+        near = [v for k, t, v in rows if k == r.k and r.t - 5 < t <= r.t]
+        assert (r.median, r.p90) == pytest.approx((np.median(near), np.percentile(near, 90)))
+    assert len(got) == len(rows)
