@@ -30,6 +30,8 @@ from .common import written
 
 #: Slack for rounding when bounds are compared (unit vectors, double precision).
 SLACK = 1e-9
+#: Squared distances that differ by less may be ties: the rounding of 2 - 2 cos, many times over.
+TIE = 1e-12
 
 
 class VPTree:
@@ -71,6 +73,10 @@ class VPTree:
             self._visit(0, queries, np.arange(len(queries)), rows, dist, relax)
         return rows, dist
 
+    def within(self, query: np.ndarray, squared: float) -> np.ndarray:
+        """The rows of all points at most so far, squared, from a unit query."""
+        return np.flatnonzero(2 - 2 * (self.unit @ query) <= squared)
+
     def _visit(self, node: int, q: np.ndarray, active: np.ndarray, rows: np.ndarray, dist: np.ndarray, relax: float) -> None:
         n = self.nodes[node]
         if len(n) == 2:
@@ -166,11 +172,16 @@ def nearest(
                 qv = np.frombuffer(r["q_vecs"], np.float64).reshape(len(qi), -1)
                 qn = np.sqrt((qv * qv).sum(1))
                 # One more than k: the query itself may be among them; its copies share its distinct vector.
-                rows, _ = tree.search(qv / qn[:, None], min(k + 1, len(distinct)) + 4, relax)
+                unit = qv / qn[:, None]
+                rows, dist = tree.search(unit, min(k + 1, len(distinct)) + 4, relax)
                 out: list[tuple[int, int, float]] = []
                 for a in range(len(qi)):
                     found: list[tuple[float, int]] = []
-                    for p in rows[a][rows[a] >= 0]:
+                    near = rows[a][rows[a] >= 0]
+                    # Where all kept ones tie with the last that counts, others may too (copies of other lengths).
+                    if len(distinct) > rows.shape[1] and dist[a].max() ** 2 <= (last := np.partition(dist[a], k)[k] ** 2 + TIE):
+                        near = tree.within(unit[a], last)
+                    for p in near:
                         s = float((qv[a] * distinct[p]).sum() / (qn[a] * norms[p]))
                         found += [(-s, int(x)) for x in ids[starts[p] : min(starts[p + 1], starts[p] + k + 1)] if x != qi[a]]
                     out += [(int(qi[a]), x, -s) for s, x in sorted(found)[:k]]

@@ -442,6 +442,25 @@ def test_nearest_equals_brute_force(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(two, lambda i: i % 50 == 0).collect()] == [(0, 1, 1)]
 
 
+def test_neighbours_of_scaled_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 16))
+    scaled = [(base[0] * 2.0**e) for e in range(-10, 10)] + [base[1] * (i + 1) for i in range(20)] + list(rng.normal(size=(60, 16)))
+    ids = rng.permutation(len(scaled))
+    vectors = {int(i): v for i, v in zip(ids, scaled, strict=True)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    score = lambda x, y: float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())))
+    for shard_rows in (1_000, 30):
+        got: dict = {}
+        for r in vptree.nearest(df, lambda i: i >= 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        copies = [int(i) for i in ids[:20]]
+        for q, found in got.items():
+            want = sorted((x for x in vectors if x != q), key=lambda x: (-score(vectors[q], vectors[x]), x))[:5]
+            assert found == want or q not in copies and [score(vectors[q], vectors[x]) for x in found] == pytest.approx([score(vectors[q], vectors[x]) for x in want], abs=1e-12)
+        assert len(got) == len(vectors)
+
+
 # language -----------------------------------------------------------------------------------------
 
 
