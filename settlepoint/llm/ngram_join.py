@@ -267,7 +267,7 @@ def _compared(shipped: DataFrame, threshold: float, tolerance: float) -> DataFra
     return dealt.mapInArrow(run, "class_id bigint, links bigint, root bigint")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-4, block: int = 512) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
     """Per document: doc_id, class_id, n_links, copy_id.
 
     class_id is the smallest id that the document reaches over links (similarity >= threshold), n_links

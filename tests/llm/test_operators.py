@@ -258,6 +258,24 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.dedup(docs([])).count() == 0
 
 
+def test_all_checks_together_seldom_prune_a_link():
+    import inspect
+    from math import comb
+
+    fewest = ngram_join.fewest_matches(0.8, inspect.signature(ngram_join.jaccard_join).parameters["tolerance"].default)
+    for similarity in (0.8, 0.85, 0.9):
+        chance = [comb(ngram_join.ROWS, x) * similarity**x * (1 - similarity) ** (ngram_join.ROWS - x) for x in range(ngram_join.ROWS + 1)]
+        alive, lost = {0: 1.0}, 0.0
+        for at in range(ngram_join.ROWS, ngram_join.N_HASHES + 1, ngram_join.ROWS):
+            after: dict = {}
+            for equal, p in alive.items():
+                for x, q in enumerate(chance):
+                    after[equal + x] = after.get(equal + x, 0.0) + p * q
+            alive = {equal: p for equal, p in after.items() if equal >= fewest[at]}
+            lost += sum(p for equal, p in after.items() if equal < fewest[at])
+        assert lost < 1e-4
+
+
 # line dedup ---------------------------------------------------------------------------------------
 
 
