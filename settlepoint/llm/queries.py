@@ -74,7 +74,8 @@ def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+    found = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+    return found.select("doc_id", "class_id", "n_links", "copy_id")
 
 
 def op6_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,48 +174,93 @@ def test_reversed_host_key(spark):
 
 
 def brute_links(rows, t=0.8, n=5):
-    sets = {}
-    for i, text in rows:
+    """A (class id, links) for each row; a null id sorts last."""
+    sets = []
+    for _, text in rows:
         w = re.findall(r"\w+", (text or "").lower())
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-    ids = sorted(sets)
-    links, root = {i: 0 for i in ids}, {i: i for i in ids}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    links, root = [0] * len(rows), list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for a in ids:
-        for b in ids:
+    for at, a in enumerate(order):
+        for b in order[at + 1 :]:
             inner = len(sets[a] & sets[b])
-            if a < b and inner and inner >= t * len(sets[a] | sets[b]):
+            if inner and 5 * inner >= 5 * t * (len(sets[a]) + len(sets[b]) - inner):
                 links[a] += 1
                 links[b] += 1
-                p, q = sorted((find(a), find(b)))
+                p, q = sorted((find(a), find(b)), key=order.index)
                 root[q] = p
-    return {i: (find(i), links[i]) for i in ids}
+    return [(rows[find(k)][0], links[k]) for k in range(len(rows))]
+
+
+def near_copies(rng, size, copies, edits, first=0):
+    base = prose(rng, size).split()
+    out = []
+    for k in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(0, edits)):
+            w[rng.randrange(len(w))] = "Edit" + str(rng.randrange(9))
+        out.append((first + k, " ".join(w)))
+    return out
+
+
+def joined(df):
+    return sorted(((r.doc_id, r.text_hash, r.class_id, r.n_links) for r in df.collect()), key=str)
+
+
+def wanted(spark, rows):
+    hashes = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k bigint, t string").select("k", F.xxhash64("t").alias("h")).collect()
+    hashes = {r.k: r.h for r in hashes}
+    return sorted(((i, hashes[k], *found) for k, ((i, _), found) in enumerate(zip(rows, brute_links(rows), strict=True))), key=str)
 
 
 @pytest.mark.parametrize("block", [512, 7])
 def test_jaccard_join_equals_brute_force(spark, docs, block):
     rng, rows = random.Random(11), []
-    for g in range(6):
-        base = prose(rng, 120).split()
-        for _ in range(12):
-            w = list(base)
-            for _ in range(rng.randrange(0, 4)):
-                w[rng.randrange(len(w))] = "Edit" + str(rng.randrange(9))
-            rows.append((len(rows), " ".join(w)))
+    for _ in range(6):
+        rows += near_copies(rng, 120, 12, 4, len(rows))
+    rows += near_copies(rng, 100, 60, 9, 300)  # two groups that meet and do not link throughout
+    rows += [(400 + k, t.replace("e", "é", 1) + " " + prose(rng, 3)) for k, (_, t) in enumerate(rows[-20:])]
     rows += [(200, rows[0][1]), (201, rows[0][1].upper()), (202, None), (203, ""), (204, "one two"), (205, "One, two!"), (206, "..."), (207, prose(rng, 30_000))]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(docs(rows), block=block).collect()}
-    assert got == brute_links(rows)
+    got = ngram_join.jaccard_join(docs(rows), block=block)
+    assert joined(got) == wanted(spark, rows)
+
+
+def test_jaccard_join_of_a_large_group(spark, docs):
+    """Two thousand near copies, of which most links are certain, equal rows and a repeated id among them."""
+    rng = random.Random(12)
+    rows = near_copies(rng, 60, 700, 4) + near_copies(rng, 150, 1300, 4, 700)
+    rows += rows[5:9] + [(6, rows[900][1]), (6, prose(rng, 40)), (None, rows[10][1]), (None, rows[10][1] + " and more")]
+    got = ngram_join.jaccard_join(docs(rows, extra=False))
+    assert joined(got) == wanted(spark, rows)
+    heads = {(r.doc_id, r.text_hash) for r in got.where("first").collect()}
+    classes = {r.class_id for r in got.select("class_id").distinct().collect()}
+    assert {i for i, _ in heads} == classes
+
+
+def test_tight_groups_ask_for_few_rows(spark, docs):
+    """Where all links of a pivot are certain, no unit holds its members."""
+    rng = random.Random(13)
+    payloads = ngram_join._payloads(docs(near_copies(rng, 400, 300, 3), extra=False).selectExpr("doc_id id", "0L hash", "0L pivot_id", "0L pivot_hash", "1L copies", "text"), 5)
+    pivot = spark.createDataFrame([(0, 0)], "p_id bigint, p_hash bigint")
+    stars = ngram_join._stars(payloads, pivot, ngram_join.Fraction(4, 5), 1e-6).cache()
+    assert stars.where("linked").count() == 299
+    assert ngram_join._within(stars, 16).count() == 0
+    assert {r.links for r in ngram_join._certain(stars).collect()} == {298}
 
 
 def test_jaccard_join_defined_cases(spark, docs):
     text = "a b c d e f g"
-    got = ngram_join.jaccard_join(docs([(None, text), (3, text), (3, text), (None, None)])).collect()
-    assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in got if r.class_id) == [(0, 3, 2), (3, 3, 2), (3, 3, 2)]
+    other = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (3, text), (3, text), (None, None), (3, other), (4, other + " x"), (None, "q r s t u v"), (None, "q r s t u v")]
+    got = ngram_join.jaccard_join(docs(rows))
+    assert joined(got) == wanted(spark, rows)
     assert ngram_join.jaccard_join(docs([])).count() == 0
 
 
