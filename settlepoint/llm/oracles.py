@@ -75,7 +75,7 @@ WITH u AS (
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
-SELECT query_id, rank, vec_id, round(score, 12) AS score FROM r WHERE rank <= 5
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 

@@ -52,8 +52,7 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vptree.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, relax=1.0)
-    return found.withColumn("score", F.round("score", 12))
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, relax=1.0)
 
 
 def op10_chat_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,19 @@ distance tau of its k-th best so far and skips a half whose points the triangle
 than tau / relax away: relax = 1 prunes only what cannot matter (exact search), larger values prune more.
 Queries descend together in blocks, so distances are matrix products over leaves and vantage points.
 
-Vectors are dealt to shards by a hash of their ids and packed to binary rows there; a shard of identical
-vectors keeps, for each distinct vector, as many of its smallest ids as a result can hold. Query blocks
-are sent to each shard (a stated query set against all rows, in blocks); each pair of a shard and a
-block is one row of work and gives at most k rows a query, which a window by query ranks.
-
-Defined cases: null vectors, zero vectors, vectors with null or non-finite components and vectors of
-another length than the most frequent one take no part, neither as queries nor as candidates; ties go
-to the smaller id; repeated ids are candidates of their own except for a query of the same id; fewer
-candidates than k give fewer rows; extra columns are ignored.
+Vectors are dealt to shards of bounded bytes by their length and a hash of their ids; queries go, in blocks,
+to every shard of vectors of their length (a stated query set against all rows). One shuffle brings a
+shard's pieces and then its query blocks to a task, which builds the tree once and gives at most k rows a
+query, which a window by query ranks. A shard of identical vectors keeps, for each distinct vector, as many
+of its smallest ids as a result can hold.
+
+Scores are sums in the order of the components, so that any engine that adds in that order gets the same.
+
+Defined cases: null vectors, zero vectors and vectors with null or non-finite components take no part,
+neither as queries nor as candidates; there is no angle between vectors of different lengths, so a query's
+candidates are the vectors of its own length; null ids take no part; ties go to the smaller id; repeated
+ids are candidates of their own except for a query of the same id; fewer candidates than k give fewer rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Slack for rounding when bounds are compared (unit vectors, double precision).
 SLACK = 1e-9
@@ -108,86 +112,94 @@ def _usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of rows, added in the order of the components (numpy's own sums are pairwise)."""
+    return np.add.accumulate(rows, axis=1)[:, -1]
+
+
+class Shard:
+    """The distinct vectors of a shard, their ids and tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.vectors, of = np.unique(vectors, axis=0, return_inverse=True)
+        by = np.lexsort((ids, of.reshape(-1)))
+        self.ids = ids[by]
+        self.starts = np.searchsorted(of.reshape(-1)[by], np.arange(len(self.vectors) + 1))
+        self.norms = np.sqrt(_sums(self.vectors * self.vectors))
+        self.tree = VPTree(self.vectors / self.norms[:, None])
+
+    def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query ids, ids and scores of the k nearest of each query, best first."""
+        norms = np.sqrt(_sums(vectors * vectors))
+        unit = vectors / norms[:, None]
+        # One more than k: the query itself may be among them; its copies share its distinct vector.
+        rows, dist = self.tree.search(unit, min(k + 1, len(self.vectors)) + 4, relax)
+        out: list[tuple] = []
+        for a, i in enumerate(ids):
+            near = rows[a][rows[a] >= 0]
+            # Where all kept ones tie with the last that counts, others may too.
+            if len(self.vectors) > rows.shape[1] and dist[a].max() ** 2 <= (last := np.partition(dist[a], k)[k] ** 2 + TIE):
+                near = self.tree.within(unit[a], last)
+            scores = _sums(vectors[a] * self.vectors[near]) / (norms[a] * self.norms[near])
+            kept = np.minimum(self.starts[near + 1] - self.starts[near], k + 1)
+            at = np.repeat(self.starts[near] - np.cumsum(kept) + kept, kept) + np.arange(kept.sum())
+            found, score = self.ids[at], np.repeat(scores, kept)
+            best = np.lexsort((found, -score))
+            best = best[found[best] != i][:k]
+            out.append((np.full(len(best), i), found[best], score[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def nearest(
-    vectors: DataFrame, query_filter, k: int = 5, relax: float = 1.0, shard_rows: int = 65_536, block_rows: int = 2_048,
+    vectors: DataFrame, query_filter, k: int = 5, relax: float = 1.0, shard_bytes: int = 4 << 20, block_rows: int = 2_048,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row that query_filter selects."""
     usable = _usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "v")
-    usable = written(usable.where("id is not null"), "vectors")
-    sizes = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes:
-        usable = usable.where(F.size("v") == sizes["n"])
-    n = usable.count()
-    n_shards = max(1, -(-n // shard_rows))
-    n_blocks = max(1, -(-usable.where(query_filter(F.col("id"))).count() // block_rows))
-
-    def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
-        """A row per part: part, ids and vectors as binary."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, ids, vecs = None, [], []
-
-            def row() -> pa.RecordBatch:
-                i, v = np.concatenate(ids), np.concatenate(vecs)
-                arrays = [pa.array([part], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())]
-                return pa.RecordBatch.from_arrays(arrays, ["part", "ids", "vecs"])
-
-            for b in batches:
-                parts_here = b.column(0).to_numpy()
-                edges = [0, *(np.flatnonzero(parts_here[1:] != parts_here[:-1]) + 1).tolist(), len(parts_here)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if part is not None and parts_here[lo] != part:
-                        yield row()
-                        ids, vecs = [], []
-                    part = int(parts_here[lo])
-                    ids.append(b.column(1).to_numpy()[lo:hi])
-                    vecs.append(b.column(2).slice(lo, hi - lo).flatten().to_numpy())
-            if ids:
-                yield row()
-
-        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "v")
-        dealt = dealt.repartition("part").sortWithinPartitions("part", "id")
-        return dealt.mapInArrow(run, f"part int, ids binary, vecs binary").toDF("part", f"{name}_ids", f"{name}_vecs")
-
-    shards = written(packed(usable, n_shards, "s"), "shards")
-    blocks = written(packed(usable.where(query_filter(F.col("id"))), n_blocks, "q").withColumnRenamed("part", "block"), "blocks")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("part")
-    work = blocks.select("*", every).repartition(n_blocks * n_shards, "part", "block").join(shards, "part")
+    usable = written(usable.where("id is not null").select("id", F.size("v").cast("long").alias("dim"), "v"), "vectors")
+    shards = usable.groupBy("dim").agg(F.ceil(F.count("*") * 8 * F.col("dim") / shard_bytes).alias("shards"))
+    shards = written(shards, "shards")
+    n_shards = shards.agg(F.sum("shards")).first()[0] or 1
+    sized = usable.join(shards, "dim")
+    dealt = sized.select(F.lit(0).alias("kind"), "dim", F.pmod(F.xxhash64("id"), F.col("shards")).alias("part"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one part that follow each other, as binary (at most an Arrow batch of them)."""
+        for b in batches:
+            kind, dim, part = (b.column(c).to_numpy() for c in range(3))
+            new = (kind[1:] != kind[:-1]) | (dim[1:] != dim[:-1]) | (part[1:] != part[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            spans = [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo]
+            ids, flat = b.column(3).to_numpy(), b.column(4)
+            cells = [[x[lo] for lo, _ in spans] for x in (kind, dim, part)]
+            cells += [[ids[lo:hi].tobytes() for lo, hi in spans], [flat.slice(lo, hi - lo).flatten().to_numpy().tobytes() for lo, hi in spans]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["kind", "dim", "part", "ids", "vecs"])
+
+    small_batches(usable.sparkSession, block_rows)
+    pieces = "kind int, dim bigint, part bigint, ids binary, vecs binary"
+    candidates = dealt.sortWithinPartitions("dim", "part").mapInArrow(packed, pieces)
+    asked = sized.where(query_filter(F.col("id")))
+    blocks = asked.select(F.lit(1).alias("kind"), "dim", F.lit(-1).cast("long").alias("part"), "id", "v").sortWithinPartitions("dim").mapInArrow(packed, pieces)
+    blocks = written(blocks, "blocks").join(shards, "dim").select("kind", "dim", every, "ids", "vecs")
+    work = candidates.unionByName(blocks).repartition(max(1, int(n_shards)), "dim", "part").sortWithinPartitions("dim", "part", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built: tuple | None = None
+        now, held, shard = None, [], None
         for b in batches:
-            for r in b.to_pylist():
-                if built is None or built[0] != r["part"]:
-                    ids = np.frombuffer(r["s_ids"], np.int64)
-                    full = np.frombuffer(r["s_vecs"], np.float64).reshape(len(ids), -1)
-                    distinct, first, of = np.unique(full, axis=0, return_index=True, return_inverse=True)
-                    by = np.lexsort((ids, of.reshape(-1)))
-                    starts = np.searchsorted(of.reshape(-1)[by], np.arange(len(distinct) + 1))
-                    norms = np.sqrt((distinct * distinct).sum(1))
-                    built = (r["part"], distinct, norms, ids[by], starts, VPTree(distinct / norms[:, None]))
-                _, distinct, norms, ids, starts, tree = built
-                qi = np.frombuffer(r["q_ids"], np.int64)
-                qv = np.frombuffer(r["q_vecs"], np.float64).reshape(len(qi), -1)
-                qn = np.sqrt((qv * qv).sum(1))
-                # One more than k: the query itself may be among them; its copies share its distinct vector.
-                unit = qv / qn[:, None]
-                rows, dist = tree.search(unit, min(k + 1, len(distinct)) + 4, relax)
-                out: list[tuple[int, int, float]] = []
-                for a in range(len(qi)):
-                    found: list[tuple[float, int]] = []
-                    near = rows[a][rows[a] >= 0]
-                    # Where all kept ones tie with the last that counts, others may too (copies of other lengths).
-                    if len(distinct) > rows.shape[1] and dist[a].max() ** 2 <= (last := np.partition(dist[a], k)[k] ** 2 + TIE):
-                        near = tree.within(unit[a], last)
-                    for p in near:
-                        s = float((qv[a] * distinct[p]).sum() / (qn[a] * norms[p]))
-                        found += [(-s, int(x)) for x in ids[starts[p] : min(starts[p + 1], starts[p] + k + 1)] if x != qi[a]]
-                    out += [(int(qi[a]), x, -s) for s, x in sorted(found)[:k]]
-                if out:
-                    q, x, s = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+            for kind, dim, part, ids, vecs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (dim, part) != now:
+                    now, held, shard = (dim, part), [], None
+                piece = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)
+                if not kind:
+                    held.append(piece)
+                    continue
+                if shard is None and held:
+                    shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if shard is not None:
+                    found = shard.nearest(*piece, k, relax)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     found = work.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
