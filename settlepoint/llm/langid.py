@@ -7,9 +7,9 @@ so a byte's exact code length is a function of the byte and its three predecesso
 flattened into tables from byte strings to code lengths per language, and a document's score is the sum
 over its whole text, looked up a batch at a time.
 
-The trees are learned from at most ``per_language`` documents of each language, the first by a hash of
-their ids (a documented bound on what the driver holds); prediction covers every row and whole texts in
-one pass without a shuffle.
+The trees are learned from at most ``per_language`` documents and ``max_bytes`` of each language, the first by
+a hash of their ids (a documented bound on what the driver holds), and broadcast; prediction covers every row
+and whole texts in one pass without a shuffle.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0.0; ties go to the first
 language by name; with no training rows all predictions are ``und``; repeated rows score alike; an
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, spare, written
 
 START = b"\n\n\n"
 #: Bytes that are looked up at a time; a worker's tables of code lengths hold some 60 bytes for each.
@@ -47,8 +47,10 @@ class ContextTrees:
         self.cost1 = np.empty((1 << 16, n_lang), np.float32)
         self.escape2 = np.zeros((1 << 16, n_lang), np.float32)
         # Three-byte strings serve as strings and as contexts (the start marks are a context only).
-        self.keys3 = np.unique(np.concatenate([x for g in grams for x in (g[2], g[3] >> np.uint32(8))])) if n_lang else np.zeros(0, np.uint32)
-        self.keys4 = np.unique(np.concatenate([g[3] for g in grams])) if n_lang else np.zeros(0, np.uint32)
+        # Zero is always among them, so that trees of empty texts have tables to look into.
+        zero = np.zeros(1, np.uint32)
+        self.keys3 = np.unique(np.concatenate([zero, *(x for g in grams for x in (g[2], g[3] >> np.uint32(8)))]))
+        self.keys4 = np.unique(np.concatenate([zero, *(g[3] for g in grams)]))
         self.cost2 = np.empty((len(self.keys3), n_lang), np.float32)
         self.escape3 = np.zeros((len(self.keys3) + 1, n_lang), np.float32)
         self.cost3 = np.empty((len(self.keys4), n_lang), np.float32)
@@ -60,11 +62,11 @@ class ContextTrees:
                 c[keys] = self._bits(n, (total + kinds)[keys >> 8])
             self.cost0[:, k] = c
             c = np.tile(c, 256)
-            esc, own, keys = self._order(g2)
+            esc, own, keys = self._order(g2, 16)
             c += np.repeat(esc, 256)
             c[keys] = own
             self.cost1[:, k] = c
-            esc, own, keys = self._order(g3)
+            esc, own, keys = self._order(g3, 24)
             self.escape2[:, k] = esc
             c2 = esc[self.keys3 >> 8] + c[self.keys3 & 0xFFFF]
             c2[np.searchsorted(self.keys3, keys)] = own
@@ -78,13 +80,17 @@ class ContextTrees:
             held[(held >= len(self.keys3)) | (self.keys3[np.minimum(held, len(self.keys3) - 1)] != contexts)] = len(self.keys3)
             self.escape3[held, k] = esc3
             self.escape3[-1, k] = 0
-            at3 = np.searchsorted(contexts, self.keys4 >> 8)
-            at3c = np.minimum(at3, max(0, len(contexts) - 1))
-            e = np.where(contexts[at3c] == self.keys4 >> 8, esc3[at3c], 0.0)
-            c3 = e + c2[np.searchsorted(self.keys3, self.keys4 & 0xFFFFFF)]
+            c3 = self._lower(c2)
+            if len(contexts):
+                at3 = np.minimum(np.searchsorted(contexts, self.keys4 >> 8), len(contexts) - 1)
+                c3 = c3 + np.where(contexts[at3] == self.keys4 >> 8, esc3[at3], 0.0)
             c3[np.searchsorted(self.keys4, keys)] = self._bits(n, (total + kinds)[of])
             self.cost3[:, k] = c3
 
+    def _lower(self, c2: np.ndarray) -> np.ndarray:
+        """Code lengths after two predecessors, for the four-byte strings (whose last three bytes are among keys3)."""
+        return c2[np.searchsorted(self.keys3, self.keys4 & 0xFFFFFF)]
+
     @staticmethod
     def _grams(b: np.ndarray) -> tuple[np.ndarray, ...]:
         """Byte strings of 1 to 4 bytes that end at each byte from the fourth on."""
@@ -105,18 +111,13 @@ class ContextTrees:
         kinds = np.bincount(keys >> 8, minlength=size)
         return total > 0, keys, n, total, kinds
 
-    def _order(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _order(self, grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Escape bits by context (0 where unseen), code lengths of the seen strings, those strings."""
-        bits = 24 if len(grams) and int(grams.max()) >> 16 or grams is not None and self._wide(grams) else 16
         seen, keys, n, total, kinds = self._contexts(grams, bits)
         esc = np.zeros(len(total))
         esc[seen] = self._bits(kinds[seen], (total + kinds)[seen])
         return esc, self._bits(n, (total + kinds)[keys >> 8]), keys
 
-    @staticmethod
-    def _wide(grams: np.ndarray) -> bool:
-        return bool(len(grams)) and bool((grams >> 16).any())
-
 
 class CodeLengths:
     """Looks code lengths up; built once in each worker from the frozen trees."""
@@ -169,19 +170,26 @@ class CodeLengths:
         return out
 
 
-def fit(train: DataFrame, per_language: int = 300) -> ContextTrees | None:
-    """Trees from the text and lang of a table of doc_id, text, lang (null langs and texts are ignored)."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.where("lang is not null and text is not null").select("doc_id", "lang")
-    ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    languages = ids.select("lang").distinct().count()
-    if not languages:
+def fit(train: DataFrame, per_language: int = 300, max_bytes: int = 8 << 20) -> ContextTrees | None:
+    """Trees from the text and lang of a table of doc_id, text, lang (null langs and texts are ignored).
+
+    They are learned from the first per_language rows of a language by a hash of their ids, as far as these
+    rows together have max_bytes; a row that is repeated is learned from once.
+    """
+    text = F.xxhash64("text")
+    train = train.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    first = Window.partitionBy("lang").orderBy("_order", "doc_id", "_text")
+    ids = train.select("doc_id", "lang", text.alias("_text"), F.octet_length("text").cast("long").alias("_bytes"), F.xxhash64("doc_id").alias("_order"))
+    ids = ids.where(F.col("_bytes") <= max_bytes).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    ids = written(ids.withColumn("_sum", F.sum("_bytes").over(first)).where(F.col("_sum") <= max_bytes), "sample")
+    # At most per_language rows for each language: bounded, so broadcast.
+    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_text").distinct())
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (text == F.col("_text"))
+    rows = train.join(chosen, here).dropDuplicates(["doc_id", "lang", "_text"]).select("lang", "text", "doc_id").collect()
+    if not rows:
         return None
-    # One row per sampled document, per_language for each language: bounded, so broadcast.
-    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).dropDuplicates())
-    rows = train.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", "doc_id")
     samples: dict[str, list[bytes]] = {}
-    for lang, text, _ in sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1])):
+    for lang, text, _ in sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0, r[1])):
         samples.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
     return ContextTrees(samples)
 
@@ -192,10 +200,13 @@ def predict(docs: DataFrame, trees: ContextTrees | None, text: str = "text") ->
     if trees is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     small_batches(docs.sparkSession, 256)
-    lettered = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    (letter_name,) = spare(docs.columns, "_letter")
+    lettered = docs.withColumn(letter_name, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
         lengths = CodeLengths(trees)
         for b in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(at)]
