@@ -15,9 +15,11 @@ name and only the rows of a successful attempt name them, so lost executors, ret
 leave at most unreferenced files. A task holds one record, one block and one directory at a time.
 
 Defined cases: a null payload is empty; equal payloads of any size (also empty ones) from ``dedup_bytes``
-on are deduplicated; a null or unparsable URL has its text as its key; rows that repeat a page id and
-payload are written as the response or as revisits like any other; an empty table gives no archives;
-extra columns are ignored.
+on are deduplicated; a null or unparsable URL has its text as its key; rows that repeat a URL and a page id
+are captures of their own, all of which a lookup returns; if such rows repeat the largest page id of equal
+payloads, all of them are responses; a null page id is never referred to, so that equal payloads of which
+no row has a page id are all responses; an empty table gives no archives; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -67,6 +69,11 @@ def keepers(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
     return hashed.join(groups, "_sha", "left").drop("_sha")
 
 
+def _arrow_uri(folder: str) -> str:
+    """Spark's name of a shared folder as pyarrow's file systems know it (file, hdfs, s3, gs, abfs)."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^abfss://", "abfs://", folder))
+
+
 def _header(lines: list[tuple[str, str]]) -> bytes:
     clean = (f"{k}: " + re.sub(r"[\r\n]+", " ", v) + "\r\n" for k, v in lines)
     return ("WARC/1.1\r\n" + "".join(clean) + "\r\n").encode("utf-8", "surrogatepass")
@@ -124,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: st
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(_arrow_uri(folder))
         store.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
         archive = index = None
@@ -177,7 +184,7 @@ class CaptureIndex:
     def __init__(self, folder: str, files: list[tuple[str, str, str, int, int]]):
         from pyarrow import fs
 
-        self.store, self.base = fs.FileSystem.from_uri(folder)
+        self.store, self.base = fs.FileSystem.from_uri(_arrow_uri(folder))
         self.files = files  # first_key, archive, index, directory_at, directory_length; ascending
         self.firsts = [f[0] for f in files]
         self.open_at: tuple | None = None
@@ -215,8 +222,8 @@ class CaptureIndex:
                 j += 1
             k += 1
 
-    def seek(self, key: str, page_id: int | None) -> tuple[int, list] | None:
-        """The capture of a key with this page id (keys and then ids ascend over blocks and files)."""
+    def seek(self, key: str, page_id: int | None) -> Iterator[tuple[int, list]]:
+        """The captures of a key with this page id (keys and then ids ascend over blocks and files)."""
         probe = (key, page_id is not None, page_id or 0)
         k = max(0, bisect.bisect_left(self.firsts, key) - 1)
         while k < len(self.files) and self.firsts[k] <= key:
@@ -225,16 +232,16 @@ class CaptureIndex:
             while j < len(directory) and directory[j][0] <= key:
                 keys, entries = self._block(k, j)
                 order = lambda at, keys=keys, entries=entries: (keys[at], entries[at][0] is not None, entries[at][0] or 0)
-                at = bisect.bisect_left(range(len(keys)), probe, key=order)
-                if at < len(keys):
-                    return (k, entries[at]) if order(at) == probe else None
+                for at in range(bisect.bisect_left(range(len(keys)), probe, key=order), len(keys)):
+                    if order(at) != probe:
+                        return
+                    yield k, entries[at]
                 j += 1
             k += 1
-        return None
 
 
 def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> DataFrame:
-    """The captures (see CAPTURE_SCHEMA) of requests, a table of key and page_id.
+    """The captures (see CAPTURE_SCHEMA) of requests, a table of key and page_id, once however often requested.
 
     The files' first keys are collected: one short row per written partition, whose number the writer
     bounds. Requests are sorted by range, so a task walks through neighbouring blocks and records.
@@ -252,26 +259,27 @@ def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(folder, files)
         archive: tuple | None = None
+        before: tuple | None = None
         for b in batches:
             out, size = [], 0
-            for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hit = index.seek(key, page_id)
-                if hit is None:
+            for request in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if request == before:
                     continue
-                k, (_, at, length, digest, _) = hit
-                if archive is None or archive[0] != k:
-                    archive = (k, index.store.open_input_file(f"{index.base}/{files[k][1]}"))
-                fields, body = parse_record(zlib.decompress(archive[1].read_at(length, at), 31))
-                kind = fields["warc-type"]
-                if kind == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                    raise ValueError(f"page {page_id}: its payload does not have its digest")
-                refers = fields.get("warc-refers-to")
-                refers = None if refers is None or refers == "<urn:page:None>" else int(refers[len("<urn:page:") : -1])
-                size += len(body)
-                out.append((page_id, int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2], kind, refers, fields["warc-target-uri"], body))
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out, size = [], 0
+                before, page_id = request, request[1]
+                for k, (_, at, length, digest, _) in index.seek(*request):
+                    if archive is None or archive[0] != k:
+                        archive = (k, index.store.open_input_file(f"{index.base}/{files[k][1]}"))
+                    fields, body = parse_record(zlib.decompress(archive[1].read_at(length, at), 31))
+                    kind = fields["warc-type"]
+                    if kind == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                        raise ValueError(f"page {page_id}: its payload does not have its digest")
+                    refers = fields.get("warc-refers-to")
+                    refers = None if refers is None else int(refers[len("<urn:page:") : -1])
+                    size += len(body)
+                    out.append((page_id, int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2], kind, refers, fields["warc-target-uri"], body))
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
