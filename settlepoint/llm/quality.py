@@ -64,12 +64,28 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASSES = _byte_classes()
-N_FEATURES = len(CLASS_NAMES) + 12
-_END_WITH_MARK = re.compile(r"[^\w\s.,;:!?'\")\]-](?=\s|\Z)|!!(?=\s|\Z)")
+#: Buckets that the byte trigrams of a text are hashed to (a power of two).
+TRIGRAMS = 1 << 10
+N_RATES = len(CLASS_NAMES) + 9
+N_FEATURES = N_RATES + TRIGRAMS
+#: Bytes whose trigrams are hashed at a time.
+PART = 1 << 20
+
+
+def trigram_counts(raw: np.ndarray) -> np.ndarray:
+    """Counts of the byte trigrams of a whole text by a hash of TRIGRAMS values."""
+    out = np.zeros(TRIGRAMS, np.int64)
+    for at in range(0, len(raw) - 2, PART):
+        b = raw[at : at + PART + 2].astype(np.uint32)
+        code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        hashed = code * np.uint32(2654435761) >> np.uint32(32 - (TRIGRAMS.bit_length() - 1))
+        out += np.bincount(hashed, minlength=TRIGRAMS)
+    return out
 
 
 class Featurizer:
-    """Features of a whole text, all of them rates or logarithms, so that length alone does not decide."""
+    """Features of a whole text, all of them rates or logarithms, so that length alone does not decide:
+    shares of byte classes and of hashed byte trigrams, word and line lengths, and how much repeats."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -83,10 +99,12 @@ class Featurizer:
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        out = np.zeros(N_FEATURES)
+        out = np.zeros(N_FEATURES, np.float32)
         k = len(CLASS_NAMES)
         if len(raw):
             out[:k] = np.sqrt(np.bincount(CLASSES[raw], minlength=k) / len(raw))
+        if len(raw) > 2:
+            out[N_RATES:] = np.sqrt(trigram_counts(raw) / (len(raw) - 2))
         words = text.split()
         n = len(words)
         if not n:
@@ -106,29 +124,23 @@ class Featurizer:
             out[k + 6] = 1 - len(np.unique(triples)) / len(triples)
         out[k + 7] = 1 - len(set(lines)) / max(1, len(lines))
         out[k + 8] = math.log1p(len(lines)) / 10
-        marked = len(_END_WITH_MARK.findall(text))
-        out[k + 9] = math.sqrt(min(1.0, marked / n))
-        out[k + 10] = math.log1p(marked) / 10
-        # The sparsest and densest lines tell texts that are junk in part.
-        shares = [x.count("|") / max(1, len(x)) for x in lines]
-        out[k + 11] = math.sqrt(max(shares, default=0.0))
         return out
 
 
 def fit_preferences(
-    x: np.ndarray, y: np.ndarray, pairs_per_step: int = 4096, steps: int = 800, ridge: float = 1e-4, seed: int = 7
+    x: np.ndarray, y: np.ndarray, pairs_per_step: int = 1024, steps: int = 800, ridge: float = 1e-3, seed: int = 7
 ) -> np.ndarray:
     """Weights w: loss is log(1 + exp(-(w . (x_preferred - x_other)))) over sampled preference pairs."""
     rng = np.random.default_rng(seed)
     good, bad = x[y == 1], x[y == 0]
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, m, v = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
     for step in range(1, steps + 1):
         d = good[rng.integers(len(good), size=pairs_per_step)] - bad[rng.integers(len(bad), size=pairs_per_step)]
-        lost = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+        lost = (1 / (1 + np.exp(np.clip(d @ w, -40, 40)))).astype(x.dtype)
         gradient = ridge * w - d.T @ lost / len(d)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        rate = 0.1 * (1 - step / (steps + 1))
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        rate = 0.02 * (1 - step / (steps + 1))
+        w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(x.dtype)
     return w
 
 
@@ -148,24 +160,33 @@ def quantile_threshold(utility: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(train: DataFrame, max_labelled: int = 8192, label: str = "quality", at: float = 0.7) -> dict:
-    """Model from a table of doc_id, text and the label (rows without a 0 or 1 label are ignored)."""
-    spark = train.sparkSession
-    small_batches(spark)
-    rows = train.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
+    """Model from a table of doc_id, text and the label (rows without a 0 or 1 label are ignored).
+
+    It learns from the first max_labelled pairs of id and label by a hash of the id; of rows that repeat
+    such a pair the one whose text has the smallest hash counts.
+    """
+    small_batches(train.sparkSession)
+    rows = train.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"), "text")
+    chosen = rows.select(F.col("doc_id").alias("id"), F.col("y").alias("its")).distinct()
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id", "its").limit(max_labelled))
+    rows = rows.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("y") == F.col("its")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer()
         for b in batches:
-            values = [features(t.as_py()).tolist() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.float64())), b.column(2)], ["doc_id", "x", "y"])
+            values = [features(t.as_py()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(values, pa.list_(pa.float32()))], ["doc_id", "y", "hash", "x"])
 
-    found = rows.mapInArrow(run, "doc_id bigint, x array<double>, y int").limit(max_labelled).toArrow().sort_by("doc_id")
-    x = np.array(found.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
+    featured = rows.select("doc_id", "y", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, y int, hash bigint, x array<float>")
+    one = featured.groupBy("doc_id", "y").agg(F.min_by("x", "hash").alias("x"))
+    found = one.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
     y = found.column("y").to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return {"constant": 0.0 if (y == 0).any() else 1.0}
-    mean, std = x.mean(0), x.std(0) + 1e-6
-    w = fit_preferences((x - mean) / std, y)
+    mean = x.mean(0, dtype=np.float64)
+    std = x.std(0, dtype=np.float64) + 1e-3
+    w = fit_preferences(((x - mean) / std).astype(np.float32), y).astype(np.float64)
     utility = (x - mean) / std @ w
     cut = quantile_threshold(utility, y)
     spread = max(1e-6, float(np.std(utility)))
@@ -173,8 +194,8 @@ def fit(train: DataFrame, max_labelled: int = 8192, label: str = "quality", at:
 
 
 def labelled_sample(labels: DataFrame, usable: Column, max_labelled: int = 8192, label: str = "quality") -> DataFrame:
-    """At most max_labelled rows of doc_id and label, the first by a hash of the id: bounded, so broadcast."""
-    rows = labels.where(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), label)
+    """At most max_labelled pairs of label_id and label, the first by a hash of the id: bounded, so broadcast."""
+    rows = labels.where(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias(label)).distinct()
     return F.broadcast(rows.orderBy(F.xxhash64("label_id"), "label_id", label).limit(max_labelled))
 
 
