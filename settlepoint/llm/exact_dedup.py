@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, spare, written
 
 
 class CountingQuotientFilter:
@@ -156,25 +156,38 @@ def repeated_fingerprints(prints: DataFrame, shards: int, filter_items: int = 1
     return dealt.mapInArrow(merge, "fp bigint, n bigint")
 
 
-def dedup_groups(docs: DataFrame) -> DataFrame:
-    """Byte-verified groups of two rows or more: text_sha256, keep_id, group_size."""
+#: Rows that a shard counts on average, at most.
+SHARD_ROWS = 1 << 21
+#: Buckets of fingerprints by which rows that may be repeated are told from the others: so many rows at most.
+BUCKETS = 1 << 20
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Fingerprints that the merged filters count more than once (written)."""
     spark = docs.sparkSession
     small_batches(spark, 65_536)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = docs.select(F.xxhash64(text).alias("fp"))
-    repeated = written(repeated_fingerprints(prints, shards).select("fp"), "repeated")
-    routed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp")).join(repeated, "fp")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ROWS))
+    prints = docs.select(F.xxhash64(_text()).alias("fp"))
+    return written(repeated_fingerprints(prints, shards).select("fp"), "repeated")
+
+
+def dedup_groups(docs: DataFrame) -> DataFrame:
+    """Byte-verified groups of two rows or more: text_sha256, keep_id, group_size."""
+    routed = docs.select("doc_id", _text().alias("text"), F.xxhash64(_text()).alias("fp")).join(_repeated(docs), "fp")
     groups = routed.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Every row of docs (all its columns) with keep_id, group_size, kept and text_sha256."""
+    """Every row of docs with keep_id, group_size, kept and text_sha256 (columns of these names are replaced)."""
     own = ["keep_id", "group_size", "kept", "text_sha256"]
     docs = docs.drop(*own)
-    groups = dedup_groups(docs)
-    hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    groups = dedup_groups(docs.select("doc_id", "text"))
+    hashed = docs.withColumn("text_sha256", F.sha2(_text(), 256))
     joined = hashed.join(groups, "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return (
@@ -182,3 +195,21 @@ def dedup(docs: DataFrame) -> DataFrame:
         .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with its columns: of equal texts one row, that with the largest doc_id.
+
+    Rows outside the buckets of repeated fingerprints pass without a shuffle. The others are grouped by text
+    with map-side combining, which takes the whole row of the largest id along, so that a group of any size
+    crosses the network once per partition and is never gathered.
+    """
+    fp, bucket, row, key = spare(docs.columns, "fp", "bucket", "row", "key")
+    repeated = _repeated(docs.select("text"))
+    marks = F.broadcast(repeated.select(F.pmod("fp", F.lit(BUCKETS)).alias(bucket)).distinct())
+    here = F.pmod(F.xxhash64(_text()), F.lit(BUCKETS)) == F.col(bucket)
+    alone = docs.join(marks, here, "left_anti")
+    routed = docs.join(marks, here, "left_semi")
+    packed = routed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), _text().alias(key), F.struct("doc_id").alias(fp))
+    grouped = packed.groupBy(key).agg(F.max_by(row, fp).alias(row))
+    return alone.unionByName(grouped.select(*[F.col(f"`{row}`.`{c}`") for c in docs.columns]))

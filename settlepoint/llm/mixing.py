@@ -6,7 +6,9 @@ sources). A source's repetition rate is target / size. Each document is emitted
 once more if a hash of its id and its source's seed falls below the fractional part: a hash-seeded
 Bernoulli draw. Of a fixed list of seeds, each source uses the one whose draw comes nearest to its
 target (one aggregation with a sum per seed), which takes most of the variance that a few very long
-documents would cause. Everything is a function of the rows, so reruns agree.
+documents would cause; since a source's seed depends on the sums of its draws, the chance of a copy is the
+fraction over the seeds before the choice, not given the chosen one. Everything is a function of the rows,
+so reruns agree.
 
 The per-source tables have one row per source; all row-sized work is partial aggregation and a join
 of the documents with that table, never a grouping of a source's rows in one task.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 
 PRIME = 2147483647
 SEEDS = tuple(range(1, 33))
@@ -81,11 +83,12 @@ def mixture(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 def with_copies(docs: DataFrame, mixture_table: DataFrame, name: str = "copies") -> DataFrame:
     """docs with the number of copies (bigint) of each row, joined on the source."""
-    mix = mixture_table.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
-    joined = docs.join(mix, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
-    extra = F.when(draw(F.col("doc_id"), F.col("_mix_seed")) < _threshold(F.col("_mix_rate")), 1).otherwise(0)
-    copied = joined.withColumn(name, (F.floor("_mix_rate") + extra).cast("long"))
-    return copied.drop("_mix_source", "_mix_rate", "_mix_seed")
+    source, rate, seed = spare([*docs.columns, name], "mix_source", "mix_rate", "mix_seed")
+    mix = mixture_table.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    joined = docs.join(mix, F.col("source").eqNullSafe(F.col(source)), "left")
+    extra = F.when(draw(F.col("doc_id"), F.col(seed)) < _threshold(F.col(rate)), 1).otherwise(0)
+    copied = joined.withColumn(name, (F.floor(rate) + extra).cast("long"))
+    return copied.drop(source, rate, seed)
 
 
 def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -99,6 +102,7 @@ def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: flo
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The mixed rows themselves, with the columns of docs."""
     sized = written(docs.select("doc_id", "source", size_column().alias("size")), "sizes")
-    copied = with_copies(docs, written(mixture(sized, weights, most), "mixture"), "_copies")
-    repeats = F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return copied.withColumn("_copy", repeats).select(*docs.columns)
+    copies, copy = spare(docs.columns, "copies", "copy")
+    copied = with_copies(docs, written(mixture(sized, weights, most), "mixture"), copies)
+    repeats = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return copied.withColumn(copy, repeats).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,13 +31,56 @@ def test_text_ids_equal_the_tokenizers_own():
 
     path = tokenizer()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     texts = ["", " a  b \n\n c", "it's I'LL we've", "x\ty z\u00a0w\u0085v \x1c q", "日本語 テスト。🙂", "end \n", "a\nb c\n", "<|endoftext|>", " lead", "a\n b"]
     ids = packing.TextIds(path)
     for t in texts:
         assert np.frombuffer(ids(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
 
 
+def test_control_strings_are_single_ids():
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    own, ids = Tokenizer.from_file(path), packing.TextIds(path)
+    mark = "<|endoftext|>"
+    for t in (mark, f"a {mark} b", f"{mark}{mark}", f"a{mark}\n\n{mark} b ", f"x  {mark}  y", "<|endoftext", f"é{mark[:-1]}{mark}"):
+        got = np.frombuffer(ids(t), "<u4").tolist()
+        assert got == own.encode(t, add_special_tokens=False).ids, t
+        assert got.count(50256) == t.count(mark)
+
+
+def test_every_entry_of_the_vocabulary_encodes_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    own, ids = Tokenizer.from_file(path), packing.TextIds(path)
+    assert ids.pieces.encode is not None
+    words = [own.decode([i]) for i in range(50_256)]
+    rng = random.Random(21)
+    texts = words + ["".join(rng.choices(words, k=6)) for _ in range(4000)]
+    for t, e in zip(texts, own.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids(t), "<u4").tolist() == e.ids, t
+
+
+def test_assignment_is_the_plain_lowest_cost_loop():
+    rng = random.Random(22)
+    for linear, quadratic in ((1.0, 1 / 64), (0.0, 1.0), (1.0, 0.0)):
+        lengths = [rng.randrange(1, 64) for _ in range(150)]
+        total = sum(lengths)
+        sizes = [64] * (total // 64) + packing.power_of_two_parts(total % 64)
+        cost, used, want = [0.0] * len(sizes), [0] * len(sizes), []
+        for item in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            at = 0
+            while at < lengths[item]:
+                k = min((k for k in range(len(sizes)) if used[k] < sizes[k]), key=lambda k: (cost[k], k))
+                take = min(lengths[item] - at, sizes[k] - used[k])
+                want.append((item, at, take, k, used[k]))
+                used[k] += take
+                cost[k] += linear * take + quadratic * take * take
+                at += take
+        assert packing.assign(lengths, 64, linear, quadratic) == want
+
+
 def test_assign_fills_every_sequence():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 64) for _ in range(200)]
@@ -124,6 +167,13 @@ def test_quality_defined_cases(spark, docs):
     assert quality.fit(labelled(spark).where("quality = 0")) == {"constant": 0.0}
 
 
+def test_ranking_does_not_depend_on_the_order_of_rows(spark):
+    data = labelled(spark, 60)
+    twice = data.union(data.withColumn("text", F.concat("text", F.lit(" more")))).withColumn("label_id", F.lit(1))
+    one, other = (quality.fit(d, max_labelled=40) for d in (twice.repartition(3), twice.orderBy(F.desc("text")).coalesce(1)))
+    assert (one["weights"] == other["weights"]).all() and one["offset"] == other["offset"]
+
+
 def test_preferences_learn_the_direction():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 3))
@@ -164,6 +214,20 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.read_captures(requests, warc.new_folder(spark), warc.write_archives(pages.limit(0), warc.new_folder(spark))).count() == 0
 
 
+def test_warc_keeps_every_row_of_a_repeated_page(spark):
+    rows = [(1, "http://h/", "one"), (1, "http://h/", "two"), (1, "http://h/", "two"), (2, "http://h/", "two")]
+    rows += [(None, "http://n/", "x"), (None, "http://n/", "x"), (None, "http://n/", "one")]
+    pages = warc.pages_as_payloads(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    folder = warc.new_folder(spark)
+    archives = warc.write_archives(pages, folder)
+    requests = pages.select("page_id", warc.reversed_host_key(F.col("url")).alias("key"))
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to or 0, bytes(r.payload)) for r in warc.read_captures(requests, folder, archives).collect()))
+    assert got == sorted(
+        [(1, "response", 0, b"one"), (1, "revisit", 2, b""), (1, "revisit", 2, b""), (2, "response", 0, b"two")]
+        + [(0, "response", 0, b"x"), (0, "response", 0, b"x"), (0, "revisit", 1, b"")]
+    )
+
+
 def test_reversed_host_key(spark):
     cases = {"http://WWW.Example.com/a?b#c": "com,example,www)/a?b", "https://u@h.org:8080": "org,h:8080)/", "http://h.org:80?x": "org,h)/?x", "plain": "plain"}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
@@ -303,6 +367,18 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.dedup(docs([])).count() == 0
 
 
+def test_keep_one(spark, docs):
+    rows = [(1, "a"), (2, "a"), (3, "A"), (4, None), (5, ""), (8, "b"), (8, "b"), (None, "a"), (None, "z"), (None, "y"), (None, "y")]
+    for extra in (True, False):
+        table = docs(rows, extra=extra).withColumn("row", F.lit("clash"))
+        got = exact_dedup.keep_one(table)
+        assert got.columns == table.columns
+        kept = got.collect()
+        assert sorted((r.text or "", r.doc_id or 0) for r in kept) == [("", 5), ("A", 3), ("a", 2), ("b", 8), ("y", 0), ("z", 0)]
+        assert all(r.row == "clash" for r in kept)
+    assert exact_dedup.keep_one(docs([])).count() == 0
+
+
 def test_all_checks_together_seldom_prune_a_link():
     import inspect
     from math import comb
@@ -488,7 +564,7 @@ def test_nearest_equals_brute_force(spark):
     rows = list(enumerate(v)) + [(None, v[1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1))
     got = {}
-    for r in vptree.nearest(df, lambda i: i % 50 == 0, shard_rows=70, block_rows=3).orderBy("query_id", "rank").collect():
+    for r in vptree.nearest(df, lambda i: i % 50 == 0, shard_bytes=70 * 32, block_rows=3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     bad = {5, 15, 25, 35, 45}
     for q in range(0, 300, 50):
@@ -505,6 +581,19 @@ def test_nearest_equals_brute_force(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(two, lambda i: i % 50 == 0).collect()] == [(0, 1, 1)]
 
 
+def test_ties_go_to_smaller_ids(spark):
+    """One-hot vectors: every candidate but the copies scores 0; two lengths, which never meet."""
+    rows = [(i, [float(i % 30 == k) for k in range(30)]) for i in range(60)] + [(100 + i, [1.0, float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for shard_bytes in (1 << 20, 2_000):
+        got: dict = {}
+        for r in vptree.nearest(df, lambda i: i % 50 == 0, shard_bytes=shard_bytes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got[0] == [(30, 1.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+        assert got[50] == [(20, 1.0), (0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
+        assert got[100] == [(100 + i, 1 / np.sqrt(1.0 + i * i)) for i in range(1, 4)]
+
+
 def test_neighbours_of_scaled_copies_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(3, 16))
@@ -515,7 +604,7 @@ def test_neighbours_of_scaled_copies_equal_brute_force(spark):
     score = lambda x, y: float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())))
     for shard_rows in (1_000, 30):
         got: dict = {}
-        for r in vptree.nearest(df, lambda i: i >= 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+        for r in vptree.nearest(df, lambda i: i >= 0, shard_bytes=shard_rows * 128).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         copies = [int(i) for i in ids[:20]]
         for q, found in got.items():
@@ -575,6 +664,37 @@ def test_language_prediction(spark, docs):
     assert [r.lang_pred for r in langid.predict(docs([(1, "a")]), None).collect()] == ["und"]
 
 
+def test_languages_without_bytes():
+    for train in ({"en": [b""], "de": [b"hallo welt"]}, {"en": [b""], "de": [b""]}, {"en": [b"a"], "de": [b"ab"]}):
+        got = langid.CodeLengths(langid.ContextTrees(train)).totals([b"", b"hallo", b"\n\n\n\n", b"ab"])
+        for k, t in enumerate([b"", b"hallo", b"\n\n\n\n", b"ab"]):
+            for j, lang in enumerate(sorted(train)):
+                assert got[k, j] == pytest.approx(ppm_bits(train[lang], t), rel=1e-4, abs=1e-3)
+
+
+def test_language_sample_is_bounded_in_bytes(spark):
+    rows = [(k, "x" * 1000, "en") for k in range(50)] + [(5, "y" * 5000, "de"), (None, "zz", "fr"), (None, "zz", "fr")]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.fit(train, max_bytes=4000).languages == ["en", "fr"]
+    assert langid.fit(train).languages == ["de", "en", "fr"]
+
+
+def test_registered_language_query_learns_from_its_split(spark, tmp_path):
+    rng = random.Random(23)
+    rows = []
+    for k in range(90):
+        lang = ("en", "de")[k % 2]
+        learnable = zlib.crc32(str(k).encode()) % 3 != 1
+        rows.append((k, ("the quick fox " if k % 2 == 0 else "der alte baum ") * rng.randrange(1, 9), lang if learnable else "wrong"))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_ppm_language_id(spark, str(tmp_path)).collect()}
+    train = {x: [t.encode() for k, t, y in rows if y == x] for x in ("de", "en")}
+    for k, t, _ in rows:
+        bits = {x: ppm_bits(train[x], t.encode()) for x in train}
+        assert got[k].lang_pred == min(bits, key=bits.get) == ("en", "de")[k % 2]
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
 # chat ---------------------------------------------------------------------------------------------
 
 
