@@ -1,26 +1,34 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame and SQL functions only.
 
-Two lines within k edits share one of any k + 1 segments of the shorter one, unchanged and shifted by
-few characters. Every distinct line is therefore indexed under the hashes of its k + 1 even segments
-(with its length and the segment's number) and probes, for each length that may be up to k shorter, the
-substrings of its own that such a segment could be: the start positions that the length difference and
-the edits left of and right of the segment allow. An equi-join of the two gives the candidates. For k = 1
-the edit must lie in the other segment; the hashes of its quarters travel along, and the join's condition
-keeps only pairs of which all but one quarter agree (a necessary condition, so nothing is lost). For other
-k the counts of twelve characters, modulo 4 and in Gray code, share one integer with the key: an edit
-changes at most two bits, so the join's condition keeps only pairs that differ in at most 2k.
+Lines are split into threshold-plus-one segments, of which k edits leave one as it is. Lengths fall into
+classes (eight to a doubling), and the segments are those of the shortest length of a class: those of the
+first half count from the line's start, those of the second half from its end, so that lines of all lengths
+of a class agree on them. A line is indexed under the keys of its segments, for its own length's class and
+those of lengths up to k less. Of the segments left as they are one has exactly i - 1 edits before and at
+most k + 1 - i after it, if it is the i-th of k + 1 (the first one up to which there are fewer edits than
+segments). Hence in the other line it lies at most as many places off, as there can be edits between it and
+its end of the line; one of the two lines has it later, so lines probe only for what lies further in.
+
+The number of candidates is held down in two ways, neither of which loses any:
+
+* The counts of 32 characters, modulo 4 and in Gray code, are 64 bits that travel along; an edit changes at
+  most two of them, so the join's condition keeps only pairs that differ in at most 2k.
+* Of 2k + 1 blocks of these bits one is equal. Keys that many lines share are therefore joined on each block
+  together with the key, so that a segment common to very many lines does not bring all of them together.
 
 Candidates are verified by a banded bit-parallel automaton: for each number of edits e from 0 to k, one
 integer holds a bit for each of the 2k + 1 diagonals that e edits can reach; a character of the second
 line updates the k + 1 integers with shifts and a mask of the diagonals where the first line has the same
 character. Spark's own bounded edit distance goes first, so that only near pairs reach the automaton.
 
-Only hashes are shuffled for candidate search; the texts fetched for verification are those that pass a
-bitmap of at most 2^20 hash buckets (a proven bound, hence broadcast) and then a join.
+Lines are made distinct first; hashes alone are shuffled for candidate search. The texts fetched for
+verification are those that pass a bitmap of at most 2^20 hash buckets (a proven bound, hence broadcast)
+and then a join.
 
-Defined cases: a null text has no lines; blank lines take no part (no rows); lines shorter than
-``min_chars`` are linked to equal lines only; a null doc_id sorts first, so such lines head their class;
-rows that repeat an id and a text give equal rows; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null text has no lines; blank lines (white space alone) take no part (no rows); the edits
+allowed are k, but no more than one in each ``chars_per_edit`` characters of the shorter line, so that very
+short lines are linked to equal ones only; a null doc_id sorts first, so such lines head their class; rows
+that repeat an id and a text give equal rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,89 +40,42 @@ from .common import written
 from .components import components
 
 BUCKETS = 1 << 20
-#: Characters whose counts the necessary condition compares, two bits each below a key (fixed values).
-COUNTED = "etaoinshrdlu"
-COUNT_BITS = 2 * len(COUNTED)
+#: Characters whose counts the necessary condition compares, two bits each (fixed values).
+COUNTED = "etaoinshrdlucmfwypvbgkqjxz ,.012"
+#: Keys of more rows than this are joined on blocks of the counts as well.
+CROWD = 128
 
 
-def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of 1..k+1; the last ones take the odd characters."""
-    base = F.floor(length / (k + 1)).cast("int")
-    longer = (length % (k + 1)).cast("int")
-    ahead = F.greatest(F.lit(0), longer - (k + 1 - (i - 1)))  # longer segments before this one
-    size = base + F.when(F.lit(k + 1 - i) < longer, 1).otherwise(0)
-    return base * (i - 1) + ahead + 1, size
+def length_class(length: Column) -> Column:
+    """The shortest length of the class of a length: eight classes to a doubling, single lengths below 16."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)))).cast("int") - 3))
+    return (length - length % step).cast("int")
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+def segment(k: int, i: int, base: Column, length: Column) -> tuple[Column, Column, int]:
+    """Start (from 1) and size of segment i of 1..k+1 in a line of this length and class, and how far it may be off."""
+    lo, hi = F.floor(base * (i - 1) / (k + 1)).cast("int"), F.floor(base * i / (k + 1)).cast("int")
+    from_start = 2 * i <= k + 2
+    start = lo + 1 if from_start else length - base + lo + 1
+    return start, hi - lo, i - 1 if from_start else k + 1 - i
 
 
-def geometry(length: Column, k: int) -> dict[tuple[int, int], list[Column]]:
-    """(how much shorter, segment) -> the places (from 1) where its quarters begin and where it ends."""
-    out = {}
-    for shorter in range(k + 1):
-        for i in range(1, k + 2):
-            start, size = _segment(length - shorter, k, i)
-            out[shorter, i] = [start + F.floor(size * t / 4).cast("int") for t in range(5)]
-    return out
-
-
-def _lanes(line: Column, quarters: list[Column], shift: int = 0) -> Column:
-    """16-bit hashes of the four quarters of a segment, side by side in one integer."""
-    out = F.lit(0).cast("long")
-    for t in range(4):
-        lane = F.xxhash64(F.substring(line, quarters[t] + shift, quarters[t + 1] - quarters[t]))
-        out = out.bitwiseOR(F.shiftleft(lane.bitwiseAND(F.lit(65535).cast("long")), 16 * t))
-    return out
-
-
-def _one_edit_fits(x: Column, unshifted: Column, shifted: Column) -> Column:
-    """Whether some quarter can hold the only edit: those before it agree as they are, those after it shifted."""
-    before, after = x.bitwiseXOR(unshifted), x.bitwiseXOR(shifted)
-    out = F.lit(False)
-    for t in range(4):
-        low, high = (1 << 16 * t) - 1, -(1 << 16 * (t + 1)) if t < 3 else 0
-        out = out | ((before.bitwiseAND(F.lit(low).cast("long")) == 0) & (after.bitwiseAND(F.lit(high).cast("long")) == 0))
-    return out
-
-
-def index_keys(line: Column, length: Column, k: int, places: dict | None = None) -> Column:
-    """array<struct<key, x>>: a key for each segment; for one edit also the quarters of the other segment."""
-    g = places or geometry(length, k)
-    keys = []
+def line_keys(line: Column, length: Column, base: Column, k: int) -> Column:
+    """array<struct<key, probe>>: the keys of a line's segments and, as probes, of what lies further in."""
+    out = []
     for i in range(1, k + 2):
-        x = _lanes(line, g[0, 3 - i]) if k == 1 else F.lit(0).cast("long")
-        keys.append(F.struct(_key(length, i, F.substring(line, g[0, i][0], g[0, i][4] - g[0, i][0])).alias("key"), x.alias("x")))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, length: Column, k: int, places: dict | None = None) -> Column:
-    """array<struct<key, u, s>>: keys of the substrings that a segment of a line up to k shorter can equal.
-
-    For one edit, it lies in the other segment: u and s are the quarters there, in place and shifted by the
-    difference in length, so that the join itself drops pairs that differ in more than a quarter.
-    """
-    g = places or geometry(length, k)
-    keys = []
-    for shorter in range(k + 1):
-        for i in range(1, k + 2):
-            start, size = g[shorter, i][0], g[shorter, i][4] - g[shorter, i][0]
-            left, right = i - 1, k + 1 - i
-            u = s = F.lit(0).cast("long")
-            if k == 1:
-                u = _lanes(line, g[shorter, 3 - i])
-                s = _lanes(line, g[shorter, 3 - i], shorter) if shorter else u
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                at = start + shift
-                row = F.struct(_key(length - shorter, i, F.substring(line, at, size)).alias("key"), u.alias("u"), s.alias("s"))
-                fits = (at >= 1) & (at + size - 1 <= length)
-                keys.append(row if k == 1 else F.when(fits, row))
-    return F.array(*keys) if k == 1 else F.array_compact(F.array(*keys))
-
-
-def within_edits(a: Column, b: Column, k: int) -> Column:
-    """Whether the edit distance of two strings is at most k (banded bit-parallel automaton)."""
+        start, size, off = segment(k, i, base, length)
+        inward = 1 if 2 * i <= k + 2 else -1
+        for d in range(off + 1):
+            at = start + inward * d
+            key = F.xxhash64(base, F.lit(i), F.substring(line, at, size))
+            row = F.struct(key.alias("key"), F.lit(d > 0).alias("probe"))
+            out.append(F.when((at >= 1) & (at + size - 1 <= length), row) if d else row)
+    return F.array_compact(F.array(*out))
+
+
+def edits(a: Column, b: Column, k: int) -> Column:
+    """The edit distance of two strings if it is at most k, else null (banded bit-parallel automaton)."""
     n, m = F.char_length(a), F.char_length(b)
     one = F.lit(1).cast("long")
     width = 2 * k + 1
@@ -142,10 +103,10 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
     split = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
     last = F.get(F.transform(split, lambda s: F.aggregate(F.sequence(F.lit(1), m), first, lambda state, j: step(s["x"], s["y"], state, j))), F.lit(0))
     end = F.call_function("shiftleft", one, (n - m + k).cast("int"))
-    near = F.abs(n - m) <= k
-    return F.when(~near, F.lit(False)).when(m == 0, F.lit(True)).otherwise(last[f"e{k}"].bitwiseAND(end) != 0)
-
-
+    found = F.lit(None).cast("int")
+    for e in range(k, -1, -1):
+        found = F.when(last[f"e{e}"].bitwiseAND(end) != 0, F.lit(e)).otherwise(found)
+    return F.when(F.abs(n - m) > k, F.lit(None)).when(m == 0, n).otherwise(found)
 def count_bits(line: Column) -> Column:
     """The counts of COUNTED modulo 4, in Gray code: counts that differ by one differ in one bit."""
     out = F.lit(0).cast("long")
@@ -156,64 +117,58 @@ def count_bits(line: Column) -> Column:
     return out
 
 
-def _counts_allow(a: Column, b: Column, k: int) -> Column:
-    """Necessary: an edit changes the counts of at most two characters by one each."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 2 * k
+def _tags(k: int) -> Column:
+    """The key, or if it is a crowded one its combinations with each of 2k + 1 blocks of the count bits."""
+    blocks = 2 * k + 1
+    width = -(-64 // blocks)
+    each = [F.xxhash64("key", F.lit(j), F.shiftrightunsigned("bits", j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for j in range(blocks)]
+    return F.when(F.col("bucket").isNull(), F.array("key")).otherwise(F.array(*each))
 
 
-def _met_by_quarters(measured: DataFrame, g: dict) -> DataFrame:
-    """ha, hb of lines that share a segment and, for one edit, all but one quarter of the other."""
+def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> DataFrame:
+    """ha < hb of lines (h, line, n) that share a segment and whose counts allow k edits (written)."""
     line, n = F.col("line"), F.col("n")
-    indexed = measured.select(F.col("h").alias("ha"), F.explode(index_keys(line, n, 1, g)).alias("r")).select("ha", "r.*").distinct()
-    probing = measured.select(F.col("h").alias("hb"), F.explode(probe_keys(line, n, 1, g)).alias("r")).select("hb", "r.*").distinct()
-    return indexed.join(probing, "key").where(F.col("ha") != F.col("hb")).where(_one_edit_fits(F.col("x"), F.col("u"), F.col("s")))
-
-
-def _met_by_counts(measured: DataFrame, k: int, g: dict) -> DataFrame:
-    """ha, hb of lines that share a segment and whose counts allow k edits."""
-    line, n = F.col("line"), F.col("n")
-    measured = measured.withColumn("bits", count_bits(line))
-
-    def tagged(name: str, keys: Column, tag: str) -> DataFrame:
-        rows = measured.select(F.col("h").alias(name), "bits", F.explode(keys).alias("r"))
-        return rows.select(name, F.shiftleft("r.key", COUNT_BITS).bitwiseOR(F.col("bits")).alias(tag)).distinct()
-
-    indexed, probing = tagged("ha", index_keys(line, n, k, g), "x"), tagged("hb", probe_keys(line, n, k, g), "y")
-    met = indexed.join(probing, F.shiftrightunsigned("x", COUNT_BITS) == F.shiftrightunsigned("y", COUNT_BITS))
-    return met.where(F.col("ha") != F.col("hb")).where(_counts_allow(F.col("x"), F.col("y"), k))
-
-
-def line_join(docs: DataFrame, k: int = 1, min_chars: int = 20) -> DataFrame:
+    classes = F.array_distinct(F.array(*[length_class(n - j) for j in range(k + 1)]))
+    based = distinct_lines.select("h", "line", "n", count_bits(line).alias("bits"), F.explode(classes).alias("base"))
+    rows = based.select("h", "bits", F.explode(line_keys(line, n, F.col("base"), k)).alias("r")).select("h", "bits", "r.*")
+    rows = written(rows, "keys")
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    bucket = F.pmod("key", F.lit(BUCKETS))
+    marks = F.broadcast(crowded.select(bucket.alias("bucket")).distinct())
+    tagged = rows.join(marks, bucket == F.col("bucket"), "left").select("h", "bits", "probe", F.explode(_tags(k)).alias("tag"))
+    one = tagged.where(~F.col("probe")).select(F.col("h").alias("ha"), F.col("bits").alias("a"), "tag")
+    other = tagged.select(F.col("h").alias("hb"), F.col("bits").alias("b"), "probe", "tag")
+    met = one.join(other, "tag").where((F.col("ha") < F.col("hb")) | (F.col("probe") & (F.col("ha") != F.col("hb"))))
+    met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * k)
+    return written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
+
+
+def line_join(docs: DataFrame, k: int = 2, chars_per_edit: int = 10, crowd: int = CROWD) -> DataFrame:
     """Per line: doc_id, line_no (from 0), class_doc_id, class_line_no, n_links, kept.
 
     A class is a connected component of lines linked by at most k edits (equal lines are linked); it is
     named by its first line, the one that is kept. n_links counts the other lines a line is linked to.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "")
+    lines = lines.where(F.col("line").rlike(r"\S"))
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("second"), F.col("line"))
     places = lines.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     distinct = written(places.groupBy("h1", "h2").agg(first, F.count("*").alias("copies")), "lines")
 
     length = F.char_length("line")
-    long_lines = lines.where(length >= min_chars)
-    # Lengths and places are columns of their own, so that each is worked out once and not in every key.
-    measured = long_lines.select(h1.alias("h"), "line", length.alias("n"))
-    spots = geometry(F.col("n"), k)
-    measured = measured.select("h", "line", "n", *[c.alias(f"g{j}_{i}_{t}") for (j, i), at in spots.items() for t, c in enumerate(at)])
-    g = {(j, i): [F.col(f"g{j}_{i}_{t}") for t in range(5)] for j, i in spots}
-    met = _met_by_quarters(measured, g) if k == 1 else _met_by_counts(measured, k, g)
-    candidates = written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
+    # Lengths are a column of their own, so that each is worked out once and not in every key.
+    single = written(lines.where(length >= chars_per_edit).select("line").distinct().select(h1.alias("h"), "line", length.alias("n")), "texts")
+    candidates = candidate_pairs(single, k, crowd)
 
     named = candidates.select(F.col("ha").alias("h")).union(candidates.select("hb")).distinct()
     buckets = F.broadcast(named.select(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).distinct())
-    texts = long_lines.select(h1.alias("h1"), h2.alias("h2"), "line")
-    texts = texts.join(buckets, F.pmod("h1", F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
-    texts = written(texts.join(named, F.col("h1") == F.col("h"), "left_semi").distinct(), "texts")
+    texts = single.join(buckets, F.pmod("h", F.lit(BUCKETS)) == F.col("bucket"), "left_semi").join(named, "h", "left_semi")
+    texts = written(texts.select("h", h2.alias("h2"), "line", "n"), "texts")
 
-    pairs = candidates.join(texts.toDF("ha", "ha2", "a"), "ha").join(texts.toDF("hb", "hb2", "b"), "hb")
-    pairs = pairs.where(F.levenshtein("a", "b", k) >= 0).where(within_edits(F.col("a"), F.col("b"), k))
+    pairs = candidates.join(texts.toDF("ha", "ha2", "a", "na"), "ha").join(texts.toDF("hb", "hb2", "b", "nb"), "hb")
+    allowed = F.least(F.lit(k), F.floor(F.least("na", "nb") / chars_per_edit))
+    pairs = pairs.where(F.levenshtein("a", "b", k) >= 0).where(edits(F.col("a"), F.col("b"), k) <= allowed)
     pairs = written(pairs.select("ha", "ha2", "hb", "hb2"), "linked")
 
     one, other = distinct.toDF("ha", "ha2", "a", "a_copies"), distinct.toDF("hb", "hb2", "b", "b_copies")

@@ -78,4 +78,4 @@ def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_join(table(spark, sf_dir, "documents"), k=2, min_chars=20)
+    return line_dedup.line_join(table(spark, sf_dir, "documents"), k=2, chars_per_edit=10)

@@ -428,68 +428,75 @@ def edited_pairs(n=150):
 
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_automaton_and_keys(spark, k):
-    df = spark.createDataFrame(edited_pairs(), "a string, b string, d int")
-    assert df.where(line_dedup.within_edits(F.col("a"), F.col("b"), k) != (F.col("d") <= k)).count() == 0
-    short = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")).alias("s")
-    long = F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a")).alias("l")
-    near = df.where((F.col("d") <= k) & (F.least(F.length("a"), F.length("b")) > k)).select(short, long)
-    met = lambda a: F.exists("probed", lambda b: (a["key"] == b["key"]) & (line_dedup._one_edit_fits(a["x"], b["u"], b["s"]) if k == 1 else F.lit(True)))
-    near = near.withColumn("indexed", line_dedup.index_keys(F.col("s"), F.length("s"), k)).withColumn("probed", line_dedup.probe_keys(F.col("l"), F.length("l"), k))
-    meet = F.exists("indexed", met)
-    assert near.count() > 20 and near.where(~meet).count() == 0
-
-
-def test_line_join_equals_brute_force(spark, docs):
-    rng, rows = random.Random(6), []
-    base = [prose(rng, 8) for _ in range(6)]
-    for i in range(30):
-        lines = []
-        for _ in range(rng.randrange(1, 5)):
-            x = list(rng.choice(base))
-            for _ in range(rng.randrange(0, 3)):
-                x[rng.randrange(len(x))] = rng.choice("xyz")
-            lines.append("".join(x))
-        rows.append((i, "\n".join([*lines, "", "short"])))
-    rows += [(90, None), (91, "")]
-    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_join(docs(rows), k=2, min_chars=20).collect()}
-    places = [((i, j), x) for i, t in rows for j, x in enumerate((t or "").split("\n")) if x.strip(" ")]
-    root, links = {p: p for p, _ in places}, {p: 0 for p, _ in places}
+    df = spark.createDataFrame(edited_pairs(400), "a string, b string, d int")
+    found = line_dedup.edits(F.col("a"), F.col("b"), k)
+    assert df.where(~found.eqNullSafe(F.when(F.col("d") <= k, F.col("d")))).count() == 0
+    lines = sorted({x for a, b, _ in edited_pairs(400) for x in (a, b)})
+    single = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("n"))
+    for crowd in (1, 1000):
+        met = {(r.ha, r.hb) for r in line_dedup.candidate_pairs(single, k, crowd).collect()}
+        of = {r.line: r.h for r in single.collect()}
+        for at, x in enumerate(lines):
+            for y in lines[at + 1 :]:
+                if abs(len(x) - len(y)) <= k and edits(x, y) <= k:
+                    assert tuple(sorted((of[x], of[y]))) in met, (x, y)
+
+
+def brute_line_links(rows, k, chars_per_edit):
+    places = {(i, j): x for i, t in rows for j, x in enumerate((t or "").split("\n")) if x.strip()}
+    root, links = {p: p for p in places}, dict.fromkeys(places, 0)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for p, x in places:
-        for q, y in places:
-            if p < q and (x == y or min(len(x), len(y)) >= 20 and edits(x, y) <= 2):
+    near = {}
+    for p, x in places.items():
+        for q, y in places.items():
+            most = min(k, min(len(x), len(y)) // chars_per_edit)
+            pair = min(x, y), max(x, y)
+            if pair not in near:
+                near[pair] = x == y or most and abs(len(x) - len(y)) <= most and edits(x, y) <= most
+            if p < q and near[pair]:
                 links[p] += 1
                 links[q] += 1
                 a, b = sorted((find(p), find(q)))
                 root[b] = a
-    assert set(got) == set(root)
-    for p, r in got.items():
-        assert ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) == (find(p), links[p], find(p) == p)
+    return {p: (find(p), links[p]) for p in places}
+
+
+def edited_documents():
+    """Short and long lines at up to three edits from each other, in digits, with shifts and shared parts."""
+    rng, rows = random.Random(16), []
+    base = [prose(rng, n) for n in (2, 4, 20, 45)] + ["é" * 9 + " on page 17 of the second volume, " + prose(rng, 12), "chapter 12 of 3", "see page 4"]
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 3)):
+            x = list(rng.choice(base))
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([[], ["7"], [x[at], "3"]])
+            lines.append("".join(x))
+        rows.append((i, "\n".join([*lines, "", "\t", "short" + str(i % 3)])))
+    return [*rows, (90, None), (91, ""), (92, rows[0][1])]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_line_join_equals_brute_force(spark, docs, k):
+    rows = edited_documents()
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_join(docs(rows), k=k, chars_per_edit=5, crowd=4).collect()}
+    want = brute_line_links(rows, k, 5)
+    assert {p: ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) for p, r in got.items()} == {p: (c, n, c == p) for p, (c, n) in want.items()}
     assert line_dedup.line_join(docs([])).count() == 0
 
 
 def test_registered_line_join_equals_brute_force(spark, docs, tmp_path):
-    """Long lines at one, two and three edits from each other, in two digits, with shifts and shared parts."""
-    rng, rows = random.Random(16), []
-    base = [prose(rng, n) for n in (4, 20, 45)] + ["é" * 9 + " on page 17 of the second volume, " + prose(rng, 12)]
-    for i in range(40):
-        x = list(rng.choice(base))
-        for _ in range(rng.randrange(0, 4)):
-            at = rng.randrange(len(x))
-            x[at : at + 1] = rng.choice([[], ["7"], [x[at], "3"]])
-        rows.append((i, "".join(x) + "\nshort one" + str(i % 3)))
+    rows = edited_documents()
     docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.line_no): r.n_links for r in queries.op6_segment_line_dedup(spark, str(tmp_path)).collect()}
-    places = {(i, j): x for i, t in rows for j, x in enumerate(t.split("\n"))}
-    near = lambda x, y: x == y or min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2
-    links = {p: sum(near(x, y) for q, y in places.items() if q != p) for p, x in places.items()}
-    exact = {p: sum(x == y for q, y in places.items() if q != p) for p, x in places.items()}
-    assert got == links and sum(links.values()) > sum(exact.values())
+    got = {(r.doc_id, r.line_no): ((r.class_doc_id, r.class_line_no), r.n_links) for r in queries.op6_segment_line_dedup(spark, str(tmp_path)).collect()}
+    want = brute_line_links(rows, 2, 10)
+    assert got == want and sum(n for _, n in want.values()) > 300
 
 
 def test_line_join_is_native(spark, docs):
