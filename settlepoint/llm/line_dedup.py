@@ -11,7 +11,7 @@ its end of the line; one of the two lines has it later, so lines probe only for
 
 The number of candidates is held down in two ways, neither of which loses any:
 
-* The counts of 32 characters, modulo 4 and in Gray code, are 64 bits that travel along; an edit changes at
+* The counts of 20 characters, modulo 4 and in Gray code, are bits that travel along; an edit changes at
   most two of them, so the join's condition keeps only pairs that differ in at most 2k.
 * Of 2k + 1 blocks of these bits one is equal. Keys that many lines share are therefore joined on each block
   together with the key, so that a segment common to very many lines does not bring all of them together.
@@ -41,7 +41,7 @@ from .components import components
 
 BUCKETS = 1 << 20
 #: Characters whose counts the necessary condition compares, two bits each (fixed values).
-COUNTED = "etaoinshrdlucmfwypvbgkqjxz ,.012"
+COUNTED = "etaoinshrdlucmfwpg01"
 #: Keys of more rows than this are joined on blocks of the counts as well.
 CROWD = 128
 
@@ -60,18 +60,20 @@ def segment(k: int, i: int, base: Column, length: Column) -> tuple[Column, Colum
     return start, hi - lo, i - 1 if from_start else k + 1 - i
 
 
-def line_keys(line: Column, length: Column, base: Column, k: int) -> Column:
-    """array<struct<key, probe>>: the keys of a line's segments and, as probes, of what lies further in."""
-    out = []
+def line_keys(line: Column, length: Column, base: Column, k: int) -> tuple[Column, list[int]]:
+    """The keys of a line's segments and of what lies further in, and the places of the latter, the probes.
+
+    What would reach beyond the line is cut off there; its key meets nothing that verification keeps.
+    """
+    out, probes = [], []
     for i in range(1, k + 2):
         start, size, off = segment(k, i, base, length)
         inward = 1 if 2 * i <= k + 2 else -1
         for d in range(off + 1):
-            at = start + inward * d
-            key = F.xxhash64(base, F.lit(i), F.substring(line, at, size))
-            row = F.struct(key.alias("key"), F.lit(d > 0).alias("probe"))
-            out.append(F.when((at >= 1) & (at + size - 1 <= length), row) if d else row)
-    return F.array_compact(F.array(*out))
+            if d:
+                probes.append(len(out))
+            out.append(F.xxhash64(base, F.lit(i), F.substring(line, start + inward * d, size)))
+    return F.array(*out), probes
 
 
 def edits(a: Column, b: Column, k: int) -> Column:
@@ -117,12 +119,22 @@ def count_bits(line: Column) -> Column:
     return out
 
 
+def _blocks(k: int) -> list[tuple[int, int]]:
+    """Shift and mask of 2k + 1 blocks of the count bits."""
+    blocks, bits = 2 * k + 1, 2 * len(COUNTED)
+    edges = [bits * j // blocks for j in range(blocks + 1)]
+    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _block(bits: Column, shift: int, mask: int) -> Column:
+    return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(mask).cast("long"))
+
+
 def _tags(k: int) -> Column:
-    """The key, or if it is a crowded one its combinations with each of 2k + 1 blocks of the count bits."""
-    blocks = 2 * k + 1
-    width = -(-64 // blocks)
-    each = [F.xxhash64("key", F.lit(j), F.shiftrightunsigned("bits", j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for j in range(blocks)]
-    return F.when(F.col("bucket").isNull(), F.array("key")).otherwise(F.array(*each))
+    """array<struct<tag, j>>: the key itself (j = -1), or of a crowded one its combination with each block."""
+    alone = F.array(F.struct(F.col("key").alias("tag"), F.lit(-1).alias("j")))
+    each = [F.struct(F.xxhash64("key", F.lit(j), _block(F.col("bits"), *at)).alias("tag"), F.lit(j).alias("j")) for j, at in enumerate(_blocks(k))]
+    return F.when(F.col("bucket").isNull(), alone).otherwise(F.array(*each))
 
 
 def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> DataFrame:
@@ -130,16 +142,21 @@ def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> Da
     line, n = F.col("line"), F.col("n")
     classes = F.array_distinct(F.array(*[length_class(n - j) for j in range(k + 1)]))
     based = distinct_lines.select("h", "line", "n", count_bits(line).alias("bits"), F.explode(classes).alias("base"))
-    rows = based.select("h", "bits", F.explode(line_keys(line, n, F.col("base"), k)).alias("r")).select("h", "bits", "r.*")
-    rows = written(rows, "keys")
+    keys, probes = line_keys(line, n, F.col("base"), k)
+    rows = based.select("h", "bits", F.posexplode(keys).alias("at", "key"))
+    rows = written(rows.select("h", "bits", "key", F.col("at").isin(probes).alias("probe")), "keys")
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     bucket = F.pmod("key", F.lit(BUCKETS))
     marks = F.broadcast(crowded.select(bucket.alias("bucket")).distinct())
-    tagged = rows.join(marks, bucket == F.col("bucket"), "left").select("h", "bits", "probe", F.explode(_tags(k)).alias("tag"))
+    tagged = rows.join(marks, bucket == F.col("bucket"), "left").select("h", "bits", "probe", F.explode(_tags(k)).alias("t")).select("h", "bits", "probe", "t.*")
     one = tagged.where(~F.col("probe")).select(F.col("h").alias("ha"), F.col("bits").alias("a"), "tag")
-    other = tagged.select(F.col("h").alias("hb"), F.col("bits").alias("b"), "probe", "tag")
+    other = tagged.select(F.col("h").alias("hb"), F.col("bits").alias("b"), "probe", "tag", "j")
     met = one.join(other, "tag").where((F.col("ha") < F.col("hb")) | (F.col("probe") & (F.col("ha") != F.col("hb"))))
-    met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * k)
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.lit(2 * k)  # a pair counts under the first of its equal blocks
+    for j, at in reversed(list(enumerate(_blocks(k)))):
+        first = F.when(_block(apart, *at) == 0, F.lit(j)).otherwise(first)
+    met = met.where((F.bit_count(apart) <= 2 * k) & ((F.col("j") < 0) | (F.col("j") == first)))
     return written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
 
 
@@ -150,7 +167,7 @@ def line_join(docs: DataFrame, k: int = 2, chars_per_edit: int = 10, crowd: int
     named by its first line, the one that is kept. n_links counts the other lines a line is linked to.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S"))
+    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\f\r")) != "")
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("second"), F.col("line"))
     places = lines.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
