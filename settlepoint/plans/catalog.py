@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import convergence, identity, utilities
+from . import convergence, files, identity, utilities
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (convergence, identity, utilities):
+for module in (convergence, identity, utilities, files):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as texts
 from . import schemas
@@ -76,6 +77,11 @@ def scored_runs(spark: SparkSession, paths) -> DataFrame:
     return raw.select("_path", F.posexplode("runs").alias("pos", "r")).select("_path", "pos", "r.*")
 
 
+def report_runs(spark: SparkSession, paths) -> DataFrame:
+    """The runs of reports as the writer leaves them, a JSON object a line."""
+    return spark.read.schema(T.StructType.fromDDL(f"r {schemas.SCORED_RUN}")["r"].dataType).json(paths)
+
+
 def gold_pairs(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.GOLD).json(path)
 
@@ -92,11 +98,13 @@ def worksheet(spark: SparkSession, path) -> DataFrame:
 
 
 def verdict_cache(spark: SparkSession, path: str) -> DataFrame:
-    """pair_key, same; a missing file is an empty cache."""
+    """pair_key, same of one JSON object with a verdicts map, or of the writer's JSON lines; a missing file is an empty cache."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "pair_key string, same boolean")
-    return _json(spark, path, schemas.CACHE).select(F.explode("verdicts").alias("pair_key", "same"))
+    whole = _json(spark, path, schemas.CACHE).select(F.explode("verdicts").alias("pair_key", "same"))
+    lines = spark.read.schema("pair_key string, same boolean").json(path).where("pair_key is not null")
+    return whole.union(lines)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +114,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, root: str, manifest_name: str = "MANIFEST.sha256") -> DataFrame:
-    """path (relative), digest, length of every file below root but the manifest."""
+    """path (relative), digest, length of every file below root but the manifest (Spark lists no empty or hidden files)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*", "/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E/*")), F.lit(""))
@@ -114,9 +122,29 @@ def file_digests(spark: SparkSession, root: str, manifest_name: str = "MANIFEST.
     return out.where(F.col("path") != manifest_name)
 
 
-def csv_records(spark: SparkSession, path, null_tokens: tuple[str, ...] = ("",)) -> DataFrame:
-    """CSV with quotes, doubled quotes and embedded line ends; unquoted null tokens read as null."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", null_tokens[0]).csv(path)
+def csv_records(
+    spark: SparkSession, path, null_tokens: tuple[str, ...] = ("",), types: dict[str, str] | None = None, fill: dict[str, str] | None = None
+) -> DataFrame:
+    """CSV with quotes, doubled quotes and embedded line ends; null tokens read as null.
+
+    types casts columns (null where a value does not fit), fill gives the value of fields that a row lacks.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", null_tokens[0] if null_tokens else "").csv(path)
+    for name in raw.columns:
+        c = F.col(f"`{name}`")
+        if len(null_tokens) > 1:
+            c = F.when(~c.isin(*null_tokens[1:]), c)
+        if fill and name in fill:
+            c = F.coalesce(c, F.lit(fill[name]))
+        if types and name in types:
+            c = c.try_cast(types[name])
+        raw = raw.withColumn(name, c)
+    return raw
+
+
+def key_status(environment: dict[str, str], names: tuple[str, ...]) -> dict[str, bool]:
+    """Which of the named settings have a value (the values are not shown)."""
+    return {x: bool(environment.get(x, "").strip()) for x in names}
 
 
 def settings(text: str, env: dict[str, str] | None = None, override: bool = False) -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,60 @@ def write_report(runs: DataFrame, path: str, expected: int | None = None, undeci
     return target
 
 
+def report_summary(runs: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: n_runs, n_files, n_skipped, skipped_files, and the runs by config, artifact type and regime.
+
+    skipped has a row for each file that gave no run. Distributions have an entry a name, none for nulls.
+    """
+    out = None
+    for name, column in (("by_config", "config_id"), ("by_type", "artifact_type"), ("by_regime", "regime")):
+        n = runs.groupBy(F.coalesce(column, F.lit("none")).alias("k")).agg(F.count("*").alias("n"))
+        one = n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # single rows
+    counts = runs.agg(F.count("*").alias("n_runs"))
+    lost = skipped.agg(F.count("*").alias("n_skipped"), F.array_sort(F.collect_list("file")).alias("skipped_files"))
+    one = out.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(lost))
+    return one.select("n_runs", (F.col("n_runs") + F.col("n_skipped")).alias("n_files"), "n_skipped", "skipped_files", "by_config", "by_type", "by_regime")
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write files (path below root, content binary, null as empty) to a new folder; returns path, digest, n_bytes.
+
+    Each file is written whole under a name of its attempt and then moved to its own, so that a retried task
+    leaves the same files. The folder is named as pyarrow's file systems know it. A path that leaves it is
+    refused. The rows are those written, in a table beside the folder, so that reading them writes nothing again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            out = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if path is None or posixpath.normpath(path).startswith(("..", "/")):
+                    raise ValueError(f"a path outside the folder: {path}")
+                content = content or b""
+                place = f"{base}/{posixpath.normpath(path)}"
+                store.create_dir(posixpath.dirname(place), recursive=True)
+                attempt = f"{posixpath.dirname(place)}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(attempt, compression=None) as f:
+                    f.write(content)
+                store.move(attempt, place)
+                out.append((posixpath.normpath(path), hashlib.sha256(content).hexdigest(), len(content)))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["path", "digest", "n_bytes"])
+
+    written = files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, digest string, n_bytes bigint")
+    listing = f"{root.rstrip('/')}.files"
+    written.write.parquet(listing)
+    return files.sparkSession.read.schema(written.schema).parquet(listing)
+
+
 def write_cache(verdicts: DataFrame, path: str) -> None:
     """pair_key, same in key order: stable files for stable content."""
     verdicts.select("pair_key", "same").orderBy("pair_key").write.mode("overwrite").json(path)
