@@ -41,7 +41,7 @@ def test_files_and_reports(spark, tmp_path):
     digests = readers.file_digests(spark, f"file://{tmp_path}/out")
     assert rows(digests.select("path", "digest"), "path") == rows(written.where("n_bytes > 0").select("path", "digest"), "path")
     with pytest.raises(Exception, match="outside"):
-        writers.write_files(files.withColumn("path", F.lit("../x")), f"file://{tmp_path}/out").count()
+        writers.write_files(files.withColumn("path", F.lit("../x")), f"file://{tmp_path}/other")
     runs = spark.createDataFrame([("r1", "mem", "code", "divergent"), ("r2", "mem", "code", None)], "run_id string, config_id string, artifact_type string, regime string")
     s = writers.report_summary(runs, spark.createDataFrame([("x.json",)], "file string")).first()
     assert (s.n_runs, s.n_files, s.n_skipped, s.skipped_files) == (2, 3, 1, ["x.json"])
