@@ -44,6 +44,11 @@ def field_values(spec: str, field: str, low: int, high: int) -> list[int]:
     return sorted(out)
 
 
+def _restricted(spec: str) -> bool:
+    """Whether a day field restricts days for the either-day rule: not if it is stars alone or steps of a star."""
+    return not spec.startswith("*/") and any(atom.strip() != "*" for atom in spec.split(","))
+
+
 @dataclass(frozen=True)
 class Cron:
     minutes: tuple[int, ...]
@@ -59,7 +64,11 @@ class Cron:
         if len(parts) != 5:
             raise ValueError(f"five fields are needed: {text!r}")
         sets = [tuple(field_values(p, *f)) for p, f in zip(parts, FIELDS, strict=True)]
-        return cls(*sets, either_day=not {parts[2], parts[4]} & {"*", "*/1"})
+        return cls(*sets, either_day=_restricted(parts[2]) and _restricted(parts[4]))
+
+    def describe(self) -> dict[str, tuple[int, ...]]:
+        """The allowed values of each field."""
+        return {"minutes": self.minutes, "hours": self.hours, "days_of_month": self.days, "months": self.months, "days_of_week": self.week_days}
 
     def day_matches(self, day: Column) -> Column:
         dom, dow = F.dayofmonth(day).isin(*self.days), (F.dayofweek(day) - 1).isin(*self.week_days)
@@ -90,3 +99,23 @@ class Cron:
             return F.timestamp_add("MINUTE", slot, d.cast("timestamp_ntz"))
 
         return F.when(self.day_matches(day) & today.isNotNull(), at(day, today)).otherwise(at(later, F.element_at(slots, 1)))
+
+    def upcoming(self, ts: Column, count: int, horizon_days: int = 366 * 8) -> Column:
+        """The next count matching minutes after ts in order, fewer if the horizon (days after ts) holds fewer.
+
+        The days that match are listed until they hold count slots, a short array per row: only as much of the
+        horizon is listed as is sure to be needed, and all of it only where that does not do.
+        """
+        slots = F.array(*[F.lit(h * 60 + m) for h in self.hours for m in self.minutes])
+        day, now = F.to_date(ts), F.hour(ts) * 60 + F.minute(ts)
+        days_needed = -(-count // (len(self.hours) * len(self.minutes))) + 1  # the first day may be over already
+
+        def within(horizon: int) -> Column:
+            days = F.filter(F.sequence(F.lit(0), F.lit(horizon)), lambda d: self.day_matches(F.date_add(day, d)))
+            return F.slice(days, 1, days_needed)
+
+        near = within(min(horizon_days, 366))
+        if horizon_days > 366:
+            near = F.when(F.size(near) < days_needed, within(horizon_days)).otherwise(near)
+        at = F.flatten(F.transform(near, lambda d: F.transform(F.filter(slots, lambda s: (d > 0) | (s > now)), lambda s: F.timestamp_add("MINUTE", s, F.date_add(day, d).cast("timestamp_ntz")))))
+        return F.slice(at, 1, count)
