@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,29 +114,60 @@ def min_significant_gap(pairs: Column, alpha: float = 0.05) -> Column:
     return F.array_min(found)
 
 
-def walsh_averages(paired: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """Averages of every pair i <= j of the non-zero differences of a key (artifacts of one comparison)."""
-    order = Window.partitionBy(*keys).orderBy(diff, "artifact_id")
-    d = paired.where(F.abs(diff) > 0).select(*keys, F.col(diff).alias("d"), F.row_number().over(order).alias("i"))
-    other = d.withColumnRenamed("d", "e").withColumnRenamed("i", "j")
-    return d.join(other, keys).where("i <= j").select(*keys, ((F.col("d") + F.col("e")) / 2).alias("walsh"))
+def _walsh_ranks(values: np.ndarray, counts: np.ndarray, ranks: list[int]) -> list[float]:
+    """Walsh averages (of pairs i <= j of the values, each repeated counts times) at 1-based ranks.
+
+    values ascend. The number of averages up to a bound takes one search per value, and the bound is found by
+    bisection over doubles in their order, so no pair is ever listed.
+    """
+    before = np.concatenate([[0], np.cumsum(counts)])
+    own = counts * (counts + 1) // 2
+    at = np.arange(len(values))
+
+    def up_to(bound: float) -> int:
+        last = np.maximum(np.searchsorted(values, 2 * bound - values, side="right"), at + 1)
+        return int((counts * (before[last] - before[at + 1])).sum() + own[values <= bound].sum())
+
+    def ordinal(x: float) -> int:
+        (bits,) = struct.unpack("<q", struct.pack("<d", x))
+        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+    def double(n: int) -> float:
+        return struct.unpack("<d", struct.pack("<Q", n if n >= 0 else (1 << 63) | -n))[0]
+
+    out = []
+    for rank in ranks:
+        low, high = ordinal(float(values[0])), ordinal(float(values[-1]))
+        while low < high:
+            middle = (low + high) // 2
+            if up_to(double(middle)) >= rank:
+                high = middle
+            else:
+                low = middle + 1
+        out.append(double(low))
+    return out
 
 
 def hodges_lehmann(paired: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """keys, the median Walsh average and its order-statistic 95 % interval."""
-    w = walsh_averages(paired, keys, diff)
-    rank = Window.partitionBy(*keys).orderBy("walsh")
-    everything = Window.partitionBy(*keys)
-    w = w.withColumn("r", F.row_number().over(rank)).withColumn("m", F.count("*").over(everything).cast("double"))
-    n = (F.sqrt(8 * F.col("m") + 1) - 1) / 2
-    se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    k = F.bround(F.col("m") / 2 - 1.959964 * se)
-    w = w.withColumn("k", F.greatest(F.lit(1.0), F.least(k, F.floor(F.col("m") / 2))))
-    return w.groupBy(*keys).agg(
-        F.percentile("walsh", F.lit(0.5)).alias("estimate"),
-        F.max(F.when(F.col("r") == F.col("k"), F.col("walsh"))).alias("ci_low"),
-        F.max(F.when(F.col("r") == F.col("m") + 1 - F.col("k"), F.col("walsh"))).alias("ci_high"),
-    )
+    """keys (strings), the median Walsh average of the non-zero differences and its order-statistic 95 % interval.
+
+    Equal differences are counted before the shuffle; a key's distinct ones (16 bytes each) meet in one task. Nulls
+    and NaN take no part; a key without non-zero differences has no row.
+    """
+    d = F.col(diff).cast("double")
+    counted = paired.where((F.abs(d) > 0) & ~F.isnan(d)).groupBy(*keys, d.alias("_d")).agg(F.count("*").alias("_n"))
+    schema = ", ".join(f"{k} string" for k in keys) + ", estimate double, ci_low double, ci_high double"
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_d")
+        values, counts = rows["_d"].to_numpy(np.float64), rows["_n"].to_numpy(np.int64)
+        n = int(counts.sum())
+        m = n * (n + 1) // 2
+        k = max(1, min(round(m / 2 - 1.959964 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5), m // 2))
+        a, b, low, high = _walsh_ranks(values, counts, [(m + 1) // 2, m // 2 + 1, k, m + 1 - k])
+        return pd.DataFrame([[*key, (a + b) / 2, low, high]], columns=[*keys, "estimate", "ci_low", "ci_high"])
+
+    return counted.groupBy(*keys).applyInPandas(run, schema)
 
 
 def signed_rank_p(diffs: list[float]) -> float:
@@ -178,3 +211,13 @@ def exact_tail(k: int, n: int) -> float:
 
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def significance(p: Column) -> Column:
+    """Stars, or ns where there are none."""
+    return F.coalesce(F.nullif(stars(p), F.lit("")), F.lit("ns"))
+
+
+def format_p(p: Column) -> Column:
+    """Four decimals, or <0.001; null stays null."""
+    return F.when(p < 0.001, "<0.001").when(p.isNotNull(), F.format_string("%.4f", p))

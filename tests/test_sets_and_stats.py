@@ -131,3 +131,27 @@ def test_registered_bootstraps_draw_as_many_samples_as_the_reference(spark):
     for name in ("cluster_bootstrap", "majority_bootstrap"):
         row, = convergence.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert row.samples == 20_000
+
+
+def test_hodges_lehmann_with_repeated_differences(spark):
+    import random
+
+    draw = random.Random(3)
+    sets_of = {"a": [draw.choice([-0.5, 0.25, 0.25, 1.0, 3.5]) for _ in range(61)], "b": [draw.gauss(-1, 2) for _ in range(40)], "c": [-0.0, 0.0, -2.0], "d": [0.0]}
+    df = spark.createDataFrame([(k, i, d) for k, v in sets_of.items() for i, d in enumerate(v)], "metric string, artifact_id int, diff double")
+    got = {r.metric: r for r in stats.hodges_lehmann(df, ["metric"], "diff").collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    for k, r in got.items():
+        used = sorted(d for d in sets_of[k] if d)
+        n = len(used)
+        walsh = sorted((used[i] + used[j]) / 2 for i in range(n) for j in range(i, n))
+        m = len(walsh)
+        at = max(1, min(round(m / 2 - 1.959964 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5), m // 2))
+        middle = (walsh[(m + 1) // 2 - 1] + walsh[m // 2]) / 2
+        assert (r.estimate, r.ci_low, r.ci_high) == (pytest.approx(middle), pytest.approx(walsh[at - 1]), pytest.approx(walsh[m - at]))
+
+
+def test_p_labels(spark):
+    df = spark.createDataFrame([(0.0005,), (0.005,), (0.04,), (0.5,), (None,)], "p double")
+    got = df.select(stats.significance(F.col("p")).alias("s"), stats.format_p(F.col("p")).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("***", "<0.001"), ("**", "0.0050"), ("*", "0.0400"), ("ns", "0.5000"), ("ns", None)]
