@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 PRIME = 2147483647
 
 
@@ -21,19 +23,35 @@ def draw_sql(sample: str, position: str) -> str:
     return f"((({b} * 16807 + {a}) % {PRIME}) // 128)"
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with the position (from 0) of each row in order, without one task that sees all rows.
+
+    The rows are sorted by range and written once with their partition and place in it; the offsets of the partitions
+    are one row each.
+    """
+    path = shared_path(df.sparkSession, "numbered")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df.orderBy(order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(offsets), "_part")  # one row a partition
+    return out.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def bootstrap_difference(per: DataFrame, samples: int) -> DataFrame:
     """b, diff: of each sample of artifacts (with replacement) the difference of the two arms' means.
 
     per has one row per artifact (sa, na, sb, nb) and is numbered once; the draws are generated, not
     collected: samples x artifacts rows that meet the artifacts in an equi-join on their number.
     """
-    order = Window.orderBy("artifact_id")
-    numbered = per.withColumn("i", F.row_number().over(order).cast("long") - 1)
-    n = numbered.agg(F.count("*").alias("n"))
+    artifacts = numbered(per, "artifact_id", "i")
+    n = artifacts.agg(F.count("*").alias("n"))
     draws = per.sparkSession.range(samples).toDF("b").crossJoin(F.broadcast(n))  # n is one row
     draws = draws.where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     draws = draws.select("b", (draw(F.col("b"), F.col("j")) % F.col("n")).alias("i"))
-    sums = draws.join(numbered, "i").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb")])
+    sums = draws.join(artifacts, "i").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb")])
     return sums.select("b", (F.col("sa") / F.col("na") - F.col("sb") / F.col("nb")).alias("diff"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resampling import draw
+from .resampling import draw, numbered
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -74,11 +74,11 @@ def gold_easy_negatives(defects: DataFrame, n: int, seed: int, tries: int | None
 
     The draws of two defect numbers meet the numbered defects in equi-joins: no cross join.
     """
-    numbered = defects.withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long") - 1).select("k", "id", "item", F.get("variants", F.lit(0)).alias("t"))
-    total = numbered.agg(F.count("*").alias("total"))
+    first = numbered(defects.select("id", "item", F.get("variants", F.lit(0)).alias("t")), "id", "k").select("k", "id", "item", "t")
+    total = first.agg(F.count("*").alias("total"))
     draws = defects.sparkSession.range(2 * n if tries is None else tries).toDF("s").crossJoin(F.broadcast(total)).where("total > 1")  # total is one row
     draws = draws.select("s", (draw(F.lit(seed), F.col("s")) % F.col("total")).alias("k"), (draw(F.lit(seed + 1), F.col("s")) % F.col("total")).alias("l"))
-    a, b = numbered.toDF("k", "a", "ia", "a_text"), numbered.toDF("l", "b", "ib", "b_text")
+    a, b = first.toDF("k", "a", "ia", "a_text"), first.toDF("l", "b", "ib", "b_text")
     pairs = draws.join(a, "k").join(b, "l").where("ia <> ib and a < b")
     pairs = pairs.groupBy("a", "b", "a_text", "b_text").agg(F.min("s").alias("s")).orderBy("s").limit(n)
     return pairs.select(F.concat("a", F.lit("~xneg~"), "b").alias("pair_id"), "a_text", "b_text", F.lit(False).alias("label"), F.lit("cross-artifact").alias("source"))
