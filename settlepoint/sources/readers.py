@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,15 +124,31 @@ def file_digests(spark: SparkSession, root: str, manifest_name: str = "MANIFEST.
     return out.where(F.col("path") != manifest_name)
 
 
+_FIELD = r'(?s)(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
 def csv_records(
-    spark: SparkSession, path, null_tokens: tuple[str, ...] = ("",), types: dict[str, str] | None = None, fill: dict[str, str] | None = None
+    spark: SparkSession, path, null_tokens: tuple[str, ...] = ("",), types: dict[str, str] | None = None, fill: dict[str, str] | None = None, rest: str | None = None
 ) -> DataFrame:
     """CSV with quotes, doubled quotes and embedded line ends; null tokens read as null.
 
-    types casts columns (null where a value does not fit), fill gives the value of fields that a row lacks.
+    types casts columns (null where a value does not fit), fill gives the value of fields that a row lacks. rest
+    names an array column for the fields that a row has beyond the header, null where it has none.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", null_tokens[0] if null_tokens else "").csv(path)
-    for name in raw.columns:
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": null_tokens[0] if null_tokens else ""}
+    raw = spark.read.options(**options).csv(path)
+    names = raw.columns
+    if rest is not None:
+        bad = "_record"
+        while bad in names:
+            bad = "_" + bad
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+        raw = spark.read.options(**options, columnNameOfCorruptRecord=bad, enforceSchema=True).schema(schema).csv(path)
+        record = F.regexp_replace(F.col(f"`{bad}`"), r"\r?\n$", "")
+        fields = F.slice(F.regexp_extract_all(record, F.lit(_FIELD), F.lit(1)), len(names) + 1, 1 << 20)
+        plain = F.transform(fields, lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+        raw = raw.select(*[F.col(f"`{n}`") for n in names], F.when(F.size(fields) > 0, plain).alias(rest))
+    for name in names:
         c = F.col(f"`{name}`")
         if len(null_tokens) > 1:
             c = F.when(~c.isin(*null_tokens[1:]), c)
@@ -161,3 +179,34 @@ def settings(text: str, env: dict[str, str] | None = None, override: bool = Fals
         if override or key not in out:
             out[key] = value
     return out
+
+
+def archived_files(spark: SparkSession, path, suffix: str = "") -> DataFrame:
+    """archive, path, content of the regular files in tar archives (compressed or not) whose name ends with suffix.
+
+    An archive is read by one task, file by file; it is one binary value, so below 2 GB. Nothing is unpacked to disk,
+    and names are only text: a name that leads out of a folder is kept as it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import tarfile
+
+        for b in batches:
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for member in tar:
+                        if member.isfile() and member.name.endswith(suffix):
+                            row = [[archive], [member.name], [tar.extractfile(member).read()]]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.string(), pa.binary()), strict=True)], ["archive", "path", "content"])
+
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.col("path").alias("archive"), "content").mapInArrow(run, "archive string, path string, content binary")
+
+
+def archived_trajectories(spark: SparkSession, path) -> DataFrame:
+    """As trajectories, from the JSON files of tar archives (reports and hidden files are skipped)."""
+    raw = archived_files(spark, path, ".json").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    raw = raw.where((F.col("file") != "metrics.json") & ~F.startswith("file", F.lit("._")))
+    r = raw.select("file", F.from_json(F.decode("content", "UTF-8"), schemas.TRAJECTORY).alias("r"))
+    return r.select("r.trajectory.*", "r.transcripts", "r.reviewer_calls", "r.extractor_calls", "r.prompt_version", "file")

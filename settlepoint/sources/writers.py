@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,16 +118,80 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def html_escape(c: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
     return c
 
 
 def release_listing(files: DataFrame, keep: dict[str, int], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first files of each arm by name (keep: how many), and the wanted names that are missing."""
-    from pyspark.sql import Window
-
     limit = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])[F.col("arm")]
     rank = F.row_number().over(Window.partitionBy("arm").orderBy("name"))
     first = files.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k")
     return first, wanted.join(files.select("name"), "name", "left_anti")
+
+
+def archives(files: DataFrame, key: str) -> DataFrame:
+    """key and content: a gzipped tar archive of each key's files (path, content) in the order of their names.
+
+    The files of a key must fit a task. Equal files give equal bytes.
+    """
+    kind = dict(files.dtypes)[key]
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import gzip
+        import io
+        import tarfile
+
+        out = io.BytesIO()
+        with gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as packed, tarfile.open(fileobj=packed, mode="w") as tar:
+            for path, content in sorted(zip(rows["path"], rows["content"], strict=True)):
+                info = tarfile.TarInfo(path)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return pd.DataFrame({key: [group[0]], "content": [out.getvalue()]})
+
+    return files.select(key, "path", F.col("content").cast("binary").alias("content")).groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
+
+
+def source_listing(text: Column, start: Column, end: Column) -> Column:
+    """A text's numbered lines as HTML, those of start to end marked as the zone."""
+    def line(x: Column, i: Column) -> Column:
+        no = i + 1
+        zone = F.coalesce((start > 0) & (end > 0) & no.between(start, end), F.lit(False))
+        shown = F.lpad(no.cast("string"), F.greatest(F.lit(4), F.length(no.cast("string"))), F.lit(" "))
+        return F.concat(F.when(zone, F.lit("<span class=zone>")).otherwise(F.lit("<span>")), shown, F.lit("  "), html_escape(x), F.lit("</span>"))
+
+    return F.concat(F.lit("<pre>"), F.array_join(F.transform(F.split(F.regexp_replace(text, r"\n$", ""), r"\R", -1), line), "\n"), F.lit("</pre>"))
+
+
+def review_cards(items: DataFrame) -> DataFrame:
+    """items with a column card: an HTML card with a verdict to choose.
+
+    items has id, arm, module, weight, claim, unit, start, end and source (the module's text); all but weight are
+    escaped, nulls are shown as empty and a null unit as (unlocalized).
+    """
+    e = lambda c: html_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    span = F.concat(e("unit"), F.coalesce(F.concat(F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")), F.lit("")))
+    place = F.when(F.col("unit").isNull(), F.lit("(unlocalized)")).otherwise(span)
+    choices = [F.concat(F.lit('<label><input type=radio name="'), e("id"), F.lit(f'" value="{v}"> {v}</label>')) for v in ("real", "false", "unsure")]
+    card = F.concat(
+        F.lit('<div class=card data-item="'), e("id"), F.lit('" data-arm="'), e("arm"), F.lit('" data-module="'), e("module"), F.lit('" data-weight="'), F.col("weight").cast("string"), F.lit('">'),
+        F.lit("<div class=claim>"), e("claim"), F.lit("</div><div class=loc>"), place, F.lit(" in "), F.col("weight").cast("string"), F.lit(" run(s)</div>"),
+        *choices, source_listing(F.coalesce("source", F.lit("")), F.col("start"), F.col("end")), F.lit("</div>"),
+    )
+    return items.withColumn("card", card)
+
+
+def write_review_pages(items: DataFrame, root: str, title: str, each: int = 500) -> DataFrame:
+    """Pages of cards, each items at most to a page, by arm and module; returns path, digest, n_bytes of the pages.
+
+    A page covers one arm and module; those with more items get numbered pages.
+    """
+    place = Window.partitionBy("arm", "module").orderBy("id")
+    cards = review_cards(items).withColumn("_page", F.floor((F.row_number().over(place) - 1) / each).cast("long"))
+    pages = cards.groupBy("arm", "module", "_page").agg(F.array_sort(F.collect_list(F.struct("id", "card"))).alias("c"))
+    head = F.lit(f"<!doctype html><meta charset=utf-8><title>{title}</title><style>.zone{{background:#ffd}}</style>\n")
+    body = F.array_join(F.transform("c", lambda x: x["card"]), "\n")
+    name = F.concat_ws("/", "arm", F.concat("module", F.lit("-"), F.col("_page").cast("string"), F.lit(".html")))
+    return write_files(pages.select(name.alias("path"), F.encode(F.concat(head, body), "UTF-8").alias("content")), root)
