@@ -107,6 +107,24 @@ def location_text(unit: Column, start: Column, end: Column) -> Column:
     return F.when(unit.isNull(), F.lit("")).otherwise(F.concat(unit, span))
 
 
+def sheet_location_text(unit: Column, start: Column, end: Column) -> Column:
+    """The form of labelling sheets: a span is written in full even where it ends at its start."""
+    span = F.concat(F.lit(":"), start.cast("string"), F.coalesce(F.concat(F.lit("-"), end.cast("string")), F.lit("")))
+    return F.concat(F.coalesce(unit, F.lit("")), F.coalesce(span, F.lit("")))
+
+
+def prompt_location_text(unit: Column, start: Column, end: Column) -> Column:
+    """The form of prompts: a finding without a place is unlocalized."""
+    return F.when(unit.isNull() & start.isNull(), F.lit("unlocalized")).otherwise(location_text(unit, start, end))
+
+
+def suggested_delay(retry_after: Column, body: Column) -> Column:
+    """Seconds that a server asks to wait: a numeric Retry-After header, else retryDelay of a JSON body, else null."""
+    header = F.trim(retry_after)
+    asked = F.nullif(F.regexp_extract(body, r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"', 1), F.lit(""))
+    return F.coalesce(F.when(header.rlike(r"^(\d+\.?\d*|\.\d+)$"), header.try_cast("double")), asked.try_cast("double"))
+
+
 def collapse_space(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
 
@@ -256,3 +274,24 @@ def diff_postimage(text: Column) -> Column:
     init = F.struct(F.lit(None).cast("int").alias("no"), F.array().cast("array<struct<no:int,line:string>>").alias("out"))
     lines = F.split(F.regexp_replace(text, r"\n$", ""), r"\R", -1)
     return F.aggregate(lines, init, step, lambda s: s["out"])
+
+
+def diff_file_name(text: Column) -> Column:
+    """The new file's name from the first line of a diff that has it, else file."""
+    plus, git = r"^\+\+\+ b/(.+)", r"^diff --git a/\S+ b/(\S+)"
+    named = F.transform(F.split(text, r"\R"), lambda x: F.trim(F.coalesce(F.nullif(F.regexp_extract(x, plus, 1), F.lit("")), F.regexp_extract(x, git, 1))))
+    return F.coalesce(F.try_element_at(F.filter(named, lambda x: x != ""), F.lit(1)), F.lit("file"))
+
+
+def review_view(kind: Column, text: Column) -> Column:
+    """What a reviewer sees: of code the numbered new file of its diff under its name, else the text itself."""
+    width = lambda n: F.greatest(F.lit(4), F.length(n.cast("string")))
+    rows = F.transform(diff_postimage(text), lambda x: F.concat(F.lpad(x["no"].cast("string"), width(x["no"]), F.lit(" ")), F.lit(" | "), x["line"]))
+    head = F.concat(F.lit("File under review: "), diff_file_name(text), F.lit("\n(line numbers are shown at the left; cite them in your findings)\n\n"))
+    return F.when(kind == "code", F.concat(head, F.array_join(rows, "\n"))).otherwise(text)
+
+
+def extraction_prompt(artifact: Column, review: Column) -> Column:
+    """The request for findings of a review as a JSON array (fixed wording)."""
+    parts = ("--- ARTIFACT ---\n", artifact, "\n--- END ARTIFACT ---\n\n--- REVIEW ---\n", review, "\n--- END REVIEW ---\n\nReturn the JSON array of findings.")
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])

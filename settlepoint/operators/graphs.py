@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +88,34 @@ def find_cycle(edges: list[tuple]) -> list | None:
                 trail.append(step)
                 walk.append(iter(sorted(needs.get(step, []))))
     return None
+
+
+def _pairs(rows: pd.DataFrame) -> list[tuple]:
+    """The edges with a dep; pandas holds whole numbers beside nulls as floats, so they get the nodes' type back."""
+    rows = rows[rows["dep"].notna()]
+    return list(zip(rows["node"].tolist(), rows["dep"].astype(rows["node"].dtype).tolist(), strict=True))
+
+
+def topological_orders(edges: DataFrame, graph: str) -> DataFrame:
+    """graph, node, position (from 0) for many graphs, each of which fits a task; raises on a cycle.
+
+    edges has the graph, node and dep; a null dep names a node without dependencies.
+    """
+    kinds = dict(edges.dtypes)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        order = topological_order(_pairs(rows), rows["node"].tolist())
+        return pd.DataFrame({graph: [key[0]] * len(order), "node": order, "position": range(len(order))})
+
+    return edges.select(graph, "node", "dep").distinct().groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, node {kinds['node']}, position bigint")
+
+
+def cycles(edges: DataFrame, graph: str) -> DataFrame:
+    """graph and one cycle (its first node is also its last) of each graph that has one; a graph fits a task."""
+    kinds = dict(edges.dtypes)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = find_cycle(_pairs(rows))
+        return pd.DataFrame([[key[0], found]] if found else [], columns=[graph, "cycle"])
+
+    return edges.select(graph, "node", "dep").distinct().groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, cycle array<{kinds['node']}>")

@@ -6,6 +6,7 @@ mapInPandas over a filtered band, never over pairs that are already decided or c
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,23 @@ class JudgeUnavailable(RuntimeError):
         self.delay = delay
 
 
+def suggested_delay(headers: dict | None, body: str | None) -> float | None:
+    """Plain form of text.suggested_delay for the caller of a service."""
+    asked = ((headers or {}).get("Retry-After") or "").strip()
+    if re.fullmatch(r"\d+\.?\d*|\.\d+", asked):
+        return float(asked)
+    found = re.search(r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"', body or "")
+    return float(found[1]) if found else None
+
+
+def check_response(status: int, headers: dict | None = None, body: str | None = None) -> None:
+    """Raise for a failed HTTP response: to be retried where the status is transient, else for good."""
+    if status in RETRY_STATUS:
+        raise JudgeUnavailable(f"status {status}", suggested_delay(headers, body))
+    if status >= 400:
+        raise RuntimeError(f"status {status}: {(body or '')[:500]}")
+
+
 def with_retries(call: Callable, attempts: int = 3, base: float = 0.5, most: float = 45.0, sleep: Callable = time.sleep):
     """call() until it returns, waiting the hinted or a doubling delay after each failure; None if it never does."""
     for k in range(attempts):
@@ -88,8 +106,6 @@ def robustness(first: DataFrame, again: DataFrame) -> DataFrame:
 
 def rule_judge(a: str, _la, b: str, _lb) -> bool:
     """Content-token Jaccard of at least 0.34: the default judge without a network."""
-    import re
-
     x, y = ({t for t in re.findall("[a-z0-9]+", (s or "").lower()) if t not in text.STOP_WORDS} for s in (a, b))
     return bool(x and y) and len(x & y) / len(x | y) >= 0.34
 
@@ -98,3 +114,17 @@ def clashes(judge_spec: str, models: DataFrame, column: str = "model_id") -> Dat
     """Rows whose model is of the judge's family (an unknown family clashes with nothing)."""
     family = text.spec_family(F.lit(judge_spec))
     return models.where((family != "unknown") & (text.model_family(F.col(column)) == family))
+
+
+def self_agreement(verdicts: DataFrame, key: str = "pair_key", verdict: str = "same") -> DataFrame:
+    """One row: pairs, unstable (pairs with more than one distinct verdict over repeated passes) and their share."""
+    per = verdicts.where(F.col(verdict).isNotNull()).groupBy(key).agg((F.min(verdict) != F.max(verdict)).alias("_mixed"))
+    return per.agg(F.count("*").alias("pairs"), F.count_if("_mixed").alias("unstable"), F.avg(F.col("_mixed").cast("double")).alias("share"))
+
+
+def judge_counts(judged: DataFrame, votes: int = 1) -> DataFrame:
+    """One row over the output of judge_band: pairs, votes asked for, votes without a verdict, undecided pairs."""
+    failed = votes - F.col("cast")
+    return judged.agg(
+        F.count("*").alias("pairs"), (F.count("*") * votes).alias("votes"), F.coalesce(F.sum(failed), F.lit(0)).cast("long").alias("failed"), F.count_if(failed > 0).alias("undecided")
+    )

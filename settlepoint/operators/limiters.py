@@ -18,20 +18,38 @@ class Bucket:
     """A token bucket: starts at capacity, refills up to burst; time going backwards earns nothing."""
 
     def __init__(self, capacity: float, refill: float, burst: float | None = None):
-        self.level, self.refill, self.burst, self.at, self.capacity = capacity, refill, burst if burst is not None else capacity, None, capacity
+        burst = capacity if burst is None else burst
+        if capacity <= 0 or refill < 0 or burst < capacity:
+            raise ValueError(f"capacity {capacity}, refill {refill}, burst {burst}")
+        self.capacity, self.refill, self.burst, self.level, self.at = capacity, refill, burst, capacity, None
+
+    def advance(self, now: float) -> None:
+        if self.at is not None and now > self.at:
+            self.level = min(self.burst, self.level + (now - self.at) * self.refill)
+        self.at = now
 
     def allow(self, now: float, cost: float = 1.0) -> tuple[bool, float, float]:
         """(allowed, tokens left, seconds until the cost could be paid)."""
+        if cost < 0:
+            raise ValueError("a cost must not be negative")
         if cost > self.burst:
             return False, self.level, float("inf")
-        if self.at is not None and now > self.at:
-            self.level = min(self.burst, self.level + (now - self.at) * self.refill)
-        self.at = now
+        self.advance(now)
         if self.level >= cost:
             self.level -= cost
             return True, self.level, 0.0
         return False, self.level, (cost - self.level) / self.refill if self.refill > 0 else float("inf")
 
+    def remaining(self, now: float) -> float:
+        """Tokens at a time (capacity if the bucket was never used)."""
+        if self.at is not None:
+            self.advance(now)
+        return self.level
+
+    def full(self, now: float) -> bool:
+        """Whether the bucket is back at its capacity, so that it may be forgotten."""
+        return self.remaining(now) >= self.capacity
+
 
 class LruTtl:
     """A cache of bounded size whose entries expire; get of a missing key is a miss, which sets it."""
@@ -69,24 +87,55 @@ def _streamed(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *order)
 
 
-def rate_limit(events: DataFrame, key: str, ts: str, capacity: float, refill: float, burst: float | None = None, cost: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
-    """key, ts (seconds) and the decision on each event: allowed, remaining, retry_after."""
+def _with_limits(rows: DataFrame, limits: DataFrame | None, capacity: float, refill: float, burst: float | None) -> DataFrame:
+    """rows with the capacity, refill and burst of their key: those of limits where it names the key, else the defaults."""
+    usual = {"capacity": capacity, "refill": refill, "burst": capacity if burst is None else burst}
+    if limits is None:
+        return rows.select("*", *[F.lit(float(v)).alias(k) for k, v in usual.items()])
+    own = limits.select("key", *[F.col(c).cast("double").alias(f"_{c}") for c in usual])
+    rows = rows.join(own, "key", "left")
+    for c in ("capacity", "refill"):
+        rows = rows.withColumn(c, F.coalesce(f"_{c}", F.lit(float(usual[c]))))
+    most = F.coalesce("_burst", F.greatest(F.col("capacity"), F.lit(float(usual["burst"]))))
+    return rows.withColumn("burst", most).drop(*[f"_{c}" for c in usual])
+
+
+def rate_limit(
+    events: DataFrame, key: str, ts: str, capacity: float, refill: float, burst: float | None = None, cost: str | None = None, order: tuple[str, ...] = (), limits: DataFrame | None = None
+) -> DataFrame:
+    """key, ts (seconds) and the decision on each event: allowed, remaining, retry_after.
+
+    limits (key, capacity, refill, burst; one row a key, null for the default) sets other parameters for some keys.
+    """
     rows = events.select(F.col(key).alias("key"), F.col(ts).cast("double").alias("ts"), (F.col(cost) if cost else F.lit(1.0)).cast("double").alias("cost"), *order)
+    rows = _with_limits(rows, limits, capacity, refill, burst)
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now_key, bucket = object(), None
         for b in batches:
             out = []
-            for k, t, c in zip(b["key"], b["ts"], b["cost"], strict=True):
+            for k, t, c, *limit in zip(b["key"], b["ts"], b["cost"], b["capacity"], b["refill"], b["burst"], strict=True):
                 if k != now_key:
-                    now_key, bucket = k, Bucket(capacity, refill, burst)
+                    now_key, bucket = k, Bucket(*limit)
                 out.append((k, t, *bucket.allow(t, c)))
             yield pd.DataFrame(out, columns=["key", "ts", "allowed", "remaining", "retry_after"])
 
     return _streamed(rows, "key", ["ts", *order]).mapInPandas(run, f"key {kind}, ts double, allowed boolean, remaining double, retry_after double")
 
 
+def bucket_levels(decisions: DataFrame, at: float, capacity: float, refill: float, burst: float | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """key, remaining at a time after all decisions of rate_limit, and full: whether the bucket may be forgotten.
+
+    The last decision of a key (latest ts; of equal ones the least remaining) is a grouped maximum.
+    """
+    last = decisions.groupBy("key").agg(F.max(F.struct("ts", (-F.col("remaining")).alias("r"))).alias("l")).select("key", "l.ts", (-F.col("l.r")).alias("level"))
+    last = _with_limits(last, limits, capacity, refill, burst)
+    gained = F.greatest(F.lit(0.0), F.lit(float(at)) - F.col("ts")) * F.col("refill")
+    last = last.withColumn("remaining", F.least(F.greatest("burst", "level"), F.col("level") + gained))
+    return last.select("key", "remaining", (F.col("remaining") >= F.col("capacity")).alias("full"))
+
+
 def cache_replay(events: DataFrame, owner: str, item: str, ts: str, capacity: int, ttl: float | None, order: tuple[str, ...] = ()) -> DataFrame:
     """Per owner: hits, misses, evictions, expirations and hit_rate of a cache of its accesses."""
     rows = events.select(F.col(owner).alias("owner"), F.col(item).alias("item"), F.col(ts).cast("double").alias("ts"), *order)
