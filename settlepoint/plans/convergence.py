@@ -335,3 +335,60 @@ def leave_and_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.lead("round").over(Window.partitionBy("run_id", "element").orderBy("round"))
     g = long.withColumn("back", back).where("back > round + 1").groupBy("run_id", "element")
     return g.agg(F.min("round").alias("left_after"), F.min("back").alias("returned_at"), F.count("*").alias("n_returns"))
+
+
+_FIRST_LAST_SQL = f"""pr AS (SELECT r.artifact_id, r.arm, s.round, CASE WHEN s.size = 0 THEN 1e0 ELSE s.n_true / CAST(s.size AS DOUBLE) END AS p, s.n_true / CAST(r.n_defects AS DOUBLE) AS r FROM sizes s JOIN runs r ON r.run_id = s.run_id WHERE s.round IN (0, {adapters.N_ROUNDS - 1})),
+  f AS (SELECT artifact_id, arm, round, CASE WHEN p + r = 0 THEN 0e0 ELSE 2 * p * r / (p + r) END AS f1 FROM pr),
+  arts AS (SELECT artifact_id, avg(f1) FILTER (WHERE round > 0) - avg(f1) FILTER (WHERE round = 0) AS d FROM f WHERE arm = 'mem' GROUP BY artifact_id),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY artifact_id) - 1 AS i, count(*) OVER () AS n FROM arts)"""
+
+
+def _first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """artifact_id, arm, diff: mean F1 of the last round over an artifact's runs less that of the first."""
+    r = runs(spark, sf_dir)
+    f1 = lambda elements: sets.f1(sets.precision(elements), sets.recall(elements, F.col("n_defects")))
+    change = F.avg(f1(F.element_at("rounds", -1))) - F.avg(f1(F.element_at("rounds", 1)))
+    return r.groupBy("artifact_id", "arm").agg(change.alias("diff"))
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_FIRST_LAST_SQL}, {_boot_sql('d', '1', '0e0', '1', SAMPLES)}, s AS ({_summary_sql((0.05,))})
+    SELECT s.*, (SELECT round(avg(d), 6) FROM arts) AS mean_diff FROM s"""
+)
+def first_to_last_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap over artifacts of the change in F1 from the first to the last round of an arm."""
+    per = _first_and_last(spark, sf_dir).where("arm = 'mem'")
+    single = per.select("artifact_id", F.col("diff").alias("sa"), F.lit(1).alias("na"), F.lit(0.0).alias("sb"), F.lit(1).alias("nb"))
+    boots = resampling.bootstrap_difference(single, SAMPLES)
+    mean = per.agg(F.avg("diff").alias("mean_diff"))
+    return rounded(resampling.summary(boots, (0.05,)).crossJoin(F.broadcast(mean)))  # one row each
+
+
+@query()
+def first_to_last_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.wilcoxon(_first_and_last(spark, sf_dir), ["arm"], "diff"))
+
+
+_RATIO_SQL = "(CAST(substr(md5(CAST(artifact_id AS VARCHAR)), 1, 1) AS VARCHAR) < '8')"
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_MAJORITY_SQL} SELECT arm, count(*) AS n, count(*) FILTER (WHERE regime = 'contractive-to-correct') AS cc
+    FROM majority WHERE NOT {_RATIO_SQL} GROUP BY arm"""
+)
+def without_memorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority regimes per arm without the artifacts of a high memorisation ratio (here drawn by a digest)."""
+    m = metrics(spark, sf_dir)
+    ratio = F.when(F.substring(F.md5(F.col("artifact_id").cast("string")), 1, 1) < "8", 0.75).otherwise(0.25)
+    probe = m.select("artifact_id").distinct().withColumn("mem_ratio", ratio)
+    kept = m.join(probe.where("mem_ratio >= 0.5"), "artifact_id", "left_anti")
+    return arms.majority_regimes(kept).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("regime") == sets.REGIMES[0]).alias("cc"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS mark, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.4f', p) END AS shown
+    FROM (SELECT event_id, CAST((event_id * 7919) % 10000 AS DOUBLE) / 10000 AS p FROM events)"""
+)
+def labelled_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ((F.col("event_id") * 7919) % 10000).cast("double") / 10000
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", stats.significance(p).alias("mark"), stats.format_p(p).alias("shown"))

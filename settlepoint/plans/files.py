@@ -214,3 +214,64 @@ def release_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     copied = writers.write_files(first.select(F.concat_ws("/", F.lit("runs"), "arm", "name").alias("path"), "content"), root)
     back = readers.file_digests(spark, root).select("path", "digest", F.col("length").alias("n_bytes"))
     return back.join(copied.select("path", "digest"), ["path", "digest"]).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "digest", "n_bytes")
+
+
+@query("SELECT 'd' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id IS NOT NULL")
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in gzipped tar archives of at most 64 ids, written as files and read back."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    files = d.select(F.floor(F.col("doc_id") / 64).cast("string").alias("key"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    root = shared_path(spark, "archives")
+    packed = writers.archives(files, "key").select(F.concat("key", F.lit(".tar.gz")).alias("path"), "content")
+    writers.write_files(packed, root).count()
+    return readers.archived_files(spark, f"{root}/*.tar.gz").select("path", F.sha2("content", 256).alias("digest"))
+
+
+def _html_sql(c: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{raw}', '{safe}')"
+    return c
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark WHERE item_id IS NOT NULL),
+    l AS (SELECT item_id, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x, i: (CASE WHEN i BETWEEN 1 AND 2 THEN '<span class=zone>' ELSE '<span>' END) || lpad(CAST(i AS VARCHAR), 4, ' ') || '  ' || {_html_sql('x')} || '</span>') AS lines FROM t)
+    SELECT item_id, sha256('<pre>' || array_to_string(lines, chr(10)) || '</pre>') AS digest FROM l"""
+)
+def source_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered, escaped listings of the items with their first two lines as the zone."""
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    return b.select("item_id", F.sha2(writers.source_listing(F.coalesce("text", F.lit("")), F.lit(1), F.lit(2)), 256).alias("digest"))
+
+
+@query("SELECT CASE WHEN item_id % 2 = 0 THEN 'mem' ELSE 'nomem' END AS arm, 'm' || (item_id // 100) AS module, count(*) AS cards FROM benchmark WHERE item_id IS NOT NULL GROUP BY ALL")
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the items on written pages, counted after reading the pages back."""
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    items = b.select(
+        F.concat(F.lit("i"), "item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "mem").otherwise("nomem").alias("arm"), F.concat(F.lit("m"), F.floor(F.col("item_id") / 100)).alias("module"),
+        F.lit(1).alias("weight"), F.substring("text", 1, 40).alias("claim"), F.lit("text").alias("unit"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.col("text").alias("source"),
+    )
+    root = shared_path(spark, "pages")
+    writers.write_review_pages(items, root, "Findings", 20).count()
+    pages = spark.read.text(f"{root}/*/*.html", wholetext=True).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), F.col("value").alias("page"))
+    module = F.regexp_replace(F.element_at("p", -1), r"-\d+\.html$", "")
+    return pages.groupBy(F.element_at("p", -2).alias("arm"), module.alias("module")).agg(F.sum(F.regexp_count("page", F.lit("<div class=card "))).cast("long").alias("cards"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey % 3 AS n_rest, CASE c_custkey % 3 WHEN 1 THEN 'x, \"' || c_mktsegment || '\"' WHEN 2 THEN 'y' END AS last_rest FROM customer")
+def csv_surplus_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with up to two fields more than the header (quotes and commas in them), read into an array."""
+    c = table(spark, sf_dir, "customer")
+    quoted = F.concat(F.lit('"'), F.replace(F.concat(F.lit('x, "'), "c_mktsegment", F.lit('"')), F.lit('"'), F.lit('""')), F.lit('"'))
+    extra = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(","), quoted)).when(F.col("c_custkey") % 3 == 2, F.concat(F.lit(","), quoted, F.lit(",y"))).otherwise("")
+    # Each part of the table is one file with a header of its own.
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name", extra)
+    rows = c.select(F.floor(F.col("c_custkey") / 1000).alias("part"), "c_custkey", line.alias("line"))
+    files = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("l"))
+    content = F.concat(F.lit("c_custkey,name\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    root = shared_path(spark, "surplus")
+    writers.write_files(files.select(F.concat(F.lit("p"), "part", F.lit(".csv")).alias("path"), F.encode(content, "UTF-8").alias("content")), root).count()
+    back = readers.csv_records(spark, f"{root}/*.csv", types={"c_custkey": "bigint"}, rest="rest")
+    n = F.coalesce(F.size("rest"), F.lit(0))
+    return back.select("c_custkey", "name", F.when(F.col("rest").isNull(), 0).otherwise(n).cast("long").alias("n_rest"), F.try_element_at("rest", F.lit(-1)).alias("last_rest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedule, text, versions
-from ..operators import corpus, graphs, intervals, limiters, paging, rolling, sampling
+from ..operators import corpus, graphs, intervals, judging, limiters, paging, rolling, sampling
 from ..operators.resampling import draw_sql
 from ..session import table
 from ..streaming import stateful
@@ -313,6 +313,15 @@ def rolling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", "n", F.round("total", 9).alias("total"), F.round("mean", 9).alias("mean"), "low", "high", F.round("span", 9).alias("span"))
 
 
+@query(
+    f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events)
+    SELECT event_id, round(quantile_cont(value, 0.5) {_ROLL.format(_DAY - 1)}, 6) AS median, round(quantile_cont(value, 0.95) {_ROLL.format(_DAY - 1)}, 6) AS p95 FROM e"""
+)
+def rolling_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rolling.rolling_percentiles(_events(spark, sf_dir), ["user_id"], "t", "value", _DAY, {"median": 0.5, "p95": 0.95})
+    return rounded(out.select("event_id", "median", "p95"))
+
+
 @query("SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def value_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolling.snapshot(table(spark, sf_dir, "events"), ["event_type"], "value"))
@@ -383,6 +392,25 @@ def cron_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", schedule.Cron.parse(_CRON).next_after(F.col("ts"), 14).alias("next_run"))
 
 
+@query(
+    """SELECT event_id, CAST(position - 1 AS INTEGER) AS position, c AS at FROM (SELECT event_id, c, row_number() OVER (PARTITION BY event_id ORDER BY c) AS position
+    FROM (SELECT event_id, ts, date_trunc('day', ts) + to_days(CAST(d AS INTEGER)) + to_minutes(h * 60 + q * 15) AS c FROM events CROSS JOIN range(0, 5) a(d) CROSS JOIN range(8, 18) b(h) CROSS JOIN range(0, 4) e(q))
+    WHERE c > ts AND dayofweek(c) BETWEEN 1 AND 5) WHERE position <= 5"""
+)
+def cron_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.posexplode(schedule.Cron.parse(_CRON).upcoming(F.col("ts"), 5, 14)).alias("position", "at"))
+
+
+@query("SELECT p_partkey // 40 AS graph, p_partkey AS node, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS position FROM part")
+def topological_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in many small graphs whose nodes depend on the halves and thirds of their offsets."""
+    n = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("graph"), F.col("p_partkey").alias("node"))
+    low = F.greatest(F.col("graph") * 40, F.lit(1))  # keys start at 1
+    half, third = (n.select("graph", "node", (low + F.floor((F.col("node") - low) / k)).alias("dep")).where("dep < node") for k in (2, 3))
+    return graphs.topological_orders(n.withColumn("dep", F.lit(None).cast("bigint")).unionByName(half).unionByName(third), "graph")
+
+
 @query(
     """WITH v AS (SELECT p_type, p_partkey, p_partkey % 4 AS a, p_partkey % 10 AS b, p_partkey % 7 AS c, CASE WHEN p_partkey % 5 = 0 THEN 'rc.' || (p_partkey % 3) END AS pre FROM part),
     s AS (SELECT *, pre IS NULL AND ((a = 1 AND (b > 2 OR b = 2 AND c >= 0)) OR (a = 2 AND b = 3)) AS ok FROM v)
@@ -438,3 +466,67 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retried_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("failed"))
     return rounded(limiters.retry_schedule(a, "failed", "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "attempt", "delay"))
+
+
+@query()
+def token_bucket_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each user's bucket after all events, with other limits for every tenth user."""
+    e = _events(spark, sf_dir).withColumn("seconds", F.col("t") / 1e6)
+    users = e.select(F.col("user_id").alias("key")).distinct().where("key % 10 = 0")
+    limits = users.select("key", F.lit(1.0).alias("capacity"), F.lit(None).cast("double").alias("refill"), F.lit(2.0).alias("burst"))
+    decided = limiters.rate_limit(e, "user_id", "seconds", 3.0, 1 / 43_200, 5.0, order=("event_id",), limits=limits)
+    return rounded(limiters.bucket_levels(decided, 1_800_000_000.0, 3.0, 1 / 43_200, 5.0, limits).withColumnRenamed("key", "user_id"))
+
+
+# services --------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 90 WHEN 1 THEN (event_id % 70) + 0.5 END AS DOUBLE) AS delay FROM events"""
+)
+def suggested_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits that responses ask for: a header, a JSON body, a date (no number) or nothing."""
+    kind = F.col("event_id") % 4
+    header = F.when(kind == 0, F.concat(F.lit(" "), (F.col("event_id") % 90).cast("string"))).when(kind == 2, F.lit("Wed, 21 Oct 2015 07:28:00 GMT"))
+    body = F.when(kind == 1, F.concat(F.lit('{"retryDelay" : "'), (F.col("event_id") % 70).cast("string"), F.lit('.5s"}'))).otherwise("{}")
+    return table(spark, sf_dir, "events").select("event_id", text.suggested_delay(header, body).alias("delay"))
+
+
+@query("SELECT count(*) AS pairs, count(*) FILTER (WHERE lo <> hi) AS unstable, round(avg(CASE WHEN lo <> hi THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT user_id, min(value >= 50) AS lo, max(value >= 50) AS hi FROM events WHERE value IS NOT NULL GROUP BY user_id)")
+def judge_self_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("pair_key"), (F.col("value") >= 50).alias("same"))
+    return rounded(judging.self_agreement(v))
+
+
+# prompts ---------------------------------------------------------------------------------------------
+
+_PLACE_SQL = "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS unit, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 7 AS INTEGER) END AS s, CASE WHEN event_id % 3 = 2 THEN CAST(event_id % 7 + event_id % 2 AS INTEGER) END AS e FROM events"
+
+
+@query(
+    f"""WITH p AS ({_PLACE_SQL}), q AS (SELECT *, CASE WHEN s IS NULL THEN '' WHEN e IS NULL OR e = s THEN ':' || s ELSE ':' || s || '-' || e END AS span FROM p)
+    SELECT event_id, CASE WHEN unit IS NULL THEN '' ELSE unit || span END AS place, coalesce(unit, '') || CASE WHEN s IS NULL THEN '' ELSE ':' || s || CASE WHEN e IS NULL THEN '' ELSE '-' || e END END AS sheet,
+    CASE WHEN unit IS NULL AND s IS NULL THEN 'unlocalized' WHEN unit IS NULL THEN '' ELSE unit || span END AS prompt FROM q"""
+)
+def rendered_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    n = (e % 7).cast("int")
+    unit, start, end = F.when(e % 5 > 0, F.col("event_type")), F.when(e % 3 > 0, n), F.when(e % 3 == 2, (n + e % 2).cast("int"))
+    forms = (text.location_text(unit, start, end).alias("place"), text.sheet_location_text(unit, start, end).alias("sheet"), text.prompt_location_text(unit, start, end).alias("prompt"))
+    return table(spark, sf_dir, "events").select("event_id", *forms)
+
+
+@query(
+    """WITH b AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark WHERE item_id IS NOT NULL),
+    l AS (SELECT item_id, t, array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || x), chr(10)) AS body FROM b)
+    SELECT item_id, sha1(CASE WHEN item_id % 2 = 0 THEN 'File under review: src/i' || item_id || '.py' || chr(10) || '(line numbers are shown at the left; cite them in your findings)' || chr(10) || chr(10) || body ELSE t END) AS view_sha1,
+    sha1('--- ARTIFACT ---' || chr(10) || t || chr(10) || '--- END ARTIFACT ---' || chr(10) || chr(10) || '--- REVIEW ---' || chr(10) || 'ok' || chr(10) || '--- END REVIEW ---' || chr(10) || chr(10) || 'Return the JSON array of findings.') AS prompt_sha1 FROM l"""
+)
+def review_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as a reviewer sees them (even ones are code, shown from their diff) and the request to extract findings."""
+    t = F.coalesce("text", F.lit(""))
+    code = F.col("item_id") % 2 == 0
+    diff = text.new_file_diff(F.concat(F.lit("src/i"), "item_id", F.lit(".py")), t)
+    view = text.review_view(F.when(code, "code").otherwise("paper"), F.when(code, diff).otherwise(t))
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    return b.select("item_id", F.sha1(view).alias("view_sha1"), F.sha1(text.extraction_prompt(t, F.lit("ok"))).alias("prompt_sha1"))

@@ -91,3 +91,32 @@ def test_rejudged_runs(spark):
     one = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 2, "x")], "run string, pos int, regime string")
     two = spark.createDataFrame([("a", 0, "y"), ("b", 0, None), ("c", 0, "z")], "run string, pos int, regime string")
     assert rows(claims.rejudged(one, two, ["run"]), "run") == [("a", "y", "y", True), ("b", "x", None, False)]
+
+
+def test_csv_surplus_fields(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1,2\n3\n4,"five, ""5""",6,"se\nven, ""7""",\n')
+    got = rows(readers.csv_records(spark, str(path), types={"a": "int"}, fill={"b": "none"}, rest="more"), "a")
+    assert got == [(1, "2", None), (3, "none", None), (4, 'five, "5"', ["6", 'se\nven, "7"', ""])]
+
+
+def test_archives(spark, tmp_path):
+    run = {"trajectory": {"run_id": "r", "artifact_id": "a", "config_id": "c", "rounds": []}}
+    files = spark.createDataFrame([("k", "t/a__c__0.json", bytearray(json.dumps(run).encode())), ("k", "t/metrics.json", bytearray(b"{}")), ("k", "t/note.txt", bytearray())], "key string, path string, content binary")
+    packed = writers.archives(files, "key").collect()
+    assert packed == writers.archives(files.repartition(3), "key").collect()
+    (tmp_path / "x.tar.gz").write_bytes(bytes(packed[0].content))
+    where = str(tmp_path / "*.tar.gz")
+    assert [r[1] for r in rows(readers.archived_files(spark, where), "path")] == ["t/a__c__0.json", "t/metrics.json", "t/note.txt"]
+    assert rows(readers.archived_trajectories(spark, where).select("run_id", "artifact_id", "file"), "run_id") == [("r", "a", "a__c__0.json")]
+
+
+def test_review_cards(spark, tmp_path):
+    schema = "id string, arm string, module string, weight int, claim string, unit string, start int, end int, source string"
+    items = spark.createDataFrame([("i1", "mem", "m", 2, "a < b", "f", 2, 2, "x\n'y' & \"z\"\n"), ("i2", "mem", "m", 1, None, None, None, None, None)], schema)
+    one, two = (r.card for r in writers.review_cards(items).orderBy("id").collect())
+    assert "a &lt; b" in one and "f:2-2 in 2 run(s)" in one
+    assert "<pre><span>   1  x</span>\n<span class=zone>   2  &#x27;y&#x27; &amp; &quot;z&quot;</span></pre>" in one
+    assert "(unlocalized)" in two and one.count("type=radio") == two.count("type=radio") == 3
+    out = writers.write_review_pages(items, f"file://{tmp_path}/pages", "T", each=1)
+    assert [r.path for r in out.orderBy("path").collect()] == ["mem/m-0.html", "mem/m-1.html"]

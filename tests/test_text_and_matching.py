@@ -270,3 +270,32 @@ def test_loop_ledger_compares_places_and_the_whole_similarity(spark):
         ("unused import", ("a.py", 1)), ("buffer read after release inside parser", ("c.py", 3)), ("unused import", ("b.py", 1)), ("unused import", ("a.py", 9)), ("socket left open", None),
     ]
     assert [f.id for f in got] == [f"r1-f{i}" for i in range(5)]
+
+
+def test_delays_that_servers_suggest(spark):
+    cases = [("3", None, 3.0), (" 1.5 ", "{}", 1.5), ("Wed, 21 Oct", '{"retryDelay": "38s"}', 38.0), (None, '{"retryDelay" :"0.5s"}', 0.5), (None, None, None), ("", "{}", None)]
+    df = spark.createDataFrame(cases, "h string, b string, want double")
+    for r in df.withColumn("got", text.suggested_delay(F.col("h"), F.col("b"))).collect():
+        assert r.got == r.want == judging.suggested_delay({"Retry-After": r.h} if r.h else {}, r.b)
+    with pytest.raises(judging.JudgeUnavailable) as e:
+        judging.check_response(429, {"Retry-After": "7"})
+    assert e.value.delay == 7.0 and judging.check_response(200) is None
+    with pytest.raises(RuntimeError, match="401"):
+        judging.check_response(401)
+
+
+def test_review_view_and_prompts(spark):
+    diff = "diff --git a/x b/old.py\n--- a/x\n+++ b/src/new.py\n@@ -1,1 +7,2 @@\n a\n-b\n+c"
+    view = one(spark, text.review_view(F.lit("code"), F.lit(diff)))[0]
+    assert view == "File under review: old.py\n(line numbers are shown at the left; cite them in your findings)\n\n   7 | a\n   8 | c"
+    assert one(spark, text.review_view(F.lit("paper"), F.lit("p")))[0] == "p"
+    assert one(spark, text.diff_file_name(F.lit("no diff")))[0] == "file"
+    assert one(spark, text.prompt_location_text(*[F.lit(None).cast(t) for t in ("string", "int", "int")]))[0] == "unlocalized"
+    assert one(spark, text.sheet_location_text(F.lit("u"), F.lit(3), F.lit(3)))[0] == "u:3-3"
+
+
+def test_self_agreement_and_counts(spark):
+    v = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("b", False), ("c", None)], "pair_key string, same boolean")
+    assert tuple(judging.self_agreement(v).first()) == (2, 1, 0.5)
+    j = spark.createDataFrame([(2, 3), (0, 1), (0, 0)], "yes int, cast int")
+    assert tuple(judging.judge_counts(j, 3).first()) == (3, 9, 5, 2)

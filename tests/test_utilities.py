@@ -255,3 +255,53 @@ def test_rolling_percentiles(spark):
         near = [v for k, t, v in rows if k == r.k and r.t - 5 < t <= r.t]
         assert (r.median, r.p90) == pytest.approx((np.median(near), np.percentile(near, 90)))
     assert len(got) == len(rows)
+
+
+def test_cron_upcoming_and_describe(spark):
+    e = spark.createDataFrame([(datetime(2024, 2, 28, 23, 59),), (datetime(2024, 3, 1, 0, 0),)], "ts timestamp_ntz")
+    leap = schedule.Cron.parse("0 12 29 2 *")
+    got = rows(e.select(leap.upcoming(F.col("ts"), 2).alias("u")), "u")
+    assert [r[0] for r in got] == [[datetime(2024, 2, 29, 12), datetime(2028, 2, 29, 12)], [datetime(2028, 2, 29, 12), datetime(2032, 2, 29, 12)]]
+    hourly = schedule.Cron.parse("0,30 * * * *")
+    assert hourly.describe()["minutes"] == (0, 30) and hourly.describe()["days_of_week"] == (0, 1, 2, 3, 4, 5, 6)
+    first = e.orderBy("ts").limit(1).select(hourly.upcoming(F.col("ts"), 3).alias("u"), hourly.next_after(F.col("ts")).alias("n")).first()
+    assert first.u == [datetime(2024, 2, 29, 0), datetime(2024, 2, 29, 0, 30), datetime(2024, 2, 29, 1)] and first.n == first.u[0]
+
+
+def test_cron_steps_of_a_star_do_not_restrict_days():
+    assert not schedule.Cron.parse("0 0 */2 * 1").either_day and not schedule.Cron.parse("0 0 *,* * 1").either_day
+    assert schedule.Cron.parse("0 0 1-31 * 1").either_day
+
+
+def test_graph_tables(spark):
+    e = spark.createDataFrame([("g", "app", "db"), ("g", "db", "config"), ("g", "app", "app"), ("g", "aux", None), ("h", "a", "b")], "graph string, node string, dep string")
+    got = rows(graphs.topological_orders(e, "graph"), "graph", "position")
+    assert got == [("g", "aux", 0), ("g", "config", 1), ("g", "db", 2), ("g", "app", 3), ("h", "b", 0), ("h", "a", 1)]
+    assert graphs.cycles(e, "graph").collect() == []
+    looped = e.unionByName(spark.createDataFrame([("h", "b", "c"), ("h", "c", "a")], "graph string, node string, dep string"))
+    assert rows(graphs.cycles(looped, "graph"), "graph") == [("h", ["a", "b", "c", "a"])]
+    with pytest.raises(Exception, match="cycle"):
+        graphs.topological_orders(looped, "graph").collect()
+
+
+def test_buckets_with_limits_of_their_own(spark):
+    e = spark.createDataFrame([(k, t) for k in ("a", "b") for t in (0.0, 0.0, 0.0)], "k string, ts double")
+    limits = spark.createDataFrame([("b", 1.0, None, None)], "key string, capacity double, refill double, burst double")
+    decided = limiters.rate_limit(e, "k", "ts", 2.0, 1.0, limits=limits)
+    assert [r.allowed for r in decided.orderBy("key", F.desc("remaining"), F.desc("allowed")).collect()].count(True) == 3
+    assert rows(limiters.bucket_levels(decided, 1.0, 2.0, 1.0, limits=limits), "key") == [("a", 1.0, False), ("b", 1.0, True)]
+    b = limiters.Bucket(2.0, 1.0, 4.0)
+    assert b.remaining(5.0) == 2.0 and b.allow(5.0, 2.0)[0] and not b.full(6.0) and b.full(7.0)
+    for wrong in ((0.0, 1.0), (1.0, -1.0), (2.0, 1.0, 1.0)):
+        with pytest.raises(ValueError):
+            limiters.Bucket(*wrong)
+    with pytest.raises(ValueError):
+        b.allow(8.0, -1.0)
+
+
+def test_positions_are_gapless_in_order(spark):
+    from settlepoint.operators.resampling import numbered
+
+    df = spark.range(1000).selectExpr("(id * 37) % 1000 AS k").repartition(7)
+    assert rows(numbered(df, "k", "i"), "k") == [(k, k) for k in range(1000)]
+    assert numbered(df.limit(0), "k", "i").count() == 0
