@@ -223,6 +223,16 @@ def review_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.groupBy("role").agg(F.count("*").alias("n"), F.avg("n").alias("mean_chars"), F.percentile("n", F.lit(0.5)).alias("median_chars"), F.max("n").alias("max_chars"), F.avg(F.when(F.col("n") >= 0.95 * F.col("top"), 1.0).otherwise(0.0)).alias("share_near_max")))
 
 
+@query()
+def review_length_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed-rank p of the mean lengths of a conversation's two roles, for even and odd conversations."""
+    n = F.char_length("text")
+    mean = lambda role: F.avg(F.when(F.col("role") == role, n))
+    per = turns(spark, sf_dir).groupBy("conv_id").agg((mean("user") - mean("assistant")).alias("diff"))
+    half = F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")
+    return rounded(stats.wilcoxon(per.withColumn("half", half), ["half"], "diff"))
+
+
 # agreement of two raters over labels -----------------------------------------------------------------
 
 _RATED_SQL = "r AS (SELECT l.doc_id, d.lang, d.source, l.quality = 1 AS a, l.toxic = 0 AS b, d.n_chars > 1000 AS c FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"

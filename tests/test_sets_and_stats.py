@@ -155,3 +155,17 @@ def test_p_labels(spark):
     df = spark.createDataFrame([(0.0005,), (0.005,), (0.04,), (0.5,), (None,)], "p double")
     got = df.select(stats.significance(F.col("p")).alias("s"), stats.format_p(F.col("p")).alias("f")).collect()
     assert [tuple(r) for r in got] == [("***", "<0.001"), ("**", "0.0050"), ("*", "0.0400"), ("ns", "0.5000"), ("ns", None)]
+
+
+def test_wilcoxon_counts_equal_the_plain_form(spark):
+    import random
+
+    draw = random.Random(9)
+    cases = {
+        "ties": [draw.choice([-2.0, -1.0, 0.0, 1.0, 1.0, 3.0]) for _ in range(200)], "small": [draw.gauss(0.3, 1) for _ in range(20)],
+        "large": [draw.gauss(0.1, 1) for _ in range(80)], "zeros": [0.0] * 60, "one": [0.0] * 60 + [1.5],
+    }
+    data = [(k, d) for k, v in cases.items() for d in v] + [("ties", None), ("ties", float("nan"))]
+    got = {r.k: r for r in stats.wilcoxon(spark.createDataFrame(data, "k string, d double"), ["k"], "d").collect()}
+    for k, v in cases.items():
+        assert got[k].n == len(v) and got[k].p == pytest.approx(stats.signed_rank_p(v), abs=1e-12)
