@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import permutations
 
 from . import chat, mixing
 
@@ -125,7 +126,132 @@ FROM rows_ GROUP BY conv_id
 """
 
 
+def _replay() -> str:
+    bits = " + ".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate("ABCDE"))
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    bit = "CAST(power(2, instr('ABCDE', substr(filter_order, {}, 1)) - 1) AS INTEGER)"
+    first = " ".join(f"WHEN mask & {bit.format(s)} <> 0 THEN {s}" for s in range(1, 6))
+    return rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, len(words) < 200 AS A, 100 * len(list_distinct(words)) < 50 * len(words) AS B,
+         100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * len(body) AS C, regexp_matches(body, '[#$%&*|]') AS D,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS E
+  FROM t
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, {bits} AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)
+), o AS (
+  SELECT part, mask, good, toxic, filter_order, CASE {first} ELSE 6 END AS gone FROM m CROSS JOIN (VALUES {orders}) o(filter_order)
+), s AS (
+  SELECT *, {bit.format("step")} AS bit FROM o CROSS JOIN (VALUES (1), (2), (3), (4), (5)) s(step)
+), c AS (
+  SELECT part, filter_order, step,
+         count(*) FILTER (WHERE gone > step) AS kept,
+         count(*) FILTER (WHERE gone = step) AS removed,
+         count(*) FILTER (WHERE mask & bit <> 0 AND gone < step) AS redundant,
+         count(*) FILTER (WHERE mask = bit) AS unique_fails,
+         count(*) FILTER (WHERE gone = step AND good) AS good_lost,
+         count(*) FILTER (WHERE gone = step AND toxic) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM c
+"""
+
+
+def _url_rules(min_support: str = "0.01", min_confidence: str = "0.9", vocabulary: int = 64, max_items: int = 10) -> str:
+    from .queries import POLICIES
+
+    host = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
+    lowered = f"translate({host}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    query = r"coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '')"
+    when = " ".join(
+        f"WHEN (host = '{p.host}' OR ends_with(host, '.{p.host}')) AND starts_with(path, '{p.path}') THEN {{'rule': '{p.name}', 'verdict': '{p.verdict}'}}"
+        for p in sorted(POLICIES, key=lambda p: -len(p.name))
+    )
+
+    def parts(text: str, sep: str, kind: str, word: str = "w") -> str:
+        digits = f"list_transform(string_split({text}, '{sep}'), lambda w: regexp_replace({word}, '[0-9]+', '0', 'g'))"
+        return f"list_transform(list_filter({digits}, lambda w: w <> ''), lambda w: '{kind}' || w)"
+
+    tokens = f"list_distinct(list_concat({parts('host', '.', 'h:')}, {parts('path', '/', 'p:')}, {parts('query', '&', 'q:', 'string_split(w, chr(61))[1]')}))"
+    return f"""
+WITH p AS (SELECT page_id, url, {lowered} AS host, {path} AS path, {query} AS query FROM pages),
+u AS (SELECT *, CASE {when} END AS policy, {tokens} AS tokens FROM p),
+lab AS (SELECT DISTINCT url, tokens, policy.verdict AS label FROM u WHERE policy IS NOT NULL AND url IS NOT NULL),
+n AS (SELECT count(*) AS total FROM lab),
+nl AS (SELECT label, count(*) AS n_label FROM lab GROUP BY label),
+tl AS (SELECT token, label, count(*) AS n FROM (SELECT unnest(tokens) AS token, label FROM lab) GROUP BY ALL),
+tt AS (SELECT token, sum(n) AS n_token FROM tl GROUP BY token),
+gaps AS (
+  SELECT tt.token, n_token, max(CAST(abs(CAST(coalesce(tl.n, 0) AS HUGEINT) * total - CAST(n_token AS HUGEINT) * n_label) AS DOUBLE)) AS gap
+  FROM tt CROSS JOIN n CROSS JOIN nl LEFT JOIN tl ON tl.token = tt.token AND tl.label = nl.label GROUP BY ALL
+), voc AS (
+  SELECT list(token ORDER BY gap DESC, token) AS v
+  FROM (SELECT token, gap FROM gaps CROSS JOIN n WHERE n_token >= ceil({min_support}::DOUBLE * total) AND gap > 0 ORDER BY gap DESC, token LIMIT {vocabulary})
+), it AS (
+  SELECT url, label, list_slice(list_filter(v, lambda t: list_contains(tokens, t)), 1, {max_items}) AS items FROM lab CROSS JOIN voc
+), sets AS (
+  SELECT label, list_sort(list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS tokens
+  FROM (SELECT label, items, unnest(range(1, CAST(power(2, len(items)) AS BIGINT))) AS m FROM it)
+), sl AS (SELECT tokens, label, count(*) AS n FROM sets GROUP BY ALL),
+rules AS (
+  SELECT tokens, label, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY tokens) AS confidence, CAST(n AS DOUBLE) / total AS support, n >= ceil({min_support}::DOUBLE * total) AS frequent
+  FROM sl CROSS JOIN n
+), mined AS (SELECT * FROM rules WHERE frequent AND confidence >= {min_confidence}::DOUBLE),
+want AS (SELECT DISTINCT list_slice(list_filter(v, lambda t: list_contains(tokens, t)), 1, {max_items}) AS items FROM u CROSS JOIN voc),
+best AS (
+  SELECT items, tokens, label, confidence,
+         row_number() OVER (PARTITION BY items ORDER BY confidence DESC, support DESC, len(tokens), tokens, label) AS r
+  FROM want JOIN mined ON list_has_all(items, tokens)
+)
+SELECT page_id, host, path, policy.rule AS rule, coalesce(policy.verdict, label, 'allow') AS verdict,
+       CASE WHEN policy IS NULL THEN array_to_string(b.tokens, ' ') END AS mined_rule, CASE WHEN policy IS NULL THEN confidence END AS mined_confidence
+FROM u CROSS JOIN voc LEFT JOIN best b ON b.r = 1 AND b.items = list_slice(list_filter(v, lambda t: list_contains(u.tokens, t)), 1, {max_items})
+"""
+
+
+def _lloyd(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    steps = [f"""
+WITH valid AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {dims}
+), v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: floor(1024 * x)) AS c FROM valid
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), c) - 1 AS INTEGER) AS j, c FROM v WHERE vec_id IS NOT NULL
+  ORDER BY j LIMIT {k}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT r, j, list_dot_product(v.c, v.c) - 2 * list_dot_product(v.c, c{i}.c) + list_dot_product(c{i}.c, c{i}.c) AS d FROM v CROSS JOIN c{i}
+  ) GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT j, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT j, list(floor(s / n) ORDER BY p) AS c FROM (
+      SELECT j, p, sum(x) AS s, count(*) AS n FROM (SELECT a{i}.j, unnest(v.c) AS x, unnest(range({dims})) AS p FROM v JOIN a{i} USING (r)) GROUP BY j, p
+    ) GROUP BY j
+  ) n USING (j)
+)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, j AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c{rounds}.c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} USING (j)
+"""
+
+
 ORACLES = {
+    "op11_relational_filter_replay": _replay(),
+    "op12_association_rule_urls": _url_rules(),
+    "op13_delta_lloyd": _lloyd(),
     "op3_warc_capture_index": _warc(),
     "op8_vantage_point_neighbours": OP8_VANTAGE_POINT_NEIGHBOURS,
     "op10_chat_grammar_round_trip": _chat(),

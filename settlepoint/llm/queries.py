@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, vptree, warc
+from . import chat, delta_lloyd, exact_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, packing, quality, url_rules, vptree, warc
 from .common import table
 
 
@@ -79,3 +79,30 @@ def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_join(table(spark, sf_dir, "documents"), k=2, chars_per_edit=10)
+
+
+def op11_relational_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
+
+
+#: The given rules: (verdict, host, path).
+POLICIES = [
+    url_rules.Policy("allow", "com", "/"),
+    url_rules.Policy("block", "example.com", "/en/"),
+    url_rules.Policy("allow", "www.example.com", "/en/"),
+    url_rules.Policy("block", "net", "/es/"),
+    url_rules.Policy("block", "net", "/fr/"),
+]
+
+
+def op12_association_rule_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_rules.judge(pages, POLICIES, default="allow", min_support=0.01, min_confidence=0.9)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return delta_lloyd.cluster(vectors, k=8, rounds=10, dims=64, scale=1024, seed=3)
