@@ -15,7 +15,8 @@ of its smallest ids as a result can hold.
 Scores are sums in the order of the components, so that any engine that adds in that order gets the same.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components take no part,
-neither as queries nor as candidates; there is no angle between vectors of different lengths, so a query's
+neither as queries nor as candidates; vectors whose squares would under- or overflow take part like any
+others, scaled by a power of two for their cosines; there is no angle between vectors of different lengths, so a query's
 candidates are the vectors of its own length; null ids take no part; ties go to the smaller id; repeated
 ids are candidates of their own except for a query of the same id; fewer candidates than k give fewer rows;
 extra columns are ignored.
@@ -112,6 +113,16 @@ def _usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
+def in_range(rows: np.ndarray) -> np.ndarray:
+    """Rows whose squares would under- or overflow, scaled by a power of two (exactly, and so is their cosine)."""
+    most = np.abs(rows).max(axis=1, initial=0.0)
+    odd = (most < 2.0**-300) | (most > 2.0**300)
+    if odd.any():
+        rows = rows.copy()
+        rows[odd] = np.ldexp(rows[odd], -np.frexp(most[odd])[1][:, None])
+    return rows
+
+
 def _sums(rows: np.ndarray) -> np.ndarray:
     """Sums of rows, added in the order of the components (numpy's own sums are pairwise)."""
     return np.add.accumulate(rows, axis=1)[:, -1]
@@ -191,7 +202,7 @@ def nearest(
             for kind, dim, part, ids, vecs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (dim, part) != now:
                     now, held, shard = (dim, part), [], None
-                piece = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)
+                piece = np.frombuffer(ids, np.int64), in_range(np.frombuffer(vecs, np.float64).reshape(-1, dim))
                 if not kind:
                     held.append(piece)
                     continue

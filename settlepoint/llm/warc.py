@@ -3,12 +3,13 @@
 Writing: rows are range-partitioned and sorted by their key, the URL with its host reversed, and then by
 page id. Each task streams its rows into one archive (a gzip member per record) and one index file:
 sorted index lines in compressed blocks of a fixed number of lines, then a sparse directory with the
-first key and the place of each block. Of records with equal payloads the one with the largest page id
+first key and page id and the place of each block. Of records with equal payloads the one with the largest page id
 is the response and the others are revisits that name it.
 
-Reading: a lookup finds the index file by binary search over the files' first keys (one entry a file),
-the block by binary search over that file's directory, the line by binary search in the block, and then
-reads the record's byte range from the archive.
+Reading: a lookup finds the index file by binary search over the files' first keys and page ids (one entry
+a file), the block by binary search over that file's directory, the line by binary search in the block, and
+then reads the record's byte range from the archive. As page ids are part of the order everywhere, a capture
+of a URL with any number of captures takes as few block reads as that of a URL with one.
 
 Files go to the shared folder through pyarrow's file systems. A task attempt writes files of its own
 name and only the rows of a successful attempt name them, so lost executors, retries and speculation
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import delete_path, fresh_path, small_batches, written
 
 BLOCK_LINES = 2048
-INDEX_SCHEMA = "first_key string, lines bigint, archive string, index string, directory_at bigint, directory_length bigint"
+INDEX_SCHEMA = "first_key string, first_page bigint, lines bigint, archive string, index string, directory_at bigint, directory_length bigint"
 CAPTURE_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
 
 
@@ -135,14 +136,14 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: st
         store.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
         archive = index = None
-        directory: list[tuple[str, int, int]] = []
+        directory: list[tuple[str, int | None, int, int]] = []
         block: list[str] = []
         n = 0
 
         def end_block() -> None:
             data = zlib.compress("\n".join(block).encode("utf-8", "surrogatepass"))
-            first = block[0].partition("\t")[0]
-            directory.append((json.loads(first), index.tell(), len(data)))
+            first, _, entry = block[0].partition("\t")
+            directory.append((json.loads(first), json.loads(entry)[0], index.tell(), len(data)))
             index.write(data)
             block.clear()
 
@@ -150,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: st
             if b.num_rows and archive is None:
                 archive = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None)
                 index = store.open_output_stream(f"{base}/{name}.idx", compression=None)
-                first_key = b.column(0)[0].as_py()
+                first_key, first_page = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             for r in range(b.num_rows):
                 key, page_id, url, payload, keep = (c[r].as_py() for c in b.columns)
                 # The response is the page that keeps its payload; payloads that occur once have no keeper.
@@ -172,21 +173,26 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: st
             archive.close()
             index.close()
             yield pa.RecordBatch.from_pylist(
-                [{"first_key": first_key, "lines": n, "archive": f"{name}.warc.gz", "index": f"{name}.idx", "directory_at": at, "directory_length": len(data)}]
+                [{"first_key": first_key, "first_page": first_page, "lines": n, "archive": f"{name}.warc.gz", "index": f"{name}.idx", "directory_at": at, "directory_length": len(data)}]
             )
 
     return written(dealt.mapInArrow(run, INDEX_SCHEMA), "archives")
 
 
+def place(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """What captures are ordered by; a null page id comes first."""
+    return key, page_id is not None, page_id or 0
+
+
 class CaptureIndex:
     """Binary searches over index files; keeps the last directory and block of one file."""
 
-    def __init__(self, folder: str, files: list[tuple[str, str, str, int, int]]):
+    def __init__(self, folder: str, files: list[tuple[str, int | None, str, str, int, int]]):
         from pyarrow import fs
 
         self.store, self.base = fs.FileSystem.from_uri(_arrow_uri(folder))
-        self.files = files  # first_key, archive, index, directory_at, directory_length; ascending
-        self.firsts = [f[0] for f in files]
+        self.files = files  # first_key, first_page, archive, index, directory_at, directory_length; ascending
+        self.firsts = [place(*f[:2]) for f in files]
         self.open_at: tuple | None = None
         self.block_at: tuple | None = None
 
@@ -196,48 +202,42 @@ class CaptureIndex:
 
     def _file(self, k: int) -> list:
         if self.open_at is None or self.open_at[0] != k:
-            _, _, name, at, length = self.files[k]
+            _, _, _, name, at, length = self.files[k]
             self.open_at = (k, json.loads(zlib.decompress(self._range(name, at, length))))
         return self.open_at[1]
 
     def _block(self, k: int, j: int) -> tuple[list[str], list[list]]:
         if self.block_at is None or self.block_at[0] != (k, j):
-            _, at, length = self._file(k)[j]
-            lines = [x.split("\t") for x in zlib.decompress(self._range(self.files[k][2], at, length)).decode("utf-8", "surrogatepass").split("\n")]
+            _, _, at, length = self._file(k)[j]
+            lines = [x.split("\t") for x in zlib.decompress(self._range(self.files[k][3], at, length)).decode("utf-8", "surrogatepass").split("\n")]
             self.block_at = ((k, j), [json.loads(a) for a, _ in lines], [json.loads(b) for _, b in lines])
         return self.block_at[1], self.block_at[2]
 
-    def lookup(self, key: str) -> Iterator[tuple[int, list]]:
-        """All captures of a key as (file number, [page_id, offset, length, digest, type])."""
-        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while k < len(self.files) and self.firsts[k] <= key:
+    def _from(self, start: tuple) -> Iterator[tuple[int, list[str], list[list], int]]:
+        """The blocks that hold places from start on: file number, keys, entries and where to begin; the caller stops."""
+        for k in range(max(0, bisect.bisect_left(self.firsts, start) - 1), len(self.files)):
             directory = self._file(k)
-            j = max(0, bisect.bisect_left(directory, key, key=lambda e: e[0]) - 1)
-            while j < len(directory) and directory[j][0] <= key:
+            for j in range(max(0, bisect.bisect_left(directory, start, key=lambda e: place(*e[:2])) - 1), len(directory)):
                 keys, entries = self._block(k, j)
-                for at in range(bisect.bisect_left(keys, key), len(keys)):
-                    if keys[at] != key:
-                        break
-                    yield k, entries[at]
-                j += 1
-            k += 1
+                at = lambda i, keys=keys, entries=entries: place(keys[i], entries[i][0])
+                yield k, keys, entries, bisect.bisect_left(range(len(keys)), start, key=at)
+
+    def lookup(self, key: str) -> Iterator[tuple[int, list]]:
+        """All captures of a key as (file number, [page_id, offset, length, digest, type])."""
+        for k, keys, entries, begin in self._from((key, False, 0)):
+            for i in range(begin, len(keys)):
+                if keys[i] != key:
+                    return
+                yield k, entries[i]
 
     def seek(self, key: str, page_id: int | None) -> Iterator[tuple[int, list]]:
         """The captures of a key with this page id (keys and then ids ascend over blocks and files)."""
-        probe = (key, page_id is not None, page_id or 0)
-        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while k < len(self.files) and self.firsts[k] <= key:
-            directory = self._file(k)
-            j = max(0, bisect.bisect_left(directory, key, key=lambda e: e[0]) - 1)
-            while j < len(directory) and directory[j][0] <= key:
-                keys, entries = self._block(k, j)
-                order = lambda at, keys=keys, entries=entries: (keys[at], entries[at][0] is not None, entries[at][0] or 0)
-                for at in range(bisect.bisect_left(range(len(keys)), probe, key=order), len(keys)):
-                    if order(at) != probe:
-                        return
-                    yield k, entries[at]
-                j += 1
-            k += 1
+        probe = place(key, page_id)
+        for k, keys, entries, begin in self._from(probe):
+            for i in range(begin, len(keys)):
+                if place(keys[i], entries[i][0]) != probe:
+                    return
+                yield k, entries[i]
 
 
 def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> Data
     bounds. Requests are sorted by range, so a task walks through neighbouring blocks and records.
     """
     spark = requests.sparkSession
-    rows = archives.orderBy("first_key", "archive").select("first_key", "archive", "index", "directory_at", "directory_length").collect()
+    rows = archives.orderBy("first_key", "first_page", "archive").select("first_key", "first_page", "archive", "index", "directory_at", "directory_length").collect()
     files = [tuple(r) for r in rows]
     if not files:
         return spark.createDataFrame([], CAPTURE_SCHEMA)
@@ -268,7 +268,7 @@ def read_captures(requests: DataFrame, folder: str, archives: DataFrame) -> Data
                 before, page_id = request, request[1]
                 for k, (_, at, length, digest, _) in index.seek(*request):
                     if archive is None or archive[0] != k:
-                        archive = (k, index.store.open_input_file(f"{index.base}/{files[k][1]}"))
+                        archive = (k, index.store.open_input_file(f"{index.base}/{files[k][2]}"))
                     fields, body = parse_record(zlib.decompress(archive[1].read_at(length, at), 31))
                     kind = fields["warc-type"]
                     if kind == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:

@@ -208,7 +208,7 @@ def test_warc_round_trip(spark, monkeypatch):
             assert (r.record_type, r.refers_to) == ("revisit", keep[html or ""])
     missing = spark.createDataFrame([("com,nowhere)/", 1), ("", 5)], "key string, page_id bigint")
     assert warc.read_captures(missing, folder, archives).count() == 0
-    index = warc.CaptureIndex(folder, [tuple(r) for r in archives.orderBy("first_key").select("first_key", "archive", "index", "directory_at", "directory_length").collect()])
+    index = warc.CaptureIndex(folder, [tuple(r) for r in archives.orderBy("first_key", "first_page").select("first_key", "first_page", "archive", "index", "directory_at", "directory_length").collect()])
     assert sorted(e[0] for _, e in index.lookup("com,example,www0)/a/0?q=0")) == [0]
     assert [e for _, e in index.lookup("zzz")] == []
     assert warc.read_captures(requests, warc.new_folder(spark), warc.write_archives(pages.limit(0), warc.new_folder(spark))).count() == 0
@@ -737,3 +737,56 @@ def test_crc_digest_of_ids(spark):
     ids = np.array([5, 70_000], "<u4").tobytes()
     df = spark.createDataFrame([(bytearray(ids),)], "ids binary")
     assert df.select(F.crc32("ids")).first()[0] == zlib.crc32(ids)
+
+
+def test_captures_of_one_url_take_few_block_reads(spark, monkeypatch):
+    """Many captures of one URL, and of null URLs, over many blocks and files; the repeated ids span two blocks."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 16)
+    n = 4_000
+    pages = spark.range(2 * n).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, "http://h/a").alias("url"), F.lit("x").alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(10, "http://h/a", str(i)) for i in range(40)] + [(None, None, "none"), (-3, None, "less")], "page_id bigint, url string, html string"))
+    folder = warc.new_folder(spark)
+    payloads = warc.pages_as_payloads(pages)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        archives = warc.write_archives(payloads, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = archives.orderBy("first_key", "first_page", "archive").select("first_key", "first_page", "archive", "index", "directory_at", "directory_length").collect()
+    assert len(files) > 1
+    reads = []
+    for key, ids in (("h)/a", [0, 2, n, 2 * n - 2]), ("", [1, n + 1, 2 * n - 1, None, -3]), ("h)/a", [10]), ("", [0]), ("h)/a", [-1, 3])):
+        for page_id in ids:
+            index = warc.CaptureIndex(folder, [tuple(r) for r in files])
+            plain = index._range
+            index._range = lambda *a, p=plain: reads.append(a) or p(*a)
+            reads.clear()
+            got = [e[0] for _, e in index.seek(key, page_id)]
+            assert got == [page_id] * (41 if page_id == 10 else 0 if (key, page_id) in (("", 0), ("h)/a", -1), ("h)/a", 3)) else 1)
+            assert len(reads) <= (8 if page_id == 10 else 5)  # directories and blocks
+    index = warc.CaptureIndex(folder, [tuple(r) for r in files])
+    assert [e[0] for _, e in index.lookup("")] == [None, -3, *range(1, 2 * n, 2)]
+    requests = payloads.select("page_id", warc.reversed_host_key(F.col("url")).alias("key"))
+    assert warc.read_captures(requests, folder, archives).count() == pages.count()
+
+
+def test_neighbours_of_vectors_whose_squares_leave_the_range(spark):
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(40, 3))
+    scale = np.array([0, 0, -660, 660, -1060, 1020] * 7)[:40]
+    rows = [(i, [float(x) for x in np.ldexp(v, s)]) for i, (v, s) in enumerate(zip(plain, scale))]
+    rows += [(50, [1e-200, 0.0, 0.0]), (51, [1e200, 1e200, 0.0]), (52, [5e-324, 0.0, 0.0]), (53, [1.7e308, -1.7e308, 1.7e308]), (54, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in vptree.nearest(df, lambda i: i >= 0, shard_bytes=20 * 24).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+
+    def unit(v):
+        v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+        return v / np.sqrt((v * v).sum())
+
+    units = {i: unit(np.array(v)) for i, v in rows if any(v)}
+    assert set(got) == set(units)
+    for q, near in got.items():
+        want = sorted(((-float(units[q] @ u), i) for i, u in units.items() if i != q))[:5]
+        assert np.allclose([s for _, s in near], [-s for s, _ in want])
