@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import struct
 from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,120 +111,6 @@ def min_significant_gap(pairs: Column, alpha: float = 0.05) -> Column:
     return F.array_min(found)
 
 
-def _walsh_ranks(values: np.ndarray, counts: np.ndarray, ranks: list[int]) -> list[float]:
-    """Walsh averages (of pairs i <= j of the values, each repeated counts times) at 1-based ranks.
-
-    values ascend. The number of averages up to a bound takes one search per value, and the bound is found by
-    bisection over doubles in their order, so no pair is ever listed.
-    """
-    before = np.concatenate([[0], np.cumsum(counts)])
-    own = counts * (counts + 1) // 2
-    at = np.arange(len(values))
-
-    def up_to(bound: float) -> int:
-        last = np.maximum(np.searchsorted(values, 2 * bound - values, side="right"), at + 1)
-        return int((counts * (before[last] - before[at + 1])).sum() + own[values <= bound].sum())
-
-    def ordinal(x: float) -> int:
-        (bits,) = struct.unpack("<q", struct.pack("<d", x))
-        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
-
-    def double(n: int) -> float:
-        return struct.unpack("<d", struct.pack("<Q", n if n >= 0 else (1 << 63) | -n))[0]
-
-    out = []
-    for rank in ranks:
-        low, high = ordinal(float(values[0])), ordinal(float(values[-1]))
-        while low < high:
-            middle = (low + high) // 2
-            if up_to(double(middle)) >= rank:
-                high = middle
-            else:
-                low = middle + 1
-        out.append(double(low))
-    return out
-
-
-def hodges_lehmann(paired: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """keys (strings), the median Walsh average of the non-zero differences and its order-statistic 95 % interval.
-
-    Equal differences are counted before the shuffle; a key's distinct ones (16 bytes each) meet in one task. Nulls
-    and NaN take no part; a key without non-zero differences has no row.
-    """
-    d = F.col(diff).cast("double")
-    counted = paired.where((F.abs(d) > 0) & ~F.isnan(d)).groupBy(*keys, d.alias("_d")).agg(F.count("*").alias("_n"))
-    schema = ", ".join(f"{k} string" for k in keys) + ", estimate double, ci_low double, ci_high double"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_d")
-        values, counts = rows["_d"].to_numpy(np.float64), rows["_n"].to_numpy(np.int64)
-        n = int(counts.sum())
-        m = n * (n + 1) // 2
-        k = max(1, min(round(m / 2 - 1.959964 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5), m // 2))
-        a, b, low, high = _walsh_ranks(values, counts, [(m + 1) // 2, m // 2 + 1, k, m + 1 - k])
-        return pd.DataFrame([[*key, (a + b) / 2, low, high]], columns=[*keys, "estimate", "ci_low", "ci_high"])
-
-    return counted.groupBy(*keys).applyInPandas(run, schema)
-
-
-def signed_rank_p(diffs: list[float]) -> float:
-    """Two-sided Wilcoxon signed-rank p: zeros dropped, average ranks; exact without ties up to 50 values,
-    else the normal approximation with a tie correction."""
-    d = [x for x in diffs if x != 0]
-    n = len(d)
-    if n == 0:
-        return 1.0
-    ranks = pd.Series([abs(x) for x in d]).rank()
-    plus = float(ranks[[x > 0 for x in d]].sum())
-    ties = ranks.value_counts()
-    low = min(plus, n * (n + 1) / 2 - plus)
-    if (ties > 1).any() or n > 50 or len(d) < len(diffs):
-        from statistics import NormalDist
-
-        variance = n * (n + 1) * (2 * n + 1) / 24 - float((ties**3 - ties).sum()) / 48
-        return min(1.0, 2 * NormalDist().cdf((low - n * (n + 1) / 4) / variance**0.5)) if variance > 0 else 1.0
-    ways = [1] + [0] * (n * (n + 1) // 2)  # subsets of 1..n by sum
-    for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    return min(1.0, 2 * sum(ways[: int(low) + 1]) / 2**n)
-
-
-def _signed_rank_counts(values: np.ndarray, counts: np.ndarray) -> float:
-    """signed_rank_p of values repeated counts times, with the repeats never listed beyond 50."""
-    if counts.sum() <= 50:
-        return signed_rank_p(np.repeat(values, counts).tolist())
-    values, counts = values[values != 0], counts[values != 0]
-    if not len(values):
-        return 1.0
-    sizes, at = np.unique(np.abs(values), return_inverse=True)
-    ties = np.bincount(at, counts, len(sizes))
-    rank = np.cumsum(ties) - (ties - 1) / 2
-    n = float(ties.sum())
-    plus = float((rank[at] * counts)[values > 0].sum())
-    low = min(plus, n * (n + 1) / 2 - plus)
-    variance = n * (n + 1) * (2 * n + 1) / 24 - float((ties**3 - ties).sum()) / 48
-    from statistics import NormalDist
-
-    return min(1.0, 2 * NormalDist().cdf((low - n * (n + 1) / 4) / variance**0.5)) if variance > 0 else 1.0
-
-
-def wilcoxon(paired: DataFrame, keys: list[str], diff: str) -> DataFrame:
-    """keys (strings), n and the signed-rank p of the differences of each key; nulls and NaN take no part.
-
-    Equal differences are counted before the shuffle; a key's distinct ones (16 bytes each) meet in one task.
-    """
-    d = F.col(diff).cast("double")
-    counted = paired.where(d.isNotNull() & ~F.isnan(d)).groupBy(*keys, d.alias("_d")).agg(F.count("*").alias("_n"))
-    schema = ", ".join(f"{k} string" for k in keys) + ", n bigint, p double"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = rows["_n"].to_numpy(np.int64)
-        return pd.DataFrame([[*key, int(counts.sum()), _signed_rank_counts(rows["_d"].to_numpy(np.float64), counts)]], columns=[*keys, "n", "p"])
-
-    return counted.groupBy(*keys).applyInPandas(run, schema)
-
-
 def exact_tail(k: int, n: int) -> float:
     """Plain form of binomial_two_sided, for callers outside a plan."""
     return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)

@@ -57,15 +57,16 @@ def _ratio(a: list[str], b: list[str]) -> float:
 def _series_ratio(split: bool, a: Column, b: Column) -> Column:
     """The UDF is made where it is used: making it needs a running session."""
 
+    @F.pandas_udf(T.DoubleType())
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        pairs = zip(x.fillna(""), y.fillna(""), strict=True)
-        return pd.Series([_ratio(i.split(), j.split()) if split else _ratio(i, j) for i, j in pairs], dtype="float64")
+        pairs = zip(x, y, strict=True)
+        return pd.Series([None if i is None or j is None else _ratio(i.split(), j.split()) if split else _ratio(i, j) for i, j in pairs], dtype="float64")
 
-    return F.pandas_udf(ratio, T.DoubleType(), F.PandasUDFType.SCALAR)(a, b)
+    return ratio(a, b)
 
 
 def word_ratio(a: Column, b: Column) -> Column:
-    """Order-sensitive matching-block ratio of two normalised texts, word by word (argument order counts)."""
+    """Order-sensitive matching-block ratio of two normalised texts, word by word (argument order counts); null of null."""
     return _series_ratio(True, a, b)
 
 

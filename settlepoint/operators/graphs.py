@@ -9,35 +9,60 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 
-def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 10_000, checkpoint_every: int = 8) -> DataFrame:
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """node, level: the length of the longest chain of dependencies below each node; raises on a cycle.
 
-    Each step moves the distinct frontier along the edges, so work is bounded by nodes x depth; only the
-    frontier's emptiness reaches the driver. Lineage is cut by checkpoint() where a directory is set.
+    Each step moves the distinct frontier along the edges and writes it as one partition of a table, so a step's plan
+    reads one table whatever the depth, a lost executor repeats one step, and work is bounded by nodes x depth.
     """
-    edges = edges.where("node <> dep").distinct().persist()
-    frontier = nodes.select("node").distinct().join(edges, "node", "left_anti")
-    found = frontier.withColumn("level", F.lit(0))
-    spark = nodes.sparkSession
-    can_cut = spark.sparkContext.getCheckpointDir() is not None
-    n, depth = nodes.select("node").distinct().count(), 0
-    while True:
+    spark, base = nodes.sparkSession, shared_path(nodes.sparkSession, "levels")
+    edges = _written(edges.where("node <> dep").distinct(), f"{base}/edges")
+    every = _written(nodes.select("node").distinct(), f"{base}/nodes")
+    frontier, depth, n = _written(every.join(edges, "node", "left_anti"), f"{base}/found/level=0"), 0, every.count()
+    while not frontier.isEmpty():
         depth += 1
-        frontier = edges.join(frontier.withColumnRenamed("node", "dep"), "dep", "left_semi").select("node").distinct()
-        # Each frontier is used by the next step and by the result: kept, and from time to time cut.
-        frontier = frontier.checkpoint() if can_cut and depth % checkpoint_every == 0 else frontier.persist()
-        if frontier.isEmpty():
-            break
         if depth > min(n, max_depth):
             raise ValueError("the graph has a cycle")
-        found = found.unionByName(frontier.withColumn("level", F.lit(depth)))
+        above = edges.join(frontier.withColumnRenamed("node", "dep"), "dep", "left_semi").select("node").distinct()
+        frontier = _written(above, f"{base}/found/level={depth}")
+    found = spark.read.parquet(f"{base}/found")
     out = found.groupBy("node").agg(F.max("level").alias("level"))
     if out.count() < n:
         raise ValueError("the graph has a cycle")
     return out
 
 
+def cycle_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, dep: the edges among nodes that are on a cycle or between two cycles; empty for a graph without cycles.
+
+    Nodes without dependencies, and nodes that nothing depends on, are peeled off until none is left; what the peeling
+    leaves is written each round. The graph is never in one task.
+    """
+    spark, step = nodes.sparkSession, 0
+    base = shared_path(spark, "core")
+    names = nodes.select("node")
+    left = _written(edges.where("node <> dep").select("node", "dep").distinct().join(names, "node", "left_semi"), f"{base}/0")
+    size = left.count()
+    while size:
+        step += 1
+        kept = left.join(left.select(F.col("node").alias("dep")).distinct(), "dep", "left_semi")
+        kept = kept.join(kept.select(F.col("dep").alias("node")).distinct(), "node", "left_semi")
+        left = _written(kept.select("node", "dep"), f"{base}/{step}")
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return left
+
+
 def topological_order(edges: list[tuple], nodes: list | None = None) -> list:
     """Dependencies first, ties in sorted order, for a graph that fits the driver; raises on a cycle."""
     needs: dict = defaultdict(set)

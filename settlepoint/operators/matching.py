@@ -7,6 +7,7 @@ clustering) run per run or round in grouped pandas functions over edges decided
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -168,23 +169,31 @@ def greedy_clusters(items: list, same: Callable) -> list[int]:
     return out
 
 
-def _plain_same(a: dict, b: dict) -> bool:
-    """The staged decision with the word ratio and the rule judge, for findings met one by one."""
-    tokens = [{t for t in f["tokens"]} for f in (a, b)]
-    both = len(tokens[0] & tokens[1])
-    jac = both / len(tokens[0] | tokens[1]) if all(tokens) else 0.0
-    over = 0.85 * both / min(map(len, tokens)) if all(tokens) else 0.0
-    from difflib import SequenceMatcher
+def prepared(f: dict) -> dict:
+    """A claim as same_claim compares it: its content tokens as a set, its words in order and counted."""
+    words = f["norm"].split()
+    return {**f, "tokens": frozenset(f["tokens"]), "words": words, "bag": Counter(words)}
+
 
-    ratio = SequenceMatcher(None, a["norm"].split(), b["norm"].split()).ratio()
+def same_claim(a: dict, b: dict) -> bool:
+    """The staged decision with the word ratio and the rule judge, for prepared findings met one by one.
+
+    The ratio is taken only where the sets leave a stage open that its bound (words in common) could reach.
+    """
+    x, y = a["tokens"], b["tokens"]
+    both = len(x & y)
+    jac = both / (len(x) + len(y) - both) if x and y else 0.0
+    over = 0.85 * both / min(len(x), len(y)) if x and y else 0.0
     compatible = a["unit"] is None or b["unit"] is None
     disjoint = not compatible and (a["unit"] != b["unit"] or (None not in (a["start"], a["end"], b["start"], b["end"]) and not (a["start"] <= b["end"] and b["start"] <= a["end"])))
-    sim = max(jac, ratio, over)
-    if disjoint and sim <= TAU_LOW:
+    if disjoint or jac >= RULE_TAU:  # without a place in common, or already the same, the ratio changes nothing
+        return jac >= RULE_TAU
+    n = len(a["words"]) + len(b["words"])
+    if n and (2 * min(len(a["words"]), len(b["words"])) < TAU_HIGH * n or 2 * (a["bag"] & b["bag"]).total() < TAU_HIGH * n):
         return False
-    if not disjoint and sim >= TAU_HIGH and max(jac, ratio) >= TAU_HIGH:
-        return True
-    return jac >= RULE_TAU
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a["words"], b["words"]).ratio() >= TAU_HIGH
 
 
 def canonical_runs(judged: DataFrame, n_rounds: DataFrame | None = None) -> DataFrame:
@@ -205,9 +214,9 @@ def canonical_runs(judged: DataFrame, n_rounds: DataFrame | None = None) -> Data
         for r in range(int(group["round"].max()) + 1):
             here = group[group["round"] == r].sort_values("finding").to_dict("records")
             elements = {f"def:{f['defect_id']}" for f in here if f["disposition"] == "tp"}
-            false = [f for f in here if f["disposition"] == "false"]
-            for i in sorted(set(greedy_clusters(false, _plain_same))):
-                k = next((k for k, x in enumerate(leaders) if _plain_same(false[i], x)), None)
+            false = [prepared(f) for f in here if f["disposition"] == "false"]
+            for i in sorted(set(greedy_clusters(false, same_claim))):
+                k = next((k for k, x in enumerate(leaders) if same_claim(false[i], x)), None)
                 if k is None:
                     k = len(leaders)
                     leaders.append(false[i])

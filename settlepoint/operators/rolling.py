@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def rolling_stats(df: DataFrame, keys: list[str], ts: str, value: str, width: int, max_samples: int | None = None) -> DataFrame:
     """df with n, total, mean, low, high, span and variance (population) of the window that ends at each row.
@@ -36,9 +38,9 @@ def rolling_percentiles(df: DataFrame, keys: list[str], ts: str, value: str, wid
 
 
 def snapshot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, mean, min, max, p50 and p95 (linear interpolation) per key."""
+    """count, mean, min, max, p50 and p95 (linear interpolation) per key; the percentiles by ranks, however large the key."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"),
-    )
+    plain = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    shares = ranks.quantiles(df, keys, value, {"p50": 0.5, "p95": 0.95}).withColumn("_of", ranks.key_text(keys)).select("_of", "p50", "p95")
+    out = plain.withColumn("_key", ranks.key_text(keys))
+    return out.join(shares, F.col("_key") == F.col("_of"), "left").drop("_key", "_of")

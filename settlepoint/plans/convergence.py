@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sets, stats
-from ..operators import arms, resampling
+from ..operators import arms, ranks, reports, resampling, walsh
 from ..operators.trajectories import regime_distribution as distribution
 from . import adapters
 from .adapters import metrics, metrics_sql, runs, runs_sql
@@ -172,12 +172,24 @@ def min_significant_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT metric, round(quantile_cont(walsh, 0.5), 6) AS estimate, round(max(CASE WHEN r = k THEN walsh END), 6) AS ci_low, round(max(CASE WHEN r = m + 1 - k THEN walsh END), 6) AS ci_high FROM k GROUP BY metric"""
 )
 def hodges_lehmann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.hodges_lehmann(arms.paired_means(metrics(spark, sf_dir), "mem", "nomem", SCORES), ["metric"], "diff"))
+    return rounded(walsh.hodges_lehmann(arms.paired_means(metrics(spark, sf_dir), "mem", "nomem", SCORES), ["metric"], "diff"))
 
 
 @query()
 def wilcoxon_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.wilcoxon(arms.paired_means(metrics(spark, sf_dir), "mem", "nomem", SCORES), ["metric"], "diff"))
+    return rounded(ranks.wilcoxon(arms.paired_means(metrics(spark, sf_dir), "mem", "nomem", SCORES), ["metric"], "diff"))
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_PAIRED_SQL}, d AS (SELECT metric, diff, abs(diff) AS size FROM paired WHERE diff IS NOT NULL),
+    r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY size) + (count(*) OVER (PARTITION BY metric, size) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY metric, size) AS t FROM d WHERE size > 0),
+    s AS (SELECT metric, count(*) AS n_used, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS rank_sum, sum(t * t - 1) AS tie_sum FROM r GROUP BY metric)
+    SELECT metric, a.n, CAST(coalesce(n_used, 0) AS BIGINT) AS n_used, coalesce(rank_sum, 0e0) AS rank_sum, CAST(coalesce(tie_sum, 0) AS DOUBLE) AS tie_sum
+    FROM (SELECT metric, count(*) AS n FROM d GROUP BY metric) a LEFT JOIN s USING (metric)"""
+)
+def signed_rank_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the signed-rank p is made of: rank sums with average ranks, and the sum of t ** 3 - t over ties."""
+    return ranks.rank_sums(arms.paired_means(metrics(spark, sf_dir), "mem", "nomem", SCORES), ["metric"], "diff")
 
 
 _SCORED_SQL = f"""{_MAJORITY_SQL}, arts AS (
@@ -366,22 +378,113 @@ def first_to_last_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def first_to_last_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.wilcoxon(_first_and_last(spark, sf_dir), ["arm"], "diff"))
+    return rounded(ranks.wilcoxon(_first_and_last(spark, sf_dir), ["arm"], "diff"))
+
+
+# failure tests, settle rules, probes, contamination -----------------------------------------------------
+
+_SHARE = "avg(CASE WHEN {} THEN 1e0 ELSE 0e0 END)"
+
+
+@query(
+    f"""WITH {metrics_sql()}, per AS (SELECT artifact_id, arm, {_SHARE.format("regime = 'false-convergence'")} AS share FROM metrics GROUP BY ALL),
+    d AS (SELECT a.arm, a.share - b.share AS diff FROM per a JOIN per b ON a.artifact_id = b.artifact_id AND b.arm = 'mem' AND a.arm <> 'mem'),
+    s AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE diff > 1e-9) AS pos, count(*) FILTER (WHERE diff < -1e-9) AS neg, count(*) FILTER (WHERE abs(diff) <= 1e-9) AS tie, avg(diff) AS mean_diff, coalesce(stddev_samp(diff), 0) AS sd FROM d GROUP BY arm)
+    SELECT arm, n, pos, neg, tie, round(mean_diff, 6) AS mean_diff, round({p_sql('pos', 'neg')}, 6) AS p, round(mean_diff - 1.96 * sd / sqrt(n), 6) AS ci_low, round(mean_diff + 1.96 * sd / sqrt(n), 6) AS ci_high FROM s"""
+)
+def failure_mode_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.failure_tests(metrics(spark, sf_dir), "mem"))
 
 
-_RATIO_SQL = "(CAST(substr(md5(CAST(artifact_id AS VARCHAR)), 1, 1) AS VARCHAR) < '8')"
+_PROJECTED_SQL = f"""defs AS (SELECT run_id, bool_and(a_true = inner_true AND b_true = inner_true) AS settled FROM (
+        SELECT a.run_id, a.n_true AS a_true, b.n_true AS b_true, coalesce(s.inner_true, 0) AS inner_true FROM sizes a JOIN sizes b ON a.run_id = b.run_id AND a.round = {adapters.N_ROUNDS - 2} AND b.round = {adapters.N_ROUNDS - 1} LEFT JOIN shared s ON s.run_id = a.run_id AND s.round = a.round) GROUP BY 1),
+    proj AS (SELECT m.artifact_id, m.run_id, m.arm, m.regime, CASE WHEN m.converged THEN m.regime WHEN d.settled AND m.terminal_recall >= 0.80 AND m.terminal_false_fraction <= 0.34 THEN 'contractive-to-correct' WHEN d.settled THEN 'false-convergence' ELSE m.regime END AS projected FROM metrics m JOIN defs d ON d.run_id = m.run_id)"""
+_IS_CC = "'contractive-to-correct'"
 
 
 @query(
-    f"""WITH {metrics_sql()}, {_MAJORITY_SQL} SELECT arm, count(*) AS n, count(*) FILTER (WHERE regime = 'contractive-to-correct') AS cc
-    FROM majority WHERE NOT {_RATIO_SQL} GROUP BY arm"""
+    f"""WITH {metrics_sql()}, {_PROJECTED_SQL}, l AS (SELECT 'full_set' AS rule, artifact_id, arm, run_id, regime AS r FROM proj UNION ALL SELECT 'defect_projection', artifact_id, arm, run_id, projected FROM proj),
+    run AS (SELECT rule, avg(CASE WHEN r = {_IS_CC} THEN 1e0 ELSE 0e0 END) FILTER (WHERE arm = 'mem') AS run_a, avg(CASE WHEN r = {_IS_CC} THEN 1e0 ELSE 0e0 END) FILTER (WHERE arm = 'nomem') AS run_b FROM l GROUP BY rule),
+    maj AS (SELECT rule, artifact_id, arm, r FROM (SELECT rule, artifact_id, arm, r, row_number() OVER (PARTITION BY rule, artifact_id, arm ORDER BY count(*) DESC, min(run_id)) AS k FROM l GROUP BY rule, artifact_id, arm, r) WHERE k = 1),
+    w AS (SELECT a.rule, a.r = {_IS_CC} AS ra, b.r = {_IS_CC} AS rb FROM maj a JOIN maj b ON a.rule = b.rule AND a.artifact_id = b.artifact_id AND a.arm = 'mem' AND b.arm = 'nomem'),
+    c AS (SELECT rule, count(*) AS n, {_SHARE.format('ra')} AS majority_a, {_SHARE.format('rb')} AS majority_b, count(*) FILTER (WHERE ra AND NOT rb) AS a_only, count(*) FILTER (WHERE rb AND NOT ra) AS b_only FROM w GROUP BY rule)
+    SELECT rule, round(run_a, 6) AS run_a, round(run_b, 6) AS run_b, n, round(majority_a, 6) AS majority_a, round(majority_b, 6) AS majority_b, a_only, b_only,
+           round(run_a - run_b, 6) AS run_gap, round(majority_a - majority_b, 6) AS majority_gap, round({p_sql('a_only', 'b_only')}, 6) AS p FROM run JOIN c USING (rule)"""
+)
+def settle_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correct convergence of both arms under settling of the whole set and of the defects alone."""
+    return rounded(reports.settle_rules(metrics(spark, sf_dir), "mem", "nomem"))
+
+
+@query(f"WITH {metrics_sql()}, {_PROJECTED_SQL} SELECT arm, regime, projected, count(*) AS n FROM proj WHERE regime <> projected GROUP BY ALL")
+def reclassified_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.reclassified(metrics(spark, sf_dir))
+
+
+_PROBE_SQL = f"""{_MAJORITY_SQL}, per AS (SELECT artifact_id, arm, avg(terminal_recall) AS recall, {_SHARE.format('converged')} AS conv FROM metrics GROUP BY ALL),
+    b AS (SELECT * FROM per JOIN majority USING (artifact_id, arm)),
+    t AS (SELECT artifact_id, max(regime) FILTER (WHERE arm = 'mem') AS regime_a, max(regime) FILTER (WHERE arm = 'nomem') AS regime_b, max(recall) FILTER (WHERE arm = 'mem') AS recall_a, max(recall) FILTER (WHERE arm = 'nomem') AS recall_b,
+                 max(conv) FILTER (WHERE arm = 'mem') AS conv_a, max(conv) FILTER (WHERE arm = 'nomem') AS conv_b FROM b GROUP BY artifact_id)"""
+
+
+@query(f"WITH {metrics_sql()}, {_PROBE_SQL} SELECT artifact_id, regime_a, regime_b, round(recall_a, 6) AS recall_a, round(recall_b, 6) AS recall_b, round(conv_a, 6) AS conv_a, round(conv_b, 6) AS conv_b FROM t")
+def probe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.probe_table(metrics(spark, sf_dir), "mem", "nomem"))
+
+
+_CC_A, _CC_B = (f"coalesce(regime_{s} = {_IS_CC}, false)" for s in "ab")
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_PROBE_SQL}, c AS (SELECT count(*) AS n, {_SHARE.format(_CC_A)} AS majority_a, {_SHARE.format(_CC_B)} AS majority_b, count(*) FILTER (WHERE {_CC_A} AND NOT {_CC_B}) AS a_only, count(*) FILTER (WHERE {_CC_B} AND NOT {_CC_A}) AS b_only,
+      count(*) FILTER (WHERE recall_a >= 0.999) AS at_ceiling_a, count(*) FILTER (WHERE recall_b >= 0.999) AS at_ceiling_b, count(*) FILTER (WHERE recall_a < 0.999) AS below_ceiling_a, count(*) FILTER (WHERE recall_b < 0.999) AS below_ceiling_b FROM t),
+    r AS (SELECT avg(CASE WHEN regime = {_IS_CC} THEN 1e0 ELSE 0e0 END) FILTER (WHERE arm = 'mem') AS run_a, avg(CASE WHEN regime = {_IS_CC} THEN 1e0 ELSE 0e0 END) FILTER (WHERE arm = 'nomem') AS run_b,
+                 min(terminal_recall) FILTER (WHERE arm = 'mem') AS least_recall_a, min(terminal_recall) FILTER (WHERE arm = 'nomem') AS least_recall_b FROM metrics)
+    SELECT round(run_a, 6) AS run_a, round(run_b, 6) AS run_b, round(least_recall_a, 6) AS least_recall_a, round(least_recall_b, 6) AS least_recall_b, n, round(majority_a, 6) AS majority_a, round(majority_b, 6) AS majority_b, a_only, b_only,
+           at_ceiling_a, at_ceiling_b, below_ceiling_a, below_ceiling_b, round({p_sql('a_only', 'b_only')}, 6) AS p FROM r CROSS JOIN c"""
+)
+def probe_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.probe_rates(metrics(spark, sf_dir), "mem", "nomem"))
+
+
+_LINES_SQL = """l AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(lower(x), ' '), '\\s+', ' ', 'g')), lambda x: x <> '') AS lines FROM documents),
+    e AS (SELECT doc_id, lang, source, greatest(2, CAST(floor(0.55 * len(lines)) AS INTEGER)) AS k, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM l WHERE len(lines) >= 6),
+    g AS (SELECT doc_id, lang, source, line, count(*) FILTER (WHERE at >= k AND len(line) >= 8) AS late, bool_or(at < k) AS early FROM e GROUP BY ALL),
+    v AS (SELECT doc_id, lang, source, CAST(sum(late) AS BIGINT) AS n, CAST(coalesce(sum(late) FILTER (WHERE early), 0) AS BIGINT) AS hits FROM g GROUP BY ALL),
+    probe AS (SELECT doc_id AS artifact_id, lang, source, n, hits, CASE WHEN n = 0 THEN NULL ELSE hits / CAST(n AS DOUBLE) END AS verbatim FROM v)"""
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as artifacts: the share of a text's later lines that its beginning already gives away."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("artifact_id"), "lang", "source", "text")
+    return reports.reproduced_lines(docs, ["artifact_id", "lang", "source"])
+
+
+@query(f"WITH {_LINES_SQL} SELECT artifact_id, lang, source, n, hits, round(verbatim, 6) AS verbatim FROM probe")
+def reproduced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_probe(spark, sf_dir))
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_LINES_SQL}, rec AS (SELECT artifact_id, avg(terminal_recall) AS recall FROM metrics GROUP BY 1), j AS (SELECT p.*, recall FROM probe p LEFT JOIN rec USING (artifact_id))
+    SELECT lang, source, count(*) AS n, round(avg(verbatim), 6) AS verbatim, count(*) FILTER (WHERE verbatim IS NOT NULL AND recall IS NOT NULL) AS n_correlated,
+           CASE WHEN stddev_pop(verbatim) FILTER (WHERE recall IS NOT NULL) > 0 AND stddev_pop(recall) FILTER (WHERE verbatim IS NOT NULL) > 0 THEN round(corr(verbatim, recall), 6) END AS r
+    FROM j GROUP BY GROUPING SETS ((), (lang), (source))"""
+)
+def measured_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recall = metrics(spark, sf_dir).groupBy("artifact_id").agg(F.avg("terminal_recall").alias("recall"))
+    out = reports.contamination(_probe(spark, sf_dir), recall, ["lang", "source"])
+    return rounded(out.withColumn("r", F.when(~F.isnan("r"), F.col("r"))))
+
+
+@query(
+    f"""WITH {metrics_sql()}, {_MAJORITY_SQL}, {_LINES_SQL} SELECT arm, count(*) AS n, count(*) FILTER (WHERE regime = 'contractive-to-correct') AS cc
+    FROM majority WHERE artifact_id NOT IN (SELECT artifact_id FROM probe WHERE verbatim >= 0.25 AND artifact_id IS NOT NULL) GROUP BY arm"""
 )
 def without_memorised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majority regimes per arm without the artifacts of a high memorisation ratio (here drawn by a digest)."""
-    m = metrics(spark, sf_dir)
-    ratio = F.when(F.substring(F.md5(F.col("artifact_id").cast("string")), 1, 1) < "8", 0.75).otherwise(0.25)
-    probe = m.select("artifact_id").distinct().withColumn("mem_ratio", ratio)
-    kept = m.join(probe.where("mem_ratio >= 0.5"), "artifact_id", "left_anti")
+    """Majority regimes per arm without the artifacts whose text gives away a quarter or more of its later lines."""
+    given_away = _probe(spark, sf_dir).where("verbatim >= 0.25").select("artifact_id")
+    kept = metrics(spark, sf_dir).join(given_away, "artifact_id", "left_anti")
     return arms.majority_regimes(kept).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("regime") == sets.REGIMES[0]).alias("cc"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import location, stats, text
-from ..operators import matching
+from ..operators import claims, matching, ranks, ratio_join, reports
 from ..session import table
 from .convergence import rounded
 
@@ -72,15 +72,19 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text", place.alias("location"))
 
 
-def claim_pairs_of(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
-    """Assistant turns x user turns of a conversation (an equi-join on the conversation)."""
-    t = turns(spark, sf_dir).withColumn("tokens", text.content_tokens(F.col("text")))
-    side = lambda role, s: t.where(F.col("role") == role).select("conv_id", *[F.col(c).alias(f"{c}_{s}") for c in ("turn", "text", "location", "tokens")])
+def claim_pairs_of(spark: SparkSession, sf_dir: str, full: bool = True, need: ratio_join.Need = ratio_join.for_decision) -> DataFrame:
+    """Assistant turns x user turns of a conversation (an equi-join on the conversation), similar as far as need asks."""
+    t = turns(spark, sf_dir)
+
+    def side(role: str, s: str) -> DataFrame:
+        of = t.where(F.col("role") == role).select("conv_id", *[F.col(c).alias(f"{c}_{s}") for c in ("turn", "text", "location")])
+        return ratio_join.with_profile(of, f"text_{s}", s)
+
     pairs = side("assistant", "a").join(side("user", "b"), "conv_id")
     pairs = pairs.withColumn("loc", location.compatibility(F.col("location_a"), F.col("location_b")))
     keys = [text.fingerprint(F.col(f"text_{s}"), F.col(f"location_{s}.unit")) for s in "ab"]
     pairs = pairs.withColumn("pair_key", text.pair_key(*keys)).withColumn("label", F.col("turn_a") == F.col("turn_b") + 1)
-    return matching.with_similarity(pairs, full, tokens=("tokens_a", "tokens_b"))
+    return ratio_join.settle(pairs, need if full else None)
 
 
 _PAIRS_SQL = f"""t AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text, 'u' || ((turn // 4) % 2) AS unit, {_content('text')} AS tok FROM conversations),
@@ -95,7 +99,7 @@ verdicts AS (SELECT *, CASE method WHEN 'anchor-disjoint' THEN false WHEN 'lexic
 
 @query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a, turn_b, loc, round(jac, 9) AS jac, round(sim, 9) AS sim FROM q")
 def claim_pairs(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
-    return rounded(claim_pairs_of(spark, sf_dir, full).select("conv_id", "turn_a", "turn_b", "loc", "jac", "sim"), 9)
+    return rounded(claim_pairs_of(spark, sf_dir, full, ratio_join.for_similarity).select("conv_id", "turn_a", "turn_b", "loc", "jac", "sim"), 9)
 
 
 @query_and_by_sets(f"WITH {_DECIDED_SQL} SELECT conv_id, turn_a, turn_b, method, same FROM verdicts")
@@ -115,10 +119,24 @@ def cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir)
+    pairs = claim_pairs_of(spark, sf_dir, need=ratio_join.for_both_similarities)
     return rounded(matching.decide(pairs).select("conv_id", "turn_a", "turn_b", "sim", "symmetric", "method", "same"))
 
 
+_BAGS_SQL = f"""w AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, unnest({_TOKENS.format('text')}) AS tok FROM conversations),
+c AS (SELECT conv_id, turn, tok, count(*) AS k FROM w GROUP BY ALL), m AS (SELECT conv_id, turn, sum(k) AS n FROM c GROUP BY ALL),
+o AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, sum(least(a.k, b.k)) AS shared FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.tok = b.tok GROUP BY ALL),
+b AS (SELECT q.*, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 1e0 ELSE 2 * coalesce(shared, 0) / CAST(coalesce(x.n, 0) + coalesce(y.n, 0) AS DOUBLE) END AS bound, coalesce(shared, 0) AS shared, coalesce(x.n, 0) AS wa, coalesce(y.n, 0) AS wb
+      FROM q LEFT JOIN m x ON x.conv_id = q.conv_id AND x.turn = q.turn_a LEFT JOIN m y ON y.conv_id = q.conv_id AND y.turn = q.turn_b LEFT JOIN o ON o.conv_id = q.conv_id AND o.turn_a = q.turn_a AND o.turn_b = q.turn_b),
+s2 AS (SELECT *, NOT (bound = 0 OR (shared <= 1 AND wb < 200 AND wa > 0)) AND CASE WHEN loc = 'disjoint' THEN sim <= 0.25 AND bound > 0.25 ELSE jac < 0.60 AND bound >= 0.60 END AS asked FROM b)"""
+
+
+@query(f"WITH {_PAIRS_SQL}, {_BAGS_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE asked) AS asked FROM s2")
+def ratio_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all claim pairs, those whose stage depends on the word ratio: the only ones that reach Python."""
+    return claim_pairs_of(spark, sf_dir).agg(F.count("*").alias("pairs"), F.count_if("asked").alias("asked"))
+
+
 _GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.42)
 _GRID_SQL = ", ".join(f"({t})" for t in _GRID)
 _PR_SQL = """round(p, 6) AS precision_, round(r, 6) AS recall_, round(CASE WHEN p + r = 0 THEN 0e0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(coalesce((tp + tn) / CAST(nullif(tp + fp + fn + tn, 0) AS DOUBLE), 1e0), 6) AS accuracy"""
@@ -131,14 +149,24 @@ def confusion(df: DataFrame, keys: list[str], said, truth) -> DataFrame:
     out = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(said & truth).alias("tp"), F.count_if(said & ~truth).alias("fp"), F.count_if(~said & truth).alias("fn"), F.count_if(~said & ~truth).alias("tn")
     )
+    return with_precision(out)
+
+
+def with_precision(out: DataFrame) -> DataFrame:
     pr = stats.precision_recall(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
     return out.select("*", pr["precision"].alias("precision_"), pr["recall"].alias("recall_"), pr["f1"].alias("f1"), pr["accuracy"].alias("accuracy"))
 
 
 @query_and_by_sets(f"WITH {_PAIRS_SQL}, c AS (SELECT tau, {_CONFUSION.format('(sim >= tau)', 'label')} FROM q CROSS JOIN (VALUES {_GRID_SQL}) g(tau_) CROSS JOIN LATERAL (SELECT CAST(tau_ AS DOUBLE) AS tau) GROUP BY tau), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT tau, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
 def threshold_sensitivity(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir, full).select("sim", "label", F.explode(F.array(*map(F.lit, _GRID))).alias("tau"))
-    return rounded(confusion(pairs, ["tau"], F.col("sim") >= F.col("tau"), F.col("label")))
+    pairs = claim_pairs_of(spark, sf_dir, full, ratio_join.for_thresholds(*_GRID))
+    said, truth = [F.col("sim") >= tau for tau in _GRID], F.col("label")
+    counts = [
+        F.struct(F.lit(tau).alias("tau"), F.count("*").alias("n"), F.count_if(yes & truth).alias("tp"), F.count_if(yes & ~truth).alias("fp"), F.count_if(~yes & truth).alias("fn"), F.count_if(~yes & ~truth).alias("tn"))
+        for tau, yes in zip(_GRID, said)
+    ]
+    by_tau = pairs.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("n > 0")
+    return rounded(with_precision(by_tau))
 
 
 @query_and_by_sets(f"WITH {_DECIDED_SQL}, c AS (SELECT method, {_CONFUSION.format('same', 'label')} FROM verdicts GROUP BY method), d AS (SELECT *, {_PR_PARTS} FROM c) SELECT method, n, tp, fp, fn, tn, {_PR_SQL} FROM d")
@@ -146,48 +174,101 @@ def matcher_report(spark: SparkSession, sf_dir: str, full: bool = True) -> DataF
     return rounded(confusion(matching.decide(claim_pairs_of(spark, sf_dir, full)), ["method"], F.col("same"), F.col("label")))
 
 
-_BAND = 0.05
+_PLACE = "struct<unit: string, start: int, end: int>"
+
+
+def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document as findings of a run: its place is its number, in the unit of its language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(F.replace("text", F.lit("\n"), F.lit(". ")), r"\. ").alias("said"))
+    s = d.select("doc_id", "lang", F.size("said").alias("n"), F.posexplode("said").alias("finding", "claim"))
+    place = F.when(F.col("lang").isNotNull(), F.struct(F.col("lang").alias("unit"), F.col("finding").alias("start"), (F.col("finding") + 1).alias("end")))
+    return s.select("doc_id", "finding", "claim", place.cast(_PLACE).alias("location"), F.floor(F.col("finding") * 6 / F.col("n")).cast("int").alias("round"))
+
+
+def defects_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as defects of all runs: a passage, and as paraphrases its sentences, anywhere in the unit en."""
+    place = F.struct(F.lit("en").alias("unit"), F.lit(None).alias("start"), F.lit(None).alias("end")).cast(_PLACE)
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").cast("int").alias("defect"), F.col("text").alias("description"), F.split(F.replace("text", F.lit("\n"), F.lit(". ")), r"\. ").alias("paraphrases"), place.alias("location"))
 
 
 def edges_of(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
-    pairs = claim_pairs_of(spark, sf_dir, full).where(F.col("sim") >= _BAND)
-    return pairs.select("conv_id", F.col("turn_a").alias("finding"), F.col("turn_b").alias("defect"), F.col("sim").alias("score"))
+    """Findings linked to defects that the staged decision calls the same, scored by the best wording."""
+    return claims.finding_scores(findings_of(spark, sf_dir), defects_of(spark, sf_dir), [], full, run=("doc_id",))
 
 
-@query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, round(sim, 9) AS score, turn_b AS defect FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b DESC) AS k FROM q WHERE sim >= {_BAND}) WHERE k = 1")
+_EDGES_SQL = f"""f0 AS (SELECT doc_id, lang, unnest(string_split(replace(text, chr(10), '. '), '. ')) AS claim, unnest(range(len(string_split(replace(text, chr(10), '. '), '. ')))) AS finding FROM documents),
+f AS (SELECT doc_id, CAST(finding AS INTEGER) AS finding, lang, {_content('claim')} AS tok FROM f0),
+d0 AS (SELECT CAST(item_id AS INTEGER) AS defect, unnest(list_concat([text], string_split(replace(text, chr(10), '. '), '. '))) AS wording, unnest(range(1 + len(string_split(replace(text, chr(10), '. '), '. ')))) AS w FROM benchmark),
+d AS (SELECT defect, w, {_content('wording')} AS tok FROM d0 WHERE wording IS NOT NULL),
+sh AS (SELECT x.doc_id, x.finding, y.defect, y.w, count(*) AS both_ FROM (SELECT doc_id, finding, unnest(tok) AS t FROM f) x JOIN (SELECT defect, w, unnest(tok) AS t FROM d) y USING (t) GROUP BY ALL),
+s AS (SELECT sh.*, both_ / CAST(len(f.tok) + len(d.tok) - both_ AS DOUBLE) AS jac, 0.85e0 * (both_ / CAST(least(len(f.tok), len(d.tok)) AS DOUBLE)) AS over_, coalesce(lang <> 'en', false) AS apart FROM sh JOIN f USING (doc_id, finding) JOIN d USING (defect, w)),
+e AS (SELECT doc_id, finding, defect, max(greatest(jac, over_)) AS score FROM s WHERE CASE WHEN apart AND greatest(jac, over_) <= 0.25 THEN false WHEN NOT apart AND greatest(jac, over_) >= 0.60 AND jac >= 0.60 THEN true ELSE jac >= 0.34 END GROUP BY ALL)"""
+
+
+@query_and_by_sets(f"WITH {_EDGES_SQL} SELECT doc_id, finding, defect, round(score, 9) AS score FROM e")
+def decided_edges(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
+    return rounded(edges_of(spark, sf_dir, full), 9)
+
+
+@query_and_by_sets(f"WITH {_EDGES_SQL} SELECT doc_id, finding, round(score, 9) AS score, defect FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, finding ORDER BY score DESC, defect DESC) AS k FROM e) WHERE k = 1")
 def many_to_one_matches(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
-    return rounded(matching.best_edges(edges_of(spark, sf_dir, full), ["conv_id"]), 9)
+    return rounded(matching.best_edges(edges_of(spark, sf_dir, full), ["doc_id"]), 9)
 
 
 @query()
 def one_to_one_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.assign(edges_of(spark, sf_dir), ["conv_id"])
+    return matching.assign(edges_of(spark, sf_dir), ["doc_id"])
+
+
+def zoned_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with one gray zone a run: its first sentences, noted by the first."""
+    place = F.struct(F.lit("en").alias("unit"), F.lit(0).alias("start"), F.lit(2).alias("end")).cast(_PLACE)
+    found = findings_of(spark, sf_dir)
+    note = found.where("finding = 0").select("doc_id", F.array(F.struct(place.alias("location"), F.col("claim").alias("note"))).alias("zones"))
+    return found.join(note, "doc_id")
 
 
 def judged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = F.array(F.struct(F.struct(F.lit("u1").alias("unit"), F.lit(5).alias("start"), F.lit(5).alias("end")).alias("location"), F.lit("").alias("note")))
-    found = turns(spark, sf_dir).where("role = 'assistant'").withColumn("zones", zones)
-    found = found.select("conv_id", F.col("turn").alias("finding"), F.col("text").alias("claim"), "location", matching.gray_flag(found).alias("gray"))
-    return matching.dispositions(found, edges_of(spark, sf_dir), ["conv_id"])
+    found = zoned_findings(spark, sf_dir)
+    found = found.withColumn("gray", matching.gray_flag(found)).drop("zones")
+    return matching.dispositions(found, edges_of(spark, sf_dir), ["doc_id"])
 
 
 @query()
 def ground_truth_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged_of(spark, sf_dir).select("conv_id", "finding", "defect", "disposition")
+    return judged_of(spark, sf_dir).select("doc_id", "finding", "defect", "disposition")
+
+
+@query(f"WITH {_EDGES_SQL} SELECT doc_id, count(DISTINCT finding) AS edged, count(DISTINCT defect) AS reached FROM e GROUP BY doc_id")
+def reached_defects_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run, the findings that are some defect and the defects that are found at all."""
+    return edges_of(spark, sf_dir, full=False).groupBy("doc_id").agg(F.count_distinct("finding").alias("edged"), F.count_distinct("defect").alias("reached"))
 
 
 @query()
 def missed_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defects = turns(spark, sf_dir).where("role = 'user'").select("conv_id", F.col("turn").alias("defect"))
-    return matching.missed(defects, judged_of(spark, sf_dir), ["conv_id"])
+    """The defects that no run's assignment takes."""
+    return matching.missed(defects_of(spark, sf_dir).select("defect"), judged_of(spark, sf_dir), [])
 
 
 @query()
 def canonical_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judged_of(spark, sf_dir).select(F.col("conv_id").alias("run_id"), F.floor(F.col("finding") / 2).cast("int").alias("round"), "finding", F.col("defect").cast("string").alias("defect_id"), "disposition", "claim", "location")
+    j = judged_of(spark, sf_dir).select(F.col("doc_id").alias("run_id"), "round", "finding", F.col("defect").cast("string").alias("defect_id"), "disposition", "claim", "location")
     return matching.canonical_runs(j)
 
 
+@query()
+def gray_policy_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dynamics per gray policy, each from dispositions and canonical runs of its own; a run's defects are those it reaches."""
+    found = zoned_findings(spark, sf_dir).withColumn("run_id", F.col("doc_id"))
+    edges = edges_of(spark, sf_dir)
+    reached = edges.groupBy("doc_id").agg(F.count_distinct("defect").cast("int").alias("n"))
+    runs = table(spark, sf_dir, "documents").select("doc_id", "source").join(reached, "doc_id", "left")
+    runs = runs.select(F.col("doc_id").alias("run_id"), F.coalesce("source", F.lit("")).alias("arm"), F.coalesce("n", F.lit(0)).alias("n_defects"))
+    return rounded(reports.policy_table(found, edges, ["doc_id"], runs))
+
+
 @query()
 def ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rounds: a turn's lines are new claims; odd turns retire the first ledger item."""
@@ -230,7 +311,7 @@ def review_length_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda role: F.avg(F.when(F.col("role") == role, n))
     per = turns(spark, sf_dir).groupBy("conv_id").agg((mean("user") - mean("assistant")).alias("diff"))
     half = F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")
-    return rounded(stats.wilcoxon(per.withColumn("half", half), ["half"], "diff"))
+    return rounded(ranks.wilcoxon(per.withColumn("half", half), ["half"], "diff"))
 
 
 # agreement of two raters over labels -----------------------------------------------------------------
@@ -300,7 +381,12 @@ def judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query_and_by_sets(f"WITH {_PAIRS_SQL} SELECT conv_id, turn_a AS finding, turn_b AS nearest, round(sim, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_a ORDER BY sim DESC, turn_b) AS k FROM q) WHERE k = 1")
 def nearest_defect(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """The most similar user turn of each assistant turn, the first of equals."""
-    pairs = claim_pairs_of(spark, sf_dir, full)
+    of = Window.partitionBy("conv_id", "turn_a")
+
+    def could_be_nearest(jac, over, bound, loc):
+        return (bound > F.greatest(jac, over)) & (bound >= F.max(F.greatest(jac, over)).over(of))
+
+    pairs = claim_pairs_of(spark, sf_dir, full, could_be_nearest)
     best = F.max(F.struct(F.col("sim").alias("score"), (-F.col("turn_b")).alias("minus"))).alias("b")
     out = pairs.groupBy("conv_id", F.col("turn_a").alias("finding")).agg(best)
     return rounded(out.select("conv_id", "finding", (-F.col("b.minus")).alias("nearest"), F.col("b.score").alias("score")), 9)
@@ -309,7 +395,9 @@ def nearest_defect(spark: SparkSession, sf_dir: str, full: bool = True) -> DataF
 @query_and_by_sets(f"WITH {_DECIDED_SQL}, u AS (SELECT *, sim >= 0.3 AS again FROM verdicts) SELECT method, count(*) AS n, round(avg(CASE WHEN same = again THEN 1e0 ELSE 0e0 END), 6) AS agreement, count(*) FILTER (WHERE same <> again) AS flips FROM u GROUP BY method")
 def rejudged_agreement(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """Verdicts of the staged decision against those of a second judge (a similarity threshold)."""
-    d = matching.decide(claim_pairs_of(spark, sf_dir, full)).withColumn("again", F.col("sim") >= 0.3)
+    second = ratio_join.for_thresholds(0.3)
+    either = lambda *pair: ratio_join.for_decision(*pair) | second(*pair)
+    d = matching.decide(claim_pairs_of(spark, sf_dir, full, either)).withColumn("again", F.col("sim") >= 0.3)
     same = F.col("same") == F.col("again")
     return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("agreement"), F.count_if(~same).alias("flips")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedule, text, versions
-from ..operators import corpus, graphs, intervals, judging, limiters, paging, rolling, sampling
+from ..operators import corpus, graphs, intervals, judging, limiters, paging, rolling, sampling, walsh
 from ..operators.resampling import draw_sql
 from ..session import table
 from ..streaming import stateful
@@ -280,7 +280,7 @@ def covered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SPAN_SQL} SELECT x.cust, x.item AS a, y.item AS b FROM s x JOIN s y ON x.cust = y.cust AND x.item < y.item AND x.lo < y.hi AND y.lo < x.hi AND x.lo < x.hi AND y.lo < y.hi")
 def interval_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.conflicts(order_spans(spark, sf_dir), ["cust"], "item", 90)
+    return intervals.conflicts(order_spans(spark, sf_dir), ["cust"], "item")
 
 
 @query(
@@ -290,8 +290,8 @@ def interval_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT cust, max(n) AS n_picked FROM pick GROUP BY cust"""
 )
 def non_overlapping_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = intervals.select_non_overlapping(order_spans(spark, sf_dir), ["cust"]).where(F.size("picked") > 0)
-    return picked.select("cust", F.size("picked").alias("n_picked"))
+    picked = intervals.select_non_overlapping(order_spans(spark, sf_dir), ["cust"])
+    return picked.groupBy("cust").agg(F.count("*").cast("int").alias("n_picked"))
 
 
 _DAY = 86_400_000_000
@@ -327,6 +327,21 @@ def value_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolling.snapshot(table(spark, sf_dir, "events"), ["event_type"], "value"))
 
 
+@query(
+    """WITH e AS (SELECT event_type, value - 50 AS d, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i FROM events WHERE value IS NOT NULL AND value <> 50),
+    w AS (SELECT a.event_type, (a.d + b.d) / 2 AS walsh FROM e a JOIN e b ON a.event_type = b.event_type AND a.i <= b.i),
+    r AS (SELECT event_type, walsh, row_number() OVER (PARTITION BY event_type ORDER BY walsh) AS r, CAST(count(*) OVER (PARTITION BY event_type) AS DOUBLE) AS m FROM w),
+    n AS (SELECT *, (sqrt(8 * m + 1) - 1) / 2 AS n FROM r),
+    k AS (SELECT *, greatest(1, least(round_even(m / 2 - 1.959964 * sqrt(n * (n + 1) * (2 * n + 1) / 24), 0), floor(m / 2))) AS k FROM n)
+    SELECT event_type, round((max(CASE WHEN r = floor((m + 1) / 2) THEN walsh END) + max(CASE WHEN r = floor(m / 2) + 1 THEN walsh END)) / 2, 6) AS estimate,
+           round(max(CASE WHEN r = k THEN walsh END), 6) AS ci_low, round(max(CASE WHEN r = m + 1 - k THEN walsh END), 6) AS ci_high FROM k GROUP BY event_type"""
+)
+def value_pseudo_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hodges-Lehmann shift of an event type's values from 50, with its interval: a few keys that hold all rows."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") - 50).alias("d"))
+    return rounded(walsh.hodges_lehmann(e, ["event_type"], "d"))
+
+
 @query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def streaming_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlepoint.functions import sets, stats
-from settlepoint.operators import arms, resampling
+from settlepoint.operators import arms, ranks, resampling, walsh
 from settlepoint.operators.trajectories import regime_distribution, rounds_of, trajectory_metrics
 
 A, B, D2 = "def:a", "def:b", "def:d2"
@@ -104,16 +104,46 @@ def test_holm(spark):
     assert got == {"a": pytest.approx(0.03), "c": pytest.approx(0.06), "b": pytest.approx(0.06)}
 
 
+def plain_signed_rank_p(diffs):
+    """Two-sided p of the signed-rank test: every assignment of signs counted where it is exact."""
+    from statistics import NormalDist
+
+    d = [x for x in diffs if x != 0]
+    sizes = sorted(abs(x) for x in d)
+    rank = {v: sizes.index(v) + (sizes.count(v) + 1) / 2 for v in set(sizes)}
+    n, plus = len(d), sum(rank[abs(x)] for x in d if x > 0)
+    low = min(plus, n * (n + 1) / 2 - plus)
+    if n == 0:
+        return 1.0
+    if n > 50 or len(rank) < n or n < len(diffs):
+        variance = n * (n + 1) * (2 * n + 1) / 24 - sum(sizes.count(v) ** 3 - sizes.count(v) for v in rank) / 48
+        return min(1.0, 2 * NormalDist().cdf((low - n * (n + 1) / 4) / variance**0.5)) if variance > 0 else 1.0
+    sums = {0: 1}
+    for r in range(1, n + 1):
+        more = dict(sums)
+        for s, ways in sums.items():
+            more[s + r] = more.get(s + r, 0) + ways
+        sums = more
+    return min(1.0, 2 * sum(w for s, w in sums.items() if s <= low) / 2**n)
+
+
+def plain_hodges_lehmann(used):
+    n, means = len(used), sorted((a + b) / 2 for i, a in enumerate(used) for b in used[i:])
+    m = len(means)
+    at = max(1, min(round(m / 2 - 1.959964 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5), m // 2))
+    return (means[(m + 1) // 2 - 1] + means[m // 2]) / 2, means[at - 1], means[m - at]
+
+
 def test_rank_statistics(spark):
-    assert stats.signed_rank_p([1, 2, 3, 4, 5]) == pytest.approx(2 / 32)
-    assert stats.signed_rank_p([]) == 1.0 and stats.signed_rank_p([0, 0]) == 1.0
-    assert 0 < stats.signed_rank_p([1, 1, -1, 2, 2, 3]) < 1
+    assert plain_signed_rank_p([1, 2, 3, 4, 5]) == pytest.approx(2 / 32)
+    assert plain_signed_rank_p([]) == 1.0 and plain_signed_rank_p([0, 0]) == 1.0
+    assert 0 < plain_signed_rank_p([1, 1, -1, 2, 2, 3]) < 1
     diffs = [0.5, -0.2, 0.1, 0.9, 0.0]
     df = spark.createDataFrame([("m", k, d) for k, d in enumerate(diffs)], "metric string, artifact_id int, diff double")
-    row = stats.hodges_lehmann(df, ["metric"], "diff").first()
+    row = walsh.hodges_lehmann(df, ["metric"], "diff").first()
     used = sorted(d for d in diffs if d)
-    walsh = sorted((used[i] + used[j]) / 2 for i in range(4) for j in range(i, 4))
-    assert row.estimate == pytest.approx((walsh[4] + walsh[5]) / 2) and row.ci_low == pytest.approx(walsh[0]) and row.ci_high == pytest.approx(walsh[-1])
+    means = sorted((used[i] + used[j]) / 2 for i in range(4) for j in range(i, 4))
+    assert row.estimate == pytest.approx((means[4] + means[5]) / 2) and row.ci_low == pytest.approx(means[0]) and row.ci_high == pytest.approx(means[-1])
 
 
 def test_bootstrap(spark):
@@ -139,16 +169,12 @@ def test_hodges_lehmann_with_repeated_differences(spark):
     draw = random.Random(3)
     sets_of = {"a": [draw.choice([-0.5, 0.25, 0.25, 1.0, 3.5]) for _ in range(61)], "b": [draw.gauss(-1, 2) for _ in range(40)], "c": [-0.0, 0.0, -2.0], "d": [0.0]}
     df = spark.createDataFrame([(k, i, d) for k, v in sets_of.items() for i, d in enumerate(v)], "metric string, artifact_id int, diff double")
-    got = {r.metric: r for r in stats.hodges_lehmann(df, ["metric"], "diff").collect()}
+    got = {r.metric: r for r in walsh.hodges_lehmann(df, ["metric"], "diff").collect()}
     assert sorted(got) == ["a", "b", "c"]
     for k, r in got.items():
         used = sorted(d for d in sets_of[k] if d)
         n = len(used)
-        walsh = sorted((used[i] + used[j]) / 2 for i in range(n) for j in range(i, n))
-        m = len(walsh)
-        at = max(1, min(round(m / 2 - 1.959964 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5), m // 2))
-        middle = (walsh[(m + 1) // 2 - 1] + walsh[m // 2]) / 2
-        assert (r.estimate, r.ci_low, r.ci_high) == (pytest.approx(middle), pytest.approx(walsh[at - 1]), pytest.approx(walsh[m - at]))
+        assert (r.estimate, r.ci_low, r.ci_high) == pytest.approx(plain_hodges_lehmann(used))
 
 
 def test_p_labels(spark):
@@ -166,6 +192,73 @@ def test_wilcoxon_counts_equal_the_plain_form(spark):
         "large": [draw.gauss(0.1, 1) for _ in range(80)], "zeros": [0.0] * 60, "one": [0.0] * 60 + [1.5],
     }
     data = [(k, d) for k, v in cases.items() for d in v] + [("ties", None), ("ties", float("nan"))]
-    got = {r.k: r for r in stats.wilcoxon(spark.createDataFrame(data, "k string, d double"), ["k"], "d").collect()}
+    got = {r.k: r for r in ranks.wilcoxon(spark.createDataFrame(data, "k string, d double"), ["k"], "d").collect()}
     for k, v in cases.items():
-        assert got[k].n == len(v) and got[k].p == pytest.approx(stats.signed_rank_p(v), abs=1e-12)
+        assert got[k].n == len(v) and got[k].p == pytest.approx(plain_signed_rank_p(v), abs=1e-12)
+
+
+@pytest.mark.parametrize("case", ["gauss", "lattice", "heavy tails", "one sum", "skewed counts"])
+def test_hodges_lehmann_in_passes(spark, case):
+    """More values than blocks: brackets are narrowed by exact counts, then listed."""
+    import random
+
+    draw = random.Random(case)
+    of = {
+        "gauss": lambda: draw.gauss(0.2, 1), "lattice": lambda: draw.randrange(-300, 400) / 8, "heavy tails": lambda: draw.choice([-1, 1]) * 10 ** draw.uniform(-9, 9),
+        "one sum": lambda: float(draw.choice([-1, 1]) * draw.randrange(1, 300)), "skewed counts": lambda: draw.choice([0.5, draw.gauss(0, 1)]),
+    }[case]
+    values = [of() for _ in range(700)]
+    df = spark.createDataFrame([(k, v) for k in ("x", None) for v in values + [0.0, None]], "k string, d double")
+    got = walsh.hodges_lehmann(df.repartition(3), ["k"], "d", blocks=8, listed=500).collect()
+    want = plain_hodges_lehmann(sorted(v for v in values if v))
+    assert sorted(str(r.k) for r in got) == ["None", "x"]
+    for r in got:
+        assert (r.estimate, r.ci_low, r.ci_high) == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_ranks_of_one_large_key_are_spread(spark):
+    """A key with all rows: its running sums are exact, and no range holds twice the median of rows."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("k").alias("k"), ((F.col("id") * 7919) % n).alias("v"), (F.col("id") % 3 + 1).alias("w"))
+    placed = ranks.cumulative(df, ["k"], "v", "w")
+    assert placed.where("_index <> v").count() == 0
+    last = placed.orderBy(F.desc("v")).first()
+    assert last["_before"] + last["w"] == df.agg(F.sum("w")).first()[0]
+    sizes = sorted(r["count"] for r in df.repartitionByRange(4, "v").groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    middle = ranks.quantiles(df, ["k"], "v", {"p50": 0.5, "p0": 0.0, "p100": 1.0, "p30": 0.3}).first()
+    assert (middle.p0, middle.p50, middle.p100) == (0, (n - 1) / 2, n - 1) and middle.p30 == pytest.approx(0.3 * (n - 1))
+
+
+def test_quantiles_with_ties_and_nulls(spark):
+    import random
+    import statistics
+
+    draw = random.Random(4)
+    data = {"a": [draw.choice([1.0, 2.0, 2.0, 5.5]) for _ in range(101)], "b": [draw.gauss(0, 1) for _ in range(60)], None: [3.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("a", None), ("a", float("nan")), ("c", None)], "k string, v double")
+    got = {r.k: r for r in ranks.quantiles(df, ["k"], "v", {"q": 0.25, "m": 0.5}).collect()}
+    assert set(got) == {"a", "b", None}
+    for k, vs in data.items():
+        assert got[k].m == pytest.approx(statistics.median(vs))
+        assert len(vs) == 1 or got[k].q == pytest.approx(statistics.quantiles(vs, n=4, method="inclusive")[0])
+
+
+def test_blockwise_bootstrap_equals_a_row_a_draw(spark):
+    """Same draws, whatever the blocks; and 20,000 samples of many artifacts stay a row a sample and block."""
+    import random
+
+    draw = random.Random(8)
+    data = [(k, draw.random(), draw.randrange(1, 4), draw.random(), draw.randrange(1, 4)) for k in range(137)]
+    per = spark.createDataFrame(data, "artifact_id int, sa double, na int, sb double, nb int")
+    plain = {}
+    for b in range(23):
+        picked = [data[int(x) % 137] for x in resampling.drawn(resampling.np.array([b]), resampling.np.arange(137))[0]]
+        sa, na, sb, nb = (sum(p[i] for p in picked) for i in (1, 2, 3, 4))
+        plain[b] = sa / na - sb / nb
+    for blocks in ({}, {"sample_block": 5, "artifact_block": 10}, {"sample_block": 100, "artifact_block": 137}):
+        got = {r.b: r.diff for r in resampling.bootstrap_difference(per, 23, **blocks).collect()}
+        assert got == pytest.approx(plain)
+    expected = spark.range(23).select(*[resampling.draw(F.col("id"), F.lit(j)).alias(f"d{j}") for j in (0, 5)]).collect()
+    assert [[r.d0, r.d5] for r in expected] == resampling.drawn(resampling.np.arange(23), resampling.np.array([0, 5])).tolist()
+    assert resampling.bootstrap_difference(per.where("false"), 3).count() == 0

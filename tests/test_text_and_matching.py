@@ -241,10 +241,41 @@ def test_claim_queries_use_the_word_ratio(spark, tmp_path):
     assert sets == {k: round(v[1], 9) for k, v in plain.items()}
     nearest = {r.finding: r.nearest for r in run("nearest_defect")}
     assert nearest == {i: max((0, 2, 4), key=lambda j: (plain[i, j][0], -j)) for i in (1, 3, 5)}
-    edges = {(i, j) for (i, j), v in plain.items() if v[0] >= 0.05}
-    best = {r.finding: r.defect for r in run("many_to_one_matches")}
-    assert best == {i: max((d for f, d in edges if f == i), key=lambda j: (plain[i, j][0], j)) for i, _ in edges}
-    assert {(r.finding, r.defect) for r in identity.edges_of(spark, str(tmp_path)).collect()} == edges
+
+
+def test_decided_edges_of_sentences_and_passages(spark, tmp_path):
+    """Sentences of documents against passages and their sentences, by the plain staged decision."""
+    from difflib import SequenceMatcher
+
+    from settlepoint.plans import identity
+
+    texts = [(1, "en", "the loop and the index run over it. a cache leaks\nit and the loop run over an array"), (2, None, "a cache leaks badly. nothing here"), (3, "de", "a cache leaks. the index of it is over the loop and it"), (4, "en", None), (5, "en", "a cache leaks. a cache leaks. leaks cache a")]
+    items = [(7, "a cache leaks. the loop and an index run over it"), (8, "it and the loop run over an array\nthe index of it is over the loop"), (9, "unrelated words")]
+    spark.createDataFrame(texts, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sentences = lambda t: t.replace("\n", ". ").split(". ")
+    edges = {}
+    for doc, lang, body in texts:
+        for i, claim in enumerate(sentences(body) if body else []):
+            for item, passage in items:
+                for wording in [passage, *sentences(passage)]:
+                    x, y = ({w for w in t.replace(".", " ").split() if w not in text.STOP_WORDS} for t in (claim, wording))
+                    jac = len(x & y) / len(x | y) if x and y else 0.0
+                    over = 0.85 * len(x & y) / min(len(x), len(y)) if x and y else 0.0
+                    ratio = SequenceMatcher(None, claim.split(), wording.replace(".", " ").split()).ratio()
+                    if jac >= 0.34 or (lang in ("en", None) and ratio >= 0.6):
+                        edges[doc, i, item] = max(jac, over, ratio, edges.get((doc, i, item), 0.0))
+    run = lambda name: identity.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(edges) > 6 and {(r.doc_id, r.finding, r.defect): r.score for r in run("decided_edges")} == pytest.approx({k: round(v, 9) for k, v in edges.items()})
+    best = {(r.doc_id, r.finding): r.defect for r in run("many_to_one_matches")}
+    assert best == {(d, i): max((k[2] for k in edges if k[:2] == (d, i)), key=lambda j: (edges[d, i, j], j)) for d, i, _ in edges}
+    kinds = {(r.doc_id, r.finding): (r.defect, r.disposition) for r in run("ground_truth_dispositions")}
+    assert len(kinds) == sum(len(sentences(t)) for _, _, t in texts if t)
+    taken = [(d, v[0]) for (d, _), v in kinds.items() if v[1] == "tp"]
+    assert len(taken) == len(set(taken)) and all((d, i, v[0]) in edges for (d, i), v in kinds.items() if v[1] == "tp")
+    assert all((v[1] in ("tp", "dup")) == any(k[:2] == at for k in edges) for at, v in kinds.items())
+    assert {r.defect for r in run("missed_defects")} == {7, 8, 9} - {j for _, j in taken}
+    assert {r.run_id for r in run("canonical_trajectories")} == {1, 2, 3, 5}
 
 
 def test_loop_ledger_compares_places_and_the_whole_similarity(spark):
@@ -299,3 +330,60 @@ def test_self_agreement_and_counts(spark):
     assert tuple(judging.self_agreement(v).first()) == (2, 1, 0.5)
     j = spark.createDataFrame([(2, 3), (0, 1), (0, 0)], "yes int, cast int")
     assert tuple(judging.judge_counts(j, 3).first()) == (3, 9, 5, 2)
+
+
+def random_claims(draw, n):
+    words = ["the", "loop", "index", "cache", "of", "leaks", "never", "ends", "price", "unit", "x1", "x2", "x3"]
+    claims = [" ".join(draw.choices(words, k=draw.randrange(0, 9))) for _ in range(n)]
+    return [draw.choice([c, c, c.upper() + "!", None if draw.random() < 0.2 else c]) for c in claims]
+
+
+def test_indexed_pairs_equal_all_pairs(spark):
+    """The rare-word index and the ratio bound change neither which pairs are the same nor their similarity."""
+    import random
+
+    from settlepoint.functions import location
+    from settlepoint.operators import ratio_join
+
+    draw = random.Random(12)
+    place = "struct<unit: string, start: int, end: int>"
+    def side(n):
+        return [(draw.choice(["m", "n"]), i, t, draw.choice([None, ("u", s := draw.randrange(9), s + 2), ("v", 1, 1)])) for i, t in enumerate(random_claims(draw, n))]
+
+    a = spark.createDataFrame(side(60), f"k string, i int, text string, location {place}")
+    b = spark.createDataFrame(side(60), f"k string, j int, text string, location {place}")
+    pairs = a.selectExpr("k", "i", "text as text_a", "location as location_a").join(b.selectExpr("k", "j", "text as text_b", "location as location_b"), "k")
+    pairs = pairs.withColumn("text_a", F.coalesce("text_a", F.lit(""))).withColumn("text_b", F.coalesce("text_b", F.lit("")))
+    pairs = pairs.withColumn("loc", location.compatibility(F.col("location_a"), F.col("location_b")))
+    plain = matching.decide(matching.with_similarity(pairs, full=True)).select("k", "i", "j", "jac", "sim", "symmetric", "method", "same").collect()
+    for full in (True, False):
+        got = {(r.i, r.j): (r.sim, r.method) for r in ratio_join.same_pairs(a, b, ["k"], ["i"], ["j"], full).collect()}
+        if full:
+            assert got == {(r.i, r.j): (r.sim, r.method) for r in plain if r.same} and len(got) > 20
+        else:
+            sets = matching.decide(matching.with_similarity(pairs, full=False)).where("same").collect()
+            assert got == {(r.i, r.j): (r.sim, r.method) for r in sets}
+    profiled = ratio_join.with_profile(ratio_join.with_profile(pairs, "text_a", "a"), "text_b", "b")
+    decided = {(r.i, r.j): (r.same, r.method) for r in matching.decide(ratio_join.settle(profiled, ratio_join.for_decision)).collect()}
+    assert decided == {(r.i, r.j): (r.same, r.method) for r in plain}
+    for need, field in ((ratio_join.for_similarity, "sim"), (ratio_join.for_both_similarities, "symmetric")):
+        assert {(r.i, r.j): r[field] for r in ratio_join.settle(profiled, need).collect()} == {(r.i, r.j): r[field] for r in plain}
+    taus = (0.1, 0.3, 0.5)
+    sided = {(r.i, r.j): [r.sim >= t for t in taus] for r in ratio_join.settle(profiled, ratio_join.for_thresholds(*taus)).collect()}
+    assert sided == {(r.i, r.j): [r.sim >= t for t in taus] for r in plain}
+
+
+def test_ratio_bound_is_never_below_the_ratio(spark):
+    import random
+    from collections import Counter
+
+    from settlepoint.operators import ratio_join
+
+    draw = random.Random(1)
+    texts = [" ".join(draw.choices("abcde", k=draw.randrange(0, 8))) for _ in range(40)] + ["a " * 300, "b a " * 150]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    df = ratio_join.with_profile(ratio_join.with_profile(df, "a", "a"), "b", "b")
+    for r in df.select("a", "b", ratio_join.ratio_bound(F.col("bag_a"), F.col("bag_b")).alias("bound"), text.word_ratio(F.col("norm_a"), F.col("norm_b")).alias("ratio")).collect():
+        x, y = r.a.split(), r.b.split()
+        assert r.bound == (2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) if x or y else 1.0)
+        assert r.ratio <= r.bound

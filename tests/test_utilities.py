@@ -19,11 +19,41 @@ def test_intervals(spark):
     assert rows(intervals.merge_intervals(df, ["k"]), "lo") == [("k", 1, 5), ("k", 7, 12)]
     assert intervals.total_covered(df, ["k"]).first().covered == 9
     s = spark.createDataFrame([("k", 1, 3), ("k", 2, 5), ("k", 4, 7), ("k", 6, 9), ("k", 8, 10)], "k string, lo int, hi int")
-    assert [(r.lo, r.hi) for r in intervals.select_non_overlapping(s, ["k"]).first().picked] == [(1, 3), (4, 7), (8, 10)]
+    assert rows(intervals.select_non_overlapping(s, ["k"]), "lo") == [("k", 1, 3), ("k", 4, 7), ("k", 8, 10)]
     n = s.withColumn("i", F.col("lo"))
     want = [("k", a, b) for a, b in ((1, 2), (2, 4), (4, 6), (6, 8))]
-    for width in (1, 3, 100):
-        assert rows(intervals.conflicts(n, ["k"], "i", width), "a") == want
+    assert rows(intervals.conflicts(n, ["k"], "i"), "a") == want
+
+
+def test_conflicts_through_dyadic_buckets(spark):
+    """Equal to comparing all pairs; a very long interval costs rows by the logarithm of its length."""
+    import random
+
+    draw = random.Random(6)
+    spans = [(draw.choice(["x", "y", None]), i, lo := draw.randrange(-500, 500), lo + draw.choice([0, 1, 2, 7, 64, 300])) for i, _ in enumerate(range(150))]
+    spans += [("x", 900, -(10**12), 10**12), ("x", 901, -500, -499), ("y", 902, 5, 3)]
+    df = spark.createDataFrame(spans, "k string, i int, lo bigint, hi bigint")
+    want = sorted((a[0], a[1], b[1]) for a in spans for b in spans if a[0] is not None and a[0] == b[0] and a[1] < b[1] and max(a[2], b[2]) < min(a[3], b[3]))
+    assert rows(intervals.conflicts(df, ["k"], "i"), "k", "a", "b") == want
+    cover = intervals.dyadic_cover(F.col("lo"), F.col("hi"), F.lit(41))
+    for r in df.where("lo < hi").select("lo", "hi", cover.alias("c")).collect():
+        assert len(r.c) <= 2 * (r.hi - r.lo).bit_length()
+        parts = sorted((b << k, (b + 1) << k) for k, b in r.c)
+        assert parts[0][0] == r.lo and parts[-1][1] == r.hi and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_selection_of_a_large_key_streams(spark):
+    """A key whose intervals come in many batches, against the plain greedy loop; nulls are a key of their own."""
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 7 > 0, "k").alias("k"), (F.col("id") * 7919 % n).alias("lo"), (F.col("id") * 7919 % n + F.col("id") % 50).alias("hi"))
+    got = [tuple(r) for r in intervals.select_non_overlapping(df, ["k"]).collect()]
+    for key in ("k", None):
+        reach, plain = None, []
+        for hi, lo in sorted((r.hi, r.lo) for r in df.collect() if r.k == key and r.lo < r.hi):
+            if reach is None or lo >= reach:
+                plain.append((lo, hi))
+                reach = hi
+        assert sorted((lo, hi) for k, lo, hi in got if k == key) == plain
 
 
 def test_rolling(spark):
@@ -48,6 +78,17 @@ def test_graphs(spark):
         graphs.topological_order(loop)
     with pytest.raises(ValueError):
         graphs.levels(spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), spark.createDataFrame(loop, "node string, dep string"))
+    every = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
+    tangled = spark.createDataFrame([*loop, ("d", "a"), ("e", "d"), ("c", "f"), ("f", "g"), ("a", "a")], "node string, dep string")
+    assert rows(graphs.cycle_core(every, tangled), "node") == [("a", "b"), ("b", "c"), ("c", "a")]
+    assert graphs.cycle_core(n, e).count() == 0
+
+
+def test_levels_of_a_deep_graph_keep_a_small_plan(spark):
+    deep = spark.range(41).select(F.col("id").alias("node"))
+    out = graphs.levels(deep, spark.range(1, 41).select(F.col("id").alias("node"), (F.col("id") - 1).alias("dep")))
+    assert all(r.node == r.level for r in out.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 6
 
 
 def test_paging(spark):
