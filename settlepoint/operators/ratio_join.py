@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import location, text
+from ..session import shared_path
 from .matching import RULE_TAU, TAU_HIGH, TAU_LOW, decide
 
 #: Of a pair's jac, overlap, bound (all as columns) and loc: whether its ratio must be known.
@@ -24,8 +25,12 @@ Need = Callable[[Column, Column, Column, Column], Column]
 
 def bag(tokens: Column) -> Column:
     """Words with their occurrence in the text (a#1, a#2, b#1), so that sets of them intersect as multisets."""
-    words = F.array_sort(tokens)
-    return F.transform(words, lambda w, i: F.concat(w, F.lit("#"), (i - F.array_position(words, w) + 2).cast("string")))
+
+    def numbered(words: Column) -> Column:
+        return F.transform(words, lambda w, i: F.concat(w, F.lit("#"), (i - F.array_position(words, w) + 2).cast("string")))
+
+    # As a lambda's variable the sorted words are worked out once, not for each word.
+    return F.get(F.transform(F.array(F.sort_array(tokens)), numbered), F.lit(0))
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -133,10 +138,17 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str], id_a: list[str], id_
 def same_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_a: list[str], id_b: list[str], full: bool = True) -> DataFrame:
     """keys, id_a, id_b, sim and method of the pairs within a key that the staged decision calls the same.
 
-    Either side has keys, its ids, text and location; ids name rows (rows that repeat them are compared each).
+    Either side has keys, its ids, text and location; ids name rows (rows that repeat them are compared each). The words of
+    a text are worked out once and written, since rarity, index and comparison each read them.
     """
-    a = with_profile(a.select(*keys, *id_a, F.col("text").alias("_ta"), F.col("location").alias("location_a")), "_ta", "a").drop("_ta")
-    b = with_profile(b.select(*keys, *id_b, F.col("text").alias("_tb"), F.col("location").alias("location_b")), "_tb", "b").drop("_tb")
+
+    def profiled(side: DataFrame, ids: list[str], s: str) -> DataFrame:
+        named = side.select(*keys, *ids, F.col("text").alias("_text"), F.col("location").alias(f"location_{s}"))
+        path = shared_path(side.sparkSession, "words")
+        with_profile(named, "_text", s).drop("_text").write.parquet(path)
+        return side.sparkSession.read.parquet(path)
+
+    a, b = profiled(a, id_a, "a"), profiled(b, id_b, "b")
     found = candidates(a, b, keys, id_a, id_b, full)
     pairs = found.join(a, [*keys, *id_a]).join(b, [*keys, *id_b])
     pairs = pairs.withColumn("loc", location.compatibility(F.col("location_a"), F.col("location_b"))).drop("location_a", "location_b")

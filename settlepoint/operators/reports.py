@@ -95,10 +95,11 @@ def contamination(probe: DataFrame, recall: DataFrame, levels: list[str]) -> Dat
     correlation with the recall of the artifact, over those that have both."""
     joined = probe.join(recall, "artifact_id", "left")
     both = F.col("verbatim").isNotNull() & F.col("recall").isNotNull()
+    x, y = (F.when(both, F.col(c)) for c in ("verbatim", "recall"))
     wanted = joined.groupingSets([[], *[[c] for c in levels]], *levels)
     return wanted.agg(
         F.count("*").alias("n"), F.avg("verbatim").alias("verbatim"), F.count_if(both).alias("n_correlated"),
-        F.corr(F.when(both, F.col("verbatim")), F.when(both, F.col("recall"))).alias("r"),
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"),  # null where either does not vary
     )
 
 

@@ -448,8 +448,8 @@ def probe_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES_SQL = """l AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(lower(x), ' '), '\\s+', ' ', 'g')), lambda x: x <> '') AS lines FROM documents),
-    e AS (SELECT doc_id, lang, source, greatest(2, CAST(floor(0.55 * len(lines)) AS INTEGER)) AS k, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM l WHERE len(lines) >= 6),
-    g AS (SELECT doc_id, lang, source, line, count(*) FILTER (WHERE at >= k AND len(line) >= 8) AS late, bool_or(at < k) AS early FROM e GROUP BY ALL),
+    e AS (SELECT doc_id, lang, source, greatest(2, CAST(floor(0.55 * len(lines)) AS INTEGER)) AS k, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM l WHERE len(lines) >= 6),
+    g AS (SELECT doc_id, lang, source, line, count(*) FILTER (WHERE pos >= k AND len(line) >= 8) AS late, bool_or(pos < k) AS early FROM e GROUP BY ALL),
     v AS (SELECT doc_id, lang, source, CAST(sum(late) AS BIGINT) AS n, CAST(coalesce(sum(late) FILTER (WHERE early), 0) AS BIGINT) AS hits FROM g GROUP BY ALL),
     probe AS (SELECT doc_id AS artifact_id, lang, source, n, hits, CASE WHEN n = 0 THEN NULL ELSE hits / CAST(n AS DOUBLE) END AS verbatim FROM v)"""
 
@@ -473,8 +473,7 @@ def reproduced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def measured_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     recall = metrics(spark, sf_dir).groupBy("artifact_id").agg(F.avg("terminal_recall").alias("recall"))
-    out = reports.contamination(_probe(spark, sf_dir), recall, ["lang", "source"])
-    return rounded(out.withColumn("r", F.when(~F.isnan("r"), F.col("r"))))
+    return rounded(reports.contamination(_probe(spark, sf_dir), recall, ["lang", "source"]))
 
 
 @query(
