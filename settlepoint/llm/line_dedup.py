@@ -9,10 +9,13 @@ most k + 1 - i after it, if it is the i-th of k + 1 (the first one up to which t
 segments). Hence in the other line it lies at most as many places off, as there can be edits between it and
 its end of the line; one of the two lines has it later, so lines probe only for what lies further in.
 
-The number of candidates is held down in two ways, neither of which loses any:
+The number of candidates is held down in three ways, none of which loses any:
 
 * The counts of 20 characters, modulo 4 and in Gray code, are bits that travel along; an edit changes at
   most two of them, so the join's condition keeps only pairs that differ in at most 2k.
+* The digits of a line travel along as well, up to 16 of them: an edit of the line is at most one edit of its
+  digits, so the join's condition keeps only pairs whose digits are within k edits. Lines that differ in a
+  running number alone, however many, so give a candidate for a link, not for every pair.
 * Of 2k + 1 blocks of these bits one is equal. Keys that many lines share are therefore joined on each block
   together with the key, so that a segment common to very many lines does not bring all of them together.
 
@@ -42,6 +45,8 @@ from .components import components
 BUCKETS = 1 << 20
 #: Characters whose counts the necessary condition compares, two bits each (fixed values).
 COUNTED = "etaoinshrdlucmfwpg01"
+#: Digits of a line that are compared; lines of more pass.
+DIGITS = 16
 #: Keys of more rows than this are joined on blocks of the counts as well.
 CROWD = 128
 
@@ -141,22 +146,25 @@ def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> Da
     """ha < hb of lines (h, line, n) that share a segment and whose counts allow k edits (written)."""
     line, n = F.col("line"), F.col("n")
     classes = F.array_distinct(F.array(*[length_class(n - j) for j in range(k + 1)]))
-    based = distinct_lines.select("h", "line", "n", count_bits(line).alias("bits"), F.explode(classes).alias("base"))
+    digits = F.regexp_replace(line, "[^0-9]+", "")
+    digits = F.when(F.octet_length(digits) <= DIGITS, digits)
+    based = distinct_lines.select("h", "line", "n", count_bits(line).alias("bits"), digits.alias("digits"), F.explode(classes).alias("base"))
     keys, probes = line_keys(line, n, F.col("base"), k)
-    rows = based.select("h", "bits", F.posexplode(keys).alias("at", "key"))
-    rows = written(rows.select("h", "bits", "key", F.col("at").isin(probes).alias("probe")), "keys")
+    rows = based.select("h", "bits", "digits", F.posexplode(keys).alias("at", "key"))
+    rows = written(rows.select("h", "bits", "digits", "key", F.col("at").isin(probes).alias("probe")), "keys")
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     bucket = F.pmod("key", F.lit(BUCKETS))
     marks = F.broadcast(crowded.select(bucket.alias("bucket")).distinct())
-    tagged = rows.join(marks, bucket == F.col("bucket"), "left").select("h", "bits", "probe", F.explode(_tags(k)).alias("t")).select("h", "bits", "probe", "t.*")
-    one = tagged.where(~F.col("probe")).select(F.col("h").alias("ha"), F.col("bits").alias("a"), "tag")
-    other = tagged.select(F.col("h").alias("hb"), F.col("bits").alias("b"), "probe", "tag", "j")
+    tagged = rows.join(marks, bucket == F.col("bucket"), "left").select("h", "bits", "digits", "probe", F.explode(_tags(k)).alias("t")).select("h", "bits", "digits", "probe", "t.*")
+    one = tagged.where(~F.col("probe")).select(F.col("h").alias("ha"), F.col("bits").alias("a"), F.col("digits").alias("da"), "tag")
+    other = tagged.select(F.col("h").alias("hb"), F.col("bits").alias("b"), F.col("digits").alias("db"), "probe", "tag", "j")
     met = one.join(other, "tag").where((F.col("ha") < F.col("hb")) | (F.col("probe") & (F.col("ha") != F.col("hb"))))
     apart = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(2 * k)  # a pair counts under the first of its equal blocks
     for j, at in reversed(list(enumerate(_blocks(k)))):
         first = F.when(_block(apart, *at) == 0, F.lit(j)).otherwise(first)
-    met = met.where((F.bit_count(apart) <= 2 * k) & ((F.col("j") < 0) | (F.col("j") == first)))
+    near = (F.col("da") == F.col("db")) | (F.levenshtein("da", "db", k) >= 0)
+    met = met.where((F.bit_count(apart) <= 2 * k) & ((F.col("j") < 0) | (F.col("j") == first)) & F.coalesce(near, F.lit(True)))
     return written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
 
 

@@ -790,3 +790,17 @@ def test_neighbours_of_vectors_whose_squares_leave_the_range(spark):
     for q, near in got.items():
         want = sorted(((-float(units[q] @ u), i) for i, u in units.items() if i != q))[:5]
         assert np.allclose([s for _, s in near], [-s for s, _ in want])
+
+
+def test_numbered_lines_are_candidates_only_where_they_are_near(spark):
+    """Lines that differ in a number alone: about as many candidates as links, and all links."""
+    n = 1200
+    lines = [f"page number {i * 7919 % 100000:05d} of the archive of old letters" for i in range(n)]
+    lines += [f"{'1234567890' * 2}{i:03d} has more digits than are compared" for i in range(40)]
+    single = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("n"))
+    names = {r.h: r.line for r in single.select("h", "line").collect()}
+    pairs = {frozenset((names[r.ha], names[r.hb])) for r in line_dedup.candidate_pairs(single, 2).collect()}
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b))  # noqa: E731  (five digits each: no two within two edits but by substitution, or by shifting)
+    near = {frozenset((a, b)) for i, a in enumerate(lines[:n]) for b in lines[:i] if apart(a, b) <= 2}
+    assert near <= pairs and len([p for p in pairs if all(x.startswith("page") for x in p)]) < 2 * len(near)
+    assert {frozenset((a, b)) for a in lines[n:] for b in lines[n:] if a < b and apart(a, b) <= 2} <= pairs
