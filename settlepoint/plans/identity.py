@@ -107,10 +107,14 @@ def staged_decisions(spark: SparkSession, sf_dir: str, full: bool = True) -> Dat
     return matching.decide(claim_pairs_of(spark, sf_dir, full)).select("conv_id", "turn_a", "turn_b", "method", "same")
 
 
-@query()
-def cached_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_KEYED_SQL = f"""{_DECIDED_SQL}, k AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, substr(sha1(array_to_string({_TOKENS.format('text')}, ' ') || '␟' || 'u' || ((turn // 4) % 2)), 1, 16) AS fp FROM conversations),
+keyed AS (SELECT v.*, least(x.fp, y.fp) || ':' || greatest(x.fp, y.fp) AS pair_key FROM verdicts v JOIN k x ON x.conv_id = v.conv_id AND x.turn = v.turn_a JOIN k y ON y.conv_id = v.conv_id AND y.turn = v.turn_b)"""
+
+
+@query_and_by_sets(f"WITH {_KEYED_SQL} SELECT conv_id, turn_a, turn_b, 'cache' AS method, first_value(same) OVER (PARTITION BY pair_key ORDER BY conv_id, turn_a, turn_b) AS same FROM keyed")
+def cached_decisions(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """A second pass over the same pairs with the first pass's verdicts as the cache: warm equals cold."""
-    pairs = claim_pairs_of(spark, sf_dir)
+    pairs = claim_pairs_of(spark, sf_dir, full)
     cold = matching.decide(pairs)
     empty = cold.select("pair_key", "same").limit(0)
     cache = matching.new_verdicts(cold, empty, ["conv_id", "turn_a", "turn_b"])
@@ -402,12 +406,12 @@ def rejudged_agreement(spark: SparkSession, sf_dir: str, full: bool = True) -> D
     return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("agreement"), F.count_if(~same).alias("flips")))
 
 
-@query()
-def prejudged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_by_sets(f"WITH {_KEYED_SQL} SELECT DISTINCT pair_key, jac >= 0.34 AS same FROM keyed WHERE method = 'judge'")
+def prejudged_pairs(spark: SparkSession, sf_dir: str, full: bool = True) -> DataFrame:
     """The band left by the deterministic stages, judged once per key into an empty cache."""
     from ..operators import judging
 
-    decided = matching.decide(claim_pairs_of(spark, sf_dir))
+    decided = matching.decide(claim_pairs_of(spark, sf_dir, full))
     band = decided.where("method = 'judge'").select("pair_key", "text_a", "location_a", "text_b", "location_b")
     return judging.prejudge(band, spark.createDataFrame([], "pair_key string, same boolean"), judging.rule_judge, votes=3)
 

@@ -53,3 +53,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="settlepoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/settlepoint/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written folder in the place of another (one rename in the same store)."""
+    files, to = _file_system(spark, target)
+    files.delete(to, True)
+    if not files.rename(_file_system(spark, source)[1], to):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has put under the shared folder, once no result is read any more."""
+    delete_path(spark, shared_path(spark, "x").rpartition("/")[0])

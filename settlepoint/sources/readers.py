@@ -145,7 +145,8 @@ def csv_records(
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
         raw = spark.read.options(**options, columnNameOfCorruptRecord=bad, enforceSchema=True).schema(schema).csv(path)
         record = F.regexp_replace(F.col(f"`{bad}`"), r"\r?\n$", "")
-        fields = F.slice(F.regexp_extract_all(record, F.lit(_FIELD), F.lit(1)), len(names) + 1, 1 << 20)
+        every = F.regexp_extract_all(record, F.lit(_FIELD), F.lit(1))
+        fields = F.slice(every, F.lit(len(names) + 1), F.greatest(F.size(every), F.lit(0)))
         plain = F.transform(fields, lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
         raw = raw.select(*[F.col(f"`{n}`") for n in names], F.when(F.size(fields) > 0, plain).alias(rest))
     for name in names:

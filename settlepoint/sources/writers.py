@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import delete_path, move_path
+
 
 class GateError(RuntimeError):
     """A result that must not be published."""
 
 
-def write_report(runs: DataFrame, path: str, expected: int | None = None, undecided: int = 0, most_undecided: int = 0) -> str:
+def write_report(runs: DataFrame, path: str, expected: int | None = None, undecided: int | str = 0, most_undecided: int = 0) -> str:
     """Runs as JSON; beyond the limit of undecided pairs the output goes to <path>.partial instead.
 
-    Returns the path written; an unexpected number of runs raises before anything is written.
+    undecided is their number, or the column of runs that holds each run's. Runs are read once: they are written beside the
+    path while rows (and undecided pairs) are counted, and moved to it when the gate has passed. An unexpected number of runs
+    raises and leaves nothing. Returns the path written.
     """
-    if expected is not None and (n := runs.count()) != expected:
-        raise GateError(f"{n} runs where {expected} are expected")
-    target = path if undecided <= most_undecided else f"{path}.partial"
-    runs.write.mode("overwrite").json(target)
+    spark, seen, staged = runs.sparkSession, Observation(), f"{path}.staged-{uuid.uuid4().hex}"
+    left = F.lit(undecided) if isinstance(undecided, int) else F.col(undecided)
+    counted = F.coalesce((F.max if isinstance(undecided, int) else F.sum)(left), F.lit(0 if isinstance(undecided, str) else undecided))
+    runs.observe(seen, F.count(F.lit(1)).alias("n"), counted.alias("undecided")).write.json(staged)
+    if expected is not None and seen.get["n"] != expected:
+        delete_path(spark, staged)
+        raise GateError(f"{seen.get['n']} runs where {expected} are expected")
+    target = path if seen.get["undecided"] <= most_undecided else f"{path}.partial"
+    move_path(spark, staged, target)
     return target
 
 
@@ -110,8 +120,8 @@ def write_manifest(digests: DataFrame, path: str, blockers: DataFrame | None = N
 
 
 def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A Markdown table as rows of text: two header rows, then one row each."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    """A Markdown table as rows of text: two header rows, then one row each; bars in cells are escaped."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
     body = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
     head = df.sparkSession.createDataFrame([("| " + " | ".join(columns) + " |",), ("|" + "---|" * len(columns),)], "value string")
     return head.unionByName(body)

@@ -120,3 +120,42 @@ def test_review_cards(spark, tmp_path):
     assert "(unlocalized)" in two and one.count("type=radio") == two.count("type=radio") == 3
     out = writers.write_review_pages(items, f"file://{tmp_path}/pages", "T", each=1)
     assert [r.path for r in out.orderBy("path").collect()] == ["mem/m-0.html", "mem/m-1.html"]
+
+
+def test_report_gates_read_once_and_leave_nothing(spark, tmp_path):
+    """Runs are counted as they are written; a failed gate leaves neither a report nor a staged folder."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    runs = spark.createDataFrame([(f"r{i}", i % 3) for i in range(20)], "run_id string, open int").withColumn("open", counted("open"))
+    path = str(tmp_path / "report")
+    assert writers.write_report(runs, path, expected=20) == path and seen.value == 20
+    with pytest.raises(writers.GateError):
+        writers.write_report(runs, str(tmp_path / "other"), expected=21)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["report"]
+    assert writers.write_report(runs, path, undecided="open", most_undecided=18) == f"{path}.partial"
+    assert writers.write_report(runs, path, undecided="open", most_undecided=19) == path and spark.read.json(path).count() == 20
+    assert writers.write_report(runs.limit(0), path, undecided=1) == f"{path}.partial"
+
+
+def test_bars_in_markdown_cells_and_many_surplus_fields(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", None)], "x string, y string")
+    assert [r.value for r in writers.markdown(df, ["x", "y"]).collect()][-1] == r"| a\|b |  |"
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4," + ",".join(map(str, range(3000))) + "\n")
+    got = {r.a: r.more for r in readers.csv_records(spark, str(tmp_path / "t.csv"), rest="more").collect()}
+    assert got["1"] is None and got["3"] == list(map(str, range(3000)))
+
+
+def test_clean_up_deletes_what_was_written(spark):
+    from settlepoint import session
+
+    path = session.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    session.delete_path(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|exist"):
+        spark.read.parquet(path)
