@@ -13,9 +13,9 @@ The number of candidates is held down in three ways, none of which loses any:
 
 * The counts of 20 characters, modulo 4 and in Gray code, are bits that travel along; an edit changes at
   most two of them, so the join's condition keeps only pairs that differ in at most 2k.
-* The digits of a line travel along as well, up to 16 of them: an edit of the line is at most one edit of its
-  digits, so the join's condition keeps only pairs whose digits are within k edits. Lines that differ in a
-  running number alone, however many, so give a candidate for a link, not for every pair.
+* The digits of a line travel along as well, up to 15 of them, packed into a number: an edit of the line is at
+  most one edit of its digits, so the join's condition keeps only pairs whose digits are within k edits. Lines
+  that differ in a running number alone, however many, so give a candidate for a link, not for every pair.
 * Of 2k + 1 blocks of these bits one is equal. Keys that many lines share are therefore joined on each block
   together with the key, so that a segment common to very many lines does not bring all of them together.
 
@@ -46,7 +46,7 @@ BUCKETS = 1 << 20
 #: Characters whose counts the necessary condition compares, two bits each (fixed values).
 COUNTED = "etaoinshrdlucmfwpg01"
 #: Digits of a line that are compared; lines of more pass.
-DIGITS = 16
+DIGITS = 15
 #: Keys of more rows than this are joined on blocks of the counts as well.
 CROWD = 128
 
@@ -147,7 +147,8 @@ def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> Da
     line, n = F.col("line"), F.col("n")
     classes = F.array_distinct(F.array(*[length_class(n - j) for j in range(k + 1)]))
     digits = F.regexp_replace(line, "[^0-9]+", "")
-    digits = F.when(F.octet_length(digits) <= DIGITS, digits)
+    # Four bits a digit behind a one: hex() gives them back.
+    digits = F.when(F.octet_length(digits) <= DIGITS, F.conv(F.concat(F.lit("1"), digits), 16, 10).cast("long"))
     based = distinct_lines.select("h", "line", "n", count_bits(line).alias("bits"), digits.alias("digits"), F.explode(classes).alias("base"))
     keys, probes = line_keys(line, n, F.col("base"), k)
     rows = based.select("h", "bits", "digits", F.posexplode(keys).alias("at", "key"))
@@ -163,7 +164,7 @@ def candidate_pairs(distinct_lines: DataFrame, k: int, crowd: int = CROWD) -> Da
     first = F.lit(2 * k)  # a pair counts under the first of its equal blocks
     for j, at in reversed(list(enumerate(_blocks(k)))):
         first = F.when(_block(apart, *at) == 0, F.lit(j)).otherwise(first)
-    near = (F.col("da") == F.col("db")) | (F.levenshtein("da", "db", k) >= 0)
+    near = (F.col("da") == F.col("db")) | (F.levenshtein(F.hex("da"), F.hex("db"), k) >= 0)
     met = met.where((F.bit_count(apart) <= 2 * k) & ((F.col("j") < 0) | (F.col("j") == first)) & F.coalesce(near, F.lit(True)))
     return written(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
 
