@@ -110,7 +110,8 @@ def _kept(n: Column, share: float) -> Column:
 
 
 def _postings(side: DataFrame, ids: list[str], suffix: str, rarity: DataFrame, ratio: bool) -> DataFrame:
-    """ids and word: the index entries of each text, the first words in order of rarity."""
+    """ids, word, size and share: the index entries of each text, the first words in order of rarity; of two texts that are
+    alike enough the smaller has at least that share of the larger's words."""
     families = [("c:", f"tokens_{suffix}", RULE_TAU)]
     if ratio:
         # A ratio of t takes t / 2 of both texts' words, and the other has at least those: t / (2 - t) of this one's.
@@ -119,11 +120,11 @@ def _postings(side: DataFrame, ids: list[str], suffix: str, rarity: DataFrame, r
     for name, words, share in families:
         w = side.select(*ids, F.size(words).alias("_n"), F.explode(words).alias("_w")).withColumn("_word", F.split("_w", "#")[0])
         ranked = w.join(rarity, "_word").groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_df", "_w"))).alias("_ws"), F.first("_n").alias("_n"))
-        first = ranked.select(*ids, F.explode(F.slice("_ws._w", 1, _kept(F.col("_n"), share))).alias("_w"))
-        first = first.select(*ids, F.concat(F.lit(name), "_w").alias("_word"))
+        first = ranked.select(*ids, "_n", F.explode(F.slice("_ws._w", 1, _kept(F.col("_n"), share))).alias("_w"))
+        first = first.select(*ids, F.concat(F.lit(name), "_w").alias("_word"), "_n", F.lit(share).alias("_share"))
         out = first if out is None else out.unionByName(first)
     if ratio:  # two texts without words have a ratio of 1
-        out = out.unionByName(side.where(F.size(f"bag_{suffix}") == 0).select(*ids, F.lit("e:").alias("_word")))
+        out = out.unionByName(side.where(F.size(f"bag_{suffix}") == 0).select(*ids, F.lit("e:").alias("_word"), F.lit(0).alias("_n"), F.lit(0.0).alias("_share")))
     return out
 
 
@@ -132,7 +133,9 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str], id_a: list[str], id_
     words = lambda side, s: side.select(F.explode(f"bag_{s}").alias("_w")).select(F.split("_w", "#")[0].alias("_word"))
     rarity = words(a, "a").unionByName(words(b, "b")).groupBy("_word").agg(F.count("*").alias("_df"))
     left, right = _postings(a, [*keys, *id_a], "a", rarity, ratio), _postings(b, [*keys, *id_b], "b", rarity, ratio)
-    return left.join(right, [*keys, "_word"]).select(*keys, *id_a, *id_b).distinct()
+    met = left.join(right.withColumnRenamed("_n", "_m").drop("_share"), [*keys, "_word"])
+    alike = F.least("_n", "_m") >= F.col("_share") * F.greatest("_n", "_m") - F.lit(1e-9)
+    return met.where(alike).select(*keys, *id_a, *id_b).distinct()
 
 
 def same_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_a: list[str], id_b: list[str], full: bool = True) -> DataFrame:
