@@ -387,3 +387,30 @@ def test_ratio_bound_is_never_below_the_ratio(spark):
         x, y = r.a.split(), r.b.split()
         assert r.bound == (2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) if x or y else 1.0)
         assert r.ratio <= r.bound
+
+
+def test_runs_are_rebuilt_under_each_gray_policy(spark):
+    """A finding in the zone, one that says what the zone's note says, a true one, and another round with the true one alone."""
+    from settlepoint.operators import reports
+
+    zone = [((("u", 1, 3)), "price unit wrong")]
+    data = [(1, 0, 0, "cache leaks memory", ("u", 2, 2), zone), (1, 0, 1, "price unit wrong", None, zone), (1, 0, 2, "loop never ends", ("u", 8, 9), zone), (1, 1, 3, "loop never ends", ("u", 8, 9), zone)]
+    place = "struct<unit: string, start: int, end: int>"
+    found = spark.createDataFrame(data, f"run_id int, round int, finding int, claim string, location {place}, zones array<struct<location: {place}, note: string>>")
+    edges = spark.createDataFrame([(1, 0, 2, 7, 0.9), (1, 1, 3, 7, 0.8)], "run_id int, round int, finding int, defect int, score double")
+    rounds = {p: reports.policy_runs(found, edges, ["run_id", "round"], p).first().rounds for p in reports.POLICIES}
+    assert rounds["none"] == [["def:7", "false:0", "false:1"], ["def:7"]]
+    assert rounds["positional"] == rounds["semantic"] == [["def:7", "false:0"], ["def:7"]]
+    runs = spark.createDataFrame([(1, "mem", 1)], "run_id int, arm string, n_defects int")
+    table = {r.policy: (r.arm, r.n, r.cc, r.mean_churn) for r in reports.policy_table(found, edges, ["run_id", "round"], runs).collect()}
+    assert table == {"none": ("mem", 1, 0.0, pytest.approx(2 / 3)), "positional": ("mem", 1, 0.0, 0.5), "semantic": ("mem", 1, 0.0, 0.5)}
+
+
+def test_reproduced_lines_count_repeats(spark):
+    from settlepoint.operators import reports
+
+    body = "\n".join(["First  LINE here", "second line", "third line x", "short", "first line here", " first line HERE ", "never before", "second line"])
+    df = spark.createDataFrame([(1, body), (1, body), (2, "a\nb\nc"), (3, "\n".join("abcdefg")), (4, None)], "doc_id int, text string")
+    got = sorted((r.doc_id, r.n, r.hits, r.verbatim) for r in reports.reproduced_lines(df, ["doc_id"]).collect())
+    # Of eight lines the first four are the beginning; 'abcdefg' has no later line that is long enough.
+    assert [g for g in got if g[0] == 1] == [(1, 4, 3, 0.75)] * 2 and [g for g in got if g[0] != 1] == [(3, 0, 0, None)]
