@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,7 @@ def first_brackets(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["_key", "rank", "target", "above", "upto", "n_above", "n_upto"])
 
 
+@lru_cache(maxsize=1024)
 def bounds_in(above: float, upto: float) -> np.ndarray:
     """The ends of a bracket and doubles between them, half even in value and half even in their order."""
     a, b = ordinal(above), ordinal(upto)
