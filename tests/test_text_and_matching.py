@@ -393,6 +393,13 @@ def test_a_text_is_indexed_by_what_it_needs(spark):
     assert ratio_join.candidates(side("a", 9), side("b", 9), [], ["a"], ["b"]).count() == 0
 
 
+def test_canonical_runs_with_a_claim_that_is_missing(spark):
+    place = "struct<unit: string, start: int, end: int>"
+    rows = [(1, 0, 0, None, "false", None, None), (1, 0, 1, "d", "tp", "x", None), (1, 2, 2, None, "dup", "y", None)]
+    df = spark.createDataFrame(rows, f"run_id int, round int, finding int, defect_id string, disposition string, claim string, location {place}")
+    assert matching.canonical_runs(df).first().rounds == [["def:d", "false:0"], [], []]
+
+
 def test_ratio_bound_is_never_below_the_ratio(spark):
     import random
     from collections import Counter
