@@ -103,15 +103,18 @@ def contamination(probe: DataFrame, recall: DataFrame, levels: list[str]) -> Dat
     )
 
 
-def policy_runs(findings: DataFrame, edges: DataFrame, keys: list[str], policy: str) -> DataFrame:
-    """run_id, rounds of canonical elements under a gray policy: findings are excused by place, by note, or not at all.
+def policy_runs(findings: DataFrame, edges: DataFrame, keys: list[str], *policies: str) -> DataFrame:
+    """variant (the policy), run_id, rounds of canonical elements under gray policies: findings are excused by place, by note,
+    or not at all. The findings are matched and sent once for all policies.
 
     findings has keys (a round of a run), run_id, round, finding, claim, location and zones (location, note); edges link
     findings to defects. Excused findings are no elements; what else is false is clustered.
     """
     noted = findings.withColumn("note_similarity", F.transform("zones", lambda z: text.lexical(text.content_tokens(F.col("claim")), text.content_tokens(z["note"]))))
-    judged = matching.dispositions(noted.withColumn("gray", matching.gray_flag(noted, policy)), edges, keys)
-    return matching.canonical_runs(judged.withColumn("defect_id", F.col("defect").cast("string")))
+    held = F.array_compact(F.array(*[F.when(~matching.gray_flag(noted, p), F.lit(p)) for p in policies]))
+    judged = matching.dispositions(noted.withColumn("_held", held).drop("zones", "note_similarity").withColumn("gray", F.lit(False)), edges, keys)
+    judged = judged.withColumn("variants", F.when(F.col("disposition") == "false", F.col("_held")))
+    return matching.canonical_variants(judged.withColumn("defect_id", F.col("defect").cast("string")), policies)
 
 
 def policy_table(findings: DataFrame, edges: DataFrame, keys: list[str], runs: DataFrame) -> DataFrame:
@@ -119,12 +122,8 @@ def policy_table(findings: DataFrame, edges: DataFrame, keys: list[str], runs: D
 
     runs has run_id, arm and n_defects.
     """
-    out = None
-    for policy in POLICIES:
-        m = trajectory_metrics(policy_runs(findings, edges, keys, policy).join(runs, "run_id"))
-        per = m.groupBy("arm").agg(
-            F.count("*").alias("n"), _share(F.col("regime") == CC).alias("cc"), _share(F.col("regime") == FC).alias("fc"), F.avg("mean_churn").alias("mean_churn"),
-            F.avg("oscillation_degree").alias("oscillation"), F.avg("stabilized_round").alias("stabilized"),
-        ).select(F.lit(policy).alias("policy"), "*")
-        out = per if out is None else out.unionByName(per)
-    return out
+    m = trajectory_metrics(policy_runs(findings, edges, keys, *POLICIES).withColumnRenamed("variant", "policy").join(runs, "run_id"))
+    return m.groupBy("policy", "arm").agg(
+        F.count("*").alias("n"), _share(F.col("regime") == CC).alias("cc"), _share(F.col("regime") == FC).alias("fc"), F.avg("mean_churn").alias("mean_churn"),
+        F.avg("oscillation_degree").alias("oscillation"), F.avg("stabilized_round").alias("stabilized"),
+    )
