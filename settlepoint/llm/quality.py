@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,10 +133,11 @@ def fit_preferences(
 ) -> np.ndarray:
     """Weights w: loss is log(1 + exp(-(w . (x_preferred - x_other)))) over sampled preference pairs."""
     rng = np.random.default_rng(seed)
-    good, bad = x[y == 1], x[y == 0]
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)  # places, not copies of the rows
     w, m, v = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
     for step in range(1, steps + 1):
-        d = good[rng.integers(len(good), size=pairs_per_step)] - bad[rng.integers(len(bad), size=pairs_per_step)]
+        d = x[good[rng.integers(len(good), size=pairs_per_step)]]
+        d -= x[bad[rng.integers(len(bad), size=pairs_per_step)]]
         lost = (1 / (1 + np.exp(np.clip(d @ w, -40, 40)))).astype(x.dtype)
         gradient = ridge * w - d.T @ lost / len(d)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
@@ -179,20 +181,36 @@ def fit(train: DataFrame, max_labelled: int = 8192, label: str = "quality", at:
 
     featured = rows.select("doc_id", "y", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, y int, hash bigint, x array<float>")
     one = featured.groupBy("doc_id", "y").agg(F.min_by("x", "hash").alias("x"))
-    found = one.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
-    y = found.column("y").to_numpy()
+    x, y = _matrix(one.toArrow())
     if not (y == 1).any() or not (y == 0).any():
         return {"constant": 0.0 if (y == 0).any() else 1.0}
     mean = x.mean(0, dtype=np.float64)
-    std = x.std(0, dtype=np.float64) + 1e-3
-    w = fit_preferences(((x - mean) / std).astype(np.float32), y).astype(np.float64)
-    utility = (x - mean) / std @ w
+    std = np.concatenate([x[:, c : c + BLOCK].std(0, dtype=np.float64) for c in range(0, x.shape[1], BLOCK)]) + 1e-3
+    for i in range(0, len(x), BLOCK):  # in place, a block at a time: the driver holds the matrix once
+        x[i : i + BLOCK] = (x[i : i + BLOCK] - mean) / std
+    w = fit_preferences(x, y).astype(np.float64)
+    utility = np.concatenate([x[i : i + BLOCK] @ w for i in range(0, len(x), BLOCK)])
     cut = quantile_threshold(utility, y)
     spread = max(1e-6, float(np.std(utility)))
     return {"weights": w / std, "offset": float(mean / std @ w) + cut, "scale": 3.0 / spread, "at": at}
 
 
+#: Rows or columns of the matrix that are worked out at a time.
+BLOCK = 256
+
+
+def _matrix(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of rows (doc_id, y, x) by doc_id and label, copied out of Arrow once."""
+    order = pc.sort_indices(found.select(["doc_id", "y"]), [("doc_id", "ascending"), ("y", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    x, at = np.empty((len(order), N_FEATURES), np.float32), 0
+    for chunk in found.column("x").chunks:
+        x[place[at : at + len(chunk)]] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+        at += len(chunk)
+    return x, found.column("y").to_numpy()[order]
+
+
 def labelled_sample(labels: DataFrame, usable: Column, max_labelled: int = 8192, label: str = "quality") -> DataFrame:
     """At most max_labelled pairs of label_id and label, the first by a hash of the id: bounded, so broadcast."""
     rows = labels.where(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias(label)).distinct()

@@ -804,3 +804,18 @@ def test_numbered_lines_are_candidates_only_where_they_are_near(spark):
     near = {frozenset((a, b)) for i, a in enumerate(lines[:n]) for b in lines[:i] if apart(a, b) <= 2}
     assert near <= pairs and len([p for p in pairs if all(x.startswith("page") for x in p)]) < 2 * len(near)
     assert {frozenset((a, b)) for a in lines[n:] for b in lines[n:] if a < b and apart(a, b) <= 2} <= pairs
+
+
+def test_quality_fit_holds_its_matrix_once(spark):
+    """Beyond the matrix the driver takes blocks, not copies of it in double precision."""
+    import tracemalloc
+
+    n = 3000
+    docs = spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "if(id % 2 = 0, concat('x#', id, ' zz zz'), concat('A good line of text, number ', id, '.')) as text")
+    tracemalloc.start()
+    try:
+        assert "weights" in quality.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * n * quality.N_FEATURES * 4
