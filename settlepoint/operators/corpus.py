@@ -49,7 +49,7 @@ def item_rules() -> list[tuple[str, str, Column]]:
     return [(level, code, F.coalesce(bad, F.lit(False))) for level, code, bad in rules]
 
 
-def _defect_rules(span: Column) -> list[tuple[str, str, Column]]:
+def _defect_rules() -> list[tuple[str, str, Column]]:
     d = F.col("d")
     paraphrases = F.coalesce(d["paraphrases"], F.array().cast("array<string>"))
     described = F.trim(F.coalesce(d["description"], F.lit("")))
@@ -59,7 +59,6 @@ def _defect_rules(span: Column) -> list[tuple[str, str, Column]]:
         ("error", "empty-description", described == ""),
         ("error", "empty-location-unit", _blank(d["location"]["unit"])),
         ("error", "anchor-needs-line", anchored & d["location"]["start"].isNull()),
-        ("error", "anchor-mismatch", anchored & d["location"]["start"].isNotNull() & ~F.contains(F.coalesce(span, F.lit("")), d["anchor"])),
         ("warning", "missing-category", _blank(d["category"])),
         ("warning", "paraphrase-count", ~F.size(paraphrases).between(*PARAPHRASE_BAND)),
         ("error", "empty-paraphrase", F.exists(paraphrases, _blank)),
@@ -82,16 +81,8 @@ def validate(items: DataFrame, line_map: DataFrame | None = None) -> DataFrame:
     out = _issues(items, item_rules(), nothing)
     defects = items.select("id", F.posexplode("defects").alias("pos", "d"))
     if line_map is not None:
-        lines = line_map.select(F.col("id").alias("_id"), "no", "line")
-        lo, hi = F.col("d.location.start"), F.coalesce("d.location.end", "d.location.start")
-        spans = defects.where(F.col("d.anchor").isNotNull()).join(lines, (F.col("id") == F.col("_id")) & F.col("no").between(lo, hi))
-        spans = spans.groupBy("id", "pos").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
-        spans = spans.select("id", "pos", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("span"))
-        defects = defects.join(spans, ["id", "pos"], "left")
-        rules = _defect_rules(F.col("span"))
-    else:
-        rules = [r for r in _defect_rules(F.lit("")) if r[1] != "anchor-mismatch"]
-    out = out.unionByName(_issues(defects, rules, F.col("d.id")))
+        out = out.unionByName(_anchor_issues(defects, line_map))
+    out = out.unionByName(_issues(defects, _defect_rules(), F.col("d.id")))
     repeated = defects.groupBy("id", F.col("d.id").alias("did")).agg(F.count("*").alias("n")).where("n > 1")
     within = F.explode(F.array_repeat(F.lit("duplicate-defect-id"), (F.col("n") - 1).cast("int")))
     out = out.unionByName(repeated.select(F.col("id").alias("item_id"), F.lit("error").alias("level"), within.alias("code"), F.col("did").alias("detail")))
@@ -100,6 +91,19 @@ def validate(items: DataFrame, line_map: DataFrame | None = None) -> DataFrame:
     return out.unionByName(others.select(F.col("id").alias("item_id"), F.lit("error").alias("level"), F.lit("duplicate-defect-id-global").alias("code"), F.col("did").alias("detail")))
 
 
+def _anchor_issues(defects: DataFrame, line_map: DataFrame) -> DataFrame:
+    """The anchors that the lines of their place don't hold; lines meet the anchors alone, not whole defects."""
+    lo, hi = F.col("d.location.start"), F.coalesce("d.location.end", "d.location.start")
+    anchors = defects.where(F.col("d.anchor").isNotNull() & lo.isNotNull()).select("id", F.col("d.id").alias("did"), F.col("d.anchor").alias("anchor"), lo.alias("lo"), hi.alias("hi"))
+    anchors = anchors.withColumn("row", F.monotonically_increasing_id())
+    lines = line_map.select("id", "no", "line")
+    met = anchors.join(lines.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & F.col("no").between(F.col("lo"), F.col("hi")), "left")
+    held = met.groupBy("id", "row", "did", "anchor").agg(F.array_sort(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "line")))).alias("l"))
+    span = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    wrong = ~_blank(F.col("anchor")) & ~F.contains(span, F.col("anchor"))
+    return _issues(held, [("error", "anchor-mismatch", F.coalesce(wrong, F.lit(False)))], F.col("did"))
+
+
 def unconfirmed(items: DataFrame) -> DataFrame:
     d = items.select(F.col("id").alias("item_id"), F.explode("defects").alias("d"))
     return d.where(~F.coalesce("d.confirmed", F.lit(False))).select("item_id", F.col("d.id").alias("defect_id"))

@@ -182,6 +182,15 @@ def corpus_dir(tmp_path):
     return tmp_path / "corpus"
 
 
+def test_anchors_meet_lines_without_their_defects(spark, corpus_dir, tmp_path):
+    """Whole defects are in no join: anchors meet the lines once, and ids their owners."""
+    readers.items(spark, str(corpus_dir)).write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    found = corpus.validate(items, readers.line_map(items))
+    assert sorted(r.detail for r in found.where("code = 'anchor-mismatch'").collect()) == ["spec-1-d0", "spec-1-d0"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_corpus_reader_rules_and_freeze(spark, corpus_dir, tmp_path):
     items = readers.items(spark, str(corpus_dir))
     assert [r.id for r in items.collect()] == ["code-1", "spec-1"]
