@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sets, stats, text
+from ..functions import location, sets, stats, text
 from . import arms, matching
 from .trajectories import trajectory_metrics
 
@@ -110,7 +110,14 @@ def policy_runs(findings: DataFrame, edges: DataFrame, keys: list[str], *policie
     findings has keys (a round of a run), run_id, round, finding, claim, location and zones (location, note); edges link
     findings to defects. Excused findings are no elements; what else is false is clustered.
     """
-    noted = findings.withColumn("note_similarity", F.transform("zones", lambda z: text.lexical(text.content_tokens(F.col("claim")), text.content_tokens(z["note"]))))
+
+    def similarity(z: Column) -> Column:
+        # As a lambda's variable both sets of words are worked out once.
+        words = F.array(F.struct(text.content_tokens(F.col("claim")).alias("a"), text.content_tokens(z["note"]).alias("b")))
+        return F.get(F.transform(words, lambda w: text.lexical(w["a"], w["b"])), F.lit(0))
+
+    # Only where the note applies: few findings lie in a zone.
+    noted = findings.withColumn("note_similarity", F.transform("zones", lambda z: F.when(location.note_applies(F.col("location"), z), similarity(z))))
     held = F.array_compact(F.array(*[F.when(~matching.gray_flag(noted, p), F.lit(p)) for p in policies]))
     judged = matching.dispositions(noted.withColumn("_held", held).drop("zones", "note_similarity").withColumn("gray", F.lit(False)), edges, keys)
     judged = judged.withColumn("variants", F.when(F.col("disposition") == "false", F.col("_held")))

@@ -433,6 +433,51 @@ def test_runs_are_rebuilt_under_each_gray_policy(spark):
     assert table == {"none": ("mem", 1, 0.0, pytest.approx(2 / 3)), "positional": ("mem", 1, 0.0, 0.5), "semantic": ("mem", 1, 0.0, 0.5)}
 
 
+def canonical_by_pairs(found, n_rounds):
+    """Every finding meets the leaders one by one."""
+    ready, leaders, out = [matching.prepared({**f, "tokens": set(f["norm"].split()) - matching.STOP_WORDS}) for f in found], [], []
+    for r in range(n_rounds):
+        here = [i for i, f in enumerate(found) if f["round"] == r]
+        elements = set()
+        for i in sorted({here[k] for k in matching.greedy_clusters([ready[i] for i in here], matching.same_claim)}):
+            k = next((k for k, j in enumerate(leaders) if matching.same_claim(ready[i], ready[j])), len(leaders))
+            leaders += [i] if k == len(leaders) else []
+            elements.add(f"false:{k}")
+        out.append(sorted(elements))
+    return out
+
+
+def test_clusters_by_index_are_those_of_all_pairs():
+    import random
+
+    for seed in range(300):
+        draw = random.Random(seed)
+        places = [(None, None, None)] + [(u, *b) for u in "uv" for b in ((None, None), (1, None), (1, 2), (2, 4), (5, 3), (9, 9))]
+        said = [" ".join(draw.choices(["the", "of", "a", *"bcdefgh"], k=draw.randrange(0, 7))) for _ in range(30)]
+        found = [{"round": k // 6, "finding": k, "norm": c, **dict(zip(("unit", "start", "end"), draw.choice(places)))} for k, c in enumerate(said)]
+        found = [{**f, "defect_id": None} for f in found]
+        assert matching._canonical(found, 5, range(30), matching._Compared(found)) == canonical_by_pairs(found, 5)
+
+
+def test_unlike_findings_of_a_run_are_not_compared_pair_by_pair(monkeypatch):
+    calls = []
+    decide = matching.same_claim
+    monkeypatch.setattr(matching, "same_claim", lambda a, b: calls.append(1) or decide(a, b))
+    found = [{"round": k // 100, "finding": k, "defect_id": None, "norm": f"word{k} and other{k}", "variants": ["x"], "unit": "u", "start": k, "end": k + 1} for k in range(600)]
+    rounds = matching._canonical(found, 6, range(600), matching._Compared(found))
+    assert [len(r) for r in rounds] == [100] * 6 and len(calls) < 1500  # all pairs: 179,700
+
+
+def test_a_note_is_compared_with_the_findings_of_its_region_only(spark):
+    from settlepoint.functions import location
+
+    place = "struct<unit: string, start: int, end: int>"
+    rows = [(None, "n", True), (("u", 1, 1), "n", True), (("u", 3, None), "n", True), (("u", 4, 5), "n", False), (("v", 1, 1), "n", False), (("u", 1, 1), "", False), (None, None, False), (("v", None, None), "n", True)]
+    df = spark.createDataFrame([(p, (("u", 0, 3), n), want) for p, n, want in rows], f"location {place}, zone struct<location: {place}, note: string>, want boolean")
+    got = df.select("want", F.coalesce(location.note_applies(F.col("location"), F.col("zone")), F.lit(False)).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_reproduced_lines_count_repeats(spark):
     from settlepoint.operators import reports
 
