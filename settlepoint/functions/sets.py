@@ -68,14 +68,14 @@ def attrition_events(rounds: Column) -> Column:
 
 
 def oscillation_degree(rounds: Column) -> Column:
-    """Elements that are present, then absent, then present again."""
-    elements = F.array_distinct(F.flatten(rounds))
+    """Elements that are present, then absent, then present again: those that appear anew more than once."""
+    anew = F.transform(rounds, lambda r, i: F.when(i == 0, F.array_distinct(r)).otherwise(F.array_except(r, F.get(rounds, i - 1))))
 
-    def returns(e: Column) -> Column:
-        at = F.filter(F.transform(rounds, lambda r, i: F.when(F.array_contains(r, e), i)), lambda i: i.isNotNull())
-        return F.array_max(at) - F.array_min(at) + 1 > F.size(at)
+    def repeated(sorted_: Column) -> Column:
+        return F.size(F.array_distinct(F.filter(sorted_, lambda e, i: (i > 0) & (e == F.get(sorted_, i - 1)))))
 
-    return F.size(F.filter(elements, returns))
+    # As a lambda's variable the sorted elements are worked out once.
+    return F.get(F.transform(F.array(F.sort_array(F.flatten(anew))), repeated), F.lit(0))
 
 
 def stabilized_round(rounds: Column) -> Column:

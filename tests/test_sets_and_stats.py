@@ -261,3 +261,14 @@ def test_blockwise_bootstrap_equals_a_row_a_draw(spark):
     expected = spark.range(23).select(*[resampling.draw(F.col("id"), F.lit(j)).alias(f"d{j}") for j in (0, 5)]).collect()
     assert [[r.d0, r.d5] for r in expected] == resampling.drawn(resampling.np.arange(23), resampling.np.array([0, 5])).tolist()
     assert resampling.bootstrap_difference(per.where("false"), 3).count() == 0
+
+
+def test_oscillation_is_that_of_each_element(spark):
+    import random
+
+    draw = random.Random(3)
+    runs = [[draw.sample("abcde", draw.randrange(0, 6)) for _ in range(draw.randrange(0, 7))] for _ in range(200)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(runs)], "k int, rounds array<array<string>>")
+    for row in df.select("k", sets.oscillation_degree(F.col("rounds")).alias("n")).collect():
+        at = {e: [i for i, r in enumerate(runs[row.k]) if e in r] for e in "abcde"}
+        assert row.n == sum(bool(x) and x[-1] - x[0] + 1 > len(x) for x in at.values())
